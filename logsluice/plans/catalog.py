@@ -26,5 +26,5 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     from . import (  # noqa: F401
-        q_classify, q_report,
+        q_classify, q_groups, q_incidents, q_lines, q_report, q_reuse,
     )

@@ -106,7 +106,7 @@ trace_heads AS (
   -- A stamped, indented source line continues only right after its frame line.
   SELECT *, ok % 3 AS dialect, ok * 8 + n + 1 AS line_no,
     n = 0 OR (ok % 3 = 2 AND n % 2 = 0
-              AND NOT (lag(n) OVER (PARTITION BY ok ORDER BY n) = n - 1 AND (n - 1) % 2 = 1)) AS head
+              AND NOT lag(n) OVER (PARTITION BY ok ORDER BY n) % 2 = 1) AS head
   FROM trace_rows
 ),
 trace_events AS (
