@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 
@@ -209,13 +208,7 @@ def flatten_document(text: str):
     return shape, values
 
 
-def shape_name(shape: dict) -> str:
-    body = json.dumps(sorted(shape.items()), ensure_ascii=False, separators=(",", ":"))
-    return hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()
-
-
 _FLAT = T.StructType([
-    T.StructField("shape_id", T.StringType()),
     T.StructField("shape", T.MapType(T.StringType(), T.StringType())),
     T.StructField("leaves", T.MapType(T.StringType(), T.StringType())),
 ])
@@ -226,11 +219,16 @@ def _flatten(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for t in texts:
         flat = None if t is None else flatten_document(t)
-        rows.append((None, None, None) if flat is None else (shape_name(flat[0]), *flat))
-    return pd.DataFrame(rows, columns=["shape_id", "shape", "leaves"], dtype=object)
+        rows.append((None, None) if flat is None else flat)
+    return pd.DataFrame(rows, columns=["shape", "leaves"], dtype=object)
 
 
 def flatten_json(text) -> Column:
-    """STRUCT<shape_id, shape MAP, leaves MAP>; all NULL for rows that are not JSON containers."""
+    """STRUCT<shape MAP, leaves MAP> by JSON pointer; NULL for rows that are not JSON containers."""
     text = _col(text)
     return _flatten(F.when(text.rlike(r"^[ \t\r\n]*[\[{]"), text))
+
+
+def shape_hash(shape) -> Column:
+    """Identity of a shape map: equal for documents with the same paths and types."""
+    return F.sha2(F.to_json(F.array_sort(F.map_entries(_col(shape)))), 256)

@@ -124,13 +124,14 @@ REPORT = T.StructType([
     T.StructField("metrics", T.MapType(T.StringType(), T.LongType())),
 ])
 
+# ``scope`` is read as JSON text so that the types of its scalars survive.
 HUMAN_RULES = T.StructType([
     T.StructField("version", T.IntegerType()),
     T.StructField("rules", T.ArrayType(T.StructType([
         T.StructField("id", T.StringType()),
         T.StructField("pattern", T.StringType()),
         T.StructField("match", T.StringType()),
-        T.StructField("scope", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("scope", T.StringType()),
         T.StructField("enabled", T.BooleanType()),
     ]))),
     T.StructField("acknowledged", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
