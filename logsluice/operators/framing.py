@@ -41,17 +41,20 @@ def _block_carry():
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
-def prepare(lines: DataFrame) -> DataFrame:
-    """Source redaction and identity, block number, trimmed text, stamps, private-key state."""
+def identify(lines: DataFrame) -> DataFrame:
+    """Redact the source record and name it; needs ``source, line_no, raw`` [, ``partial``]."""
     if "partial" not in lines.columns:
         lines = lines.withColumn("partial", F.lit(False))
-    d = (
+    return (
         lines.withColumn("_safe", R.safe_source("source"))
         .withColumn("source_changed", ~F.col("_safe").eqNullSafe(F.col("source")))
         .withColumn("source", F.col("_safe")).drop("_safe")
         .withColumn("source_id", X.source_id("source"))
     )
-    d = _with_key_blocks(with_block(d, "line_no", LINES_PER_BLOCK))
+
+
+def stamp_lines(d: DataFrame) -> DataFrame:
+    """Repair and trim each line and take its time off: adds ``body, ts_raw, trunc, doubt``."""
     kube = F.coalesce(F.col("source.type") == "kubernetes", F.lit(False))
     return (
         d.withColumn("trunc", X.line_overflows("raw") | F.col("partial"))
@@ -68,14 +71,21 @@ def prepare(lines: DataFrame) -> DataFrame:
             .when(F.col("_pre") != "", F.expr("substr(_t, length(_pre) + 1)"))
             .otherwise(F.col("_t")),
         )
-        # A filter here would be pushed below every step above and repeat them; see mark_events.
-        .withColumn("kept", (F.col("body") != "") | F.col("private") | F.col("trunc"))
-        .select(
-            "kept", "source", "source_id", BLOCK, "line_no", "body", "trunc", "private", "source_changed",
-            F.coalesce("_tok", F.when(F.col("_pre") != "", F.trim("_pre", F.lit(" \t")))).alias("ts_raw"),
-            F.col("partial").alias("cut"),
-            (F.col("partial") | F.col("_bad") | (kube & F.col("_tok").isNull())).alias("doubt"),
-        )
+        .withColumn("ts_raw", F.coalesce(
+            "_tok", F.when(F.col("_pre") != "", F.trim("_pre", F.lit(" \t")))))
+        .withColumn("doubt", F.col("partial") | F.col("_bad") | (kube & F.col("_tok").isNull()))
+        .drop("_t", "_tok", "_pre", "_bad")
+    )
+
+
+def prepare(lines: DataFrame) -> DataFrame:
+    """Lines with source identity, block number, trimmed text, stamps and private-key state."""
+    d = with_block(identify(lines), "line_no", LINES_PER_BLOCK)
+    # A filter on ``kept`` would be pushed below every step and repeat them; see mark_events.
+    return stamp_lines(_with_key_blocks(d)).select(
+        ((F.col("body") != "") | F.col("private") | F.col("trunc")).alias("kept"),
+        "source", "source_id", BLOCK, "line_no", "body", "trunc", "private", "source_changed",
+        "ts_raw", F.col("partial").alias("cut"), "doubt",
     )
 
 

@@ -19,6 +19,16 @@ def load(spark: SparkSession, sf_dir: str, table: str, columns=None) -> DataFram
     return df.select(*columns) if columns else df
 
 
+def load_stream(spark: SparkSession, sf_dir: str, table: str, columns=None) -> DataFrame:
+    """The same table as an unbounded source, a few files at a time."""
+    schema = load(spark, sf_dir, table).schema
+    df = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
+        .parquet(f"{sf_dir}/{table}*.parquet")
+    )
+    return df.select(*columns) if columns else df
+
+
 def source_struct(**values) -> Column:
     """A full source record; unnamed fields are NULL."""
     fields = []
@@ -29,9 +39,9 @@ def source_struct(**values) -> Column:
     return F.struct(*fields)
 
 
-def events_log(spark: SparkSession, sf_dir: str, with_ids: bool = True) -> DataFrame:
+def events_log(spark: SparkSession, sf_dir: str, with_ids: bool = True, stream: bool = False) -> DataFrame:
     """One log event per row of ``events``."""
-    ev = load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"])
+    ev = (load_stream if stream else load)(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"])
     k = F.get_json_object("props", "$.k").cast("bigint")
     level = (
         F.when(F.col("event_type") == "error", "ERROR")
@@ -101,10 +111,10 @@ def synthetic_judgment() -> Column:
     )
 
 
-def judged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judged_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """``events_log`` with its keyword baseline and the synthetic verdict."""
     return (
-        events_log(spark, sf_dir)
+        events_log(spark, sf_dir, stream=stream)
         .withColumn("baseline", C.baseline("text"))
         .withColumn("judgment", synthetic_judgment())
     )

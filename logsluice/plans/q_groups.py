@@ -32,8 +32,8 @@ tick AS (SELECT *, coalesce(template_key, 'own:' || id) AS ticket, arrival // 10
 ALL = (O.EVENTS, O.BASE, O.JUDGED, O.DECIDED, TEMPLATES)
 
 
-def keyed_events(spark, sf_dir):
-    ev = A.judged_events(spark, sf_dir)
+def keyed_events(spark, sf_dir, stream=False):
+    ev = A.judged_events(spark, sf_dir, stream)
     keyed = M.with_template_key(ev, "drain", "classic", with_json=False)
     return keyed.withColumn("batch", F.floor(F.col("arrival") / 1000).cast("bigint"))
 

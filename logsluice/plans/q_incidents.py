@@ -32,8 +32,8 @@ fold AS (
 ALL = (O.EVENTS, O.BASE, O.JUDGED, O.DECIDED, _ACT)
 
 
-def decided_events(spark, sf_dir):
-    ev = A.judged_events(spark, sf_dir)
+def decided_events(spark, sf_dir, stream=False):
+    ev = A.judged_events(spark, sf_dir, stream)
     key = F.sha2(F.to_json(F.struct(
         F.lit("demo").alias("contract"),
         F.struct(F.col("source.namespace").alias("namespace")).alias("source"),
