@@ -12,6 +12,9 @@ Letter of a line = what happens to it:
   ``c``/``C`` continues any event (C: explicit stack marker)
   ``g``/``G`` continues only a Go event, otherwise starts one; ``r``/``R`` the same, as a Go start
   ``s`` continues only an event with stack context; ``b`` continues either kind
+  ``.`` an empty line: vanishes without touching any state
+Before neighbours are known, ``Y``/``Z`` are C/H lines that are Python frames, and ``i j k l``
+are h/s/g/b lines that continue the event when they directly follow such a frame.
 """
 
 from __future__ import annotations
@@ -23,21 +26,15 @@ from ..functions import classify as C, patterns as P, redact as R, text as X
 from .scale import BLOCK, LINES_PER_BLOCK, with_block
 
 # Runs of continuation letters by entry state; upper case opens stack context.
-_AFTER_STACK = "[cCsb]*"
-_AFTER_GO_STACK = "[cCgGrRsb]*"
-_PLAIN_BODY = f"c*(?:C{_AFTER_STACK})?"
-_GO_BODY = f"[cgrb]*(?:[CGR]{_AFTER_GO_STACK})?"
-# States: 0 plain, 1 stack, 2 go, 3 go with stack; 4 = nothing pending yet.
-_BODIES = (_PLAIN_BODY, _AFTER_STACK, _GO_BODY, _AFTER_GO_STACK)
+_AFTER_STACK = r"[cCsb.]*"
+_AFTER_GO_STACK = r"[cCgGrRsb.]*"
+_PLAIN_BODY = rf"[c.]*(?:C{_AFTER_STACK})?"
+_GO_BODY = rf"[cgrb.]*(?:[CGR]{_AFTER_GO_STACK})?"
+# States: 0 plain, 1 stack, 2 go, 3 go with stack, 4 nothing pending yet.
+_BODIES = (_PLAIN_BODY, _AFTER_STACK, _GO_BODY, _AFTER_GO_STACK, r"\.*")
 _EVENT = (
     f"(?:[pr]{_GO_BODY}|[PR]{_AFTER_GO_STACK}|[HCG]{_AFTER_STACK}|[hcgsb]{_PLAIN_BODY})"
 )
-
-
-def _block_carry():
-    return Window.partitionBy("source_id").orderBy(BLOCK)
-
-
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -78,100 +75,10 @@ def stamp_lines(d: DataFrame) -> DataFrame:
     )
 
 
-def prepare(lines: DataFrame) -> DataFrame:
-    """Lines with source identity, block number, trimmed text, stamps and private-key state."""
-    d = with_block(identify(lines), "line_no", LINES_PER_BLOCK)
-    # A filter on ``kept`` would be pushed below every step and repeat them; see mark_events.
-    return stamp_lines(_with_key_blocks(d)).select(
-        ((F.col("body") != "") | F.col("private") | F.col("trunc")).alias("kept"),
-        "source", "source_id", BLOCK, "line_no", "body", "trunc", "private", "source_changed",
-        "ts_raw", F.col("partial").alias("cut"), "doubt",
-    )
-
-
-def _with_key_blocks(d: DataFrame) -> DataFrame:
-    """Flag lines inside or touching a private-key block.
-
-    Only lines that carry a marker are summarised, so the carried state has one row per block
-    of lines that holds one; sources without keys add nothing.
-    """
-    has = F.col("raw").contains("PRIVATE KEY-----")
-    d = d.withColumn(
-        "_marks", F.when(has, F.regexp_extract_all("raw", F.lit(P.KEY_MARK), F.lit(1)))
-    )
-    marked = (
-        d.where(F.size("_marks") > 0)
-        .groupBy("source_id", BLOCK)
-        .agg(F.sort_array(F.collect_list(F.struct("line_no", F.element_at("_marks", -1).alias("m")))).alias("marks"))
-    )
-    following = Window.partitionBy("source_id").orderBy(BLOCK)
-    # A block that ends open covers every block up to the next one with a marker.
-    spans = marked.withColumn("_to", F.lead(BLOCK).over(following)).withColumn(
-        "_open", F.element_at("marks", -1)["m"] == "BEGIN"
-    )
-    entered = spans.where("_open AND _to IS NOT NULL").select(
-        "source_id", F.explode(F.sequence(F.col(BLOCK) + 1, F.col("_to"))).alias(BLOCK),
-        F.lit(True).alias("_entered"),
-    )
-    forever = spans.where("_open AND _to IS NULL").select("source_id", F.col(BLOCK).alias("_from"))
-    d = (
-        d.join(marked, ["source_id", BLOCK], "left")
-        .join(entered, ["source_id", BLOCK], "left")
-        .join(forever, "source_id", "left")
-    )
-    earlier = F.element_at(
-        F.filter("marks", lambda x: x["line_no"] < F.col("line_no")), -1
-    )["m"]
-    last = F.when(F.col("marks").isNotNull(), earlier)
-    opened = F.col("_entered").isNotNull() | F.coalesce(F.col(BLOCK) > F.col("_from"), F.lit(False))
-    inside = F.when(last.isNotNull(), last == "BEGIN").otherwise(opened)
-    return (
-        d.withColumn("private", inside | (F.coalesce(F.size("_marks"), F.lit(0)) > 0))
-        .drop("_marks", "marks", "_entered", "_from")
-    )
-
-
-def _lead(letters: Column, state: int) -> Column:
-    return F.length(F.regexp_extract(letters, f"^({_BODIES[state]})", 1))
-
-
-def _exit_state(state: int) -> Column:
-    """State after the block when it was entered in ``state``."""
-    letters, last, lead = F.col("letters"), F.col(f"_e{state}"), F.col(f"_l{state}")
-    fresh = F.when(last.rlike("^[prPR]"), 2).otherwise(0) + F.when(
-        last.rlike("[CGRHP]"), 1
-    ).otherwise(0)
-    kept = F.lit(state)
-    if state in (0, 2):
-        kept = kept + F.when(letters.rlike("[CGR]"), 1).otherwise(0)
-    return F.when(lead == F.length(letters), kept).otherwise(fresh)
-
-
-def _with_entry(d: DataFrame) -> DataFrame:
-    """Entry state of every block from the exit functions ``x0..x4`` of the blocks before it.
-
-    A block with a definite header leaves the same state whatever it was entered with, so the
-    block after it is decided at once. Blocks after an undecided one (8192 lines without a
-    single definite header) fold the packed functions since the last decided block.
-    """
-    by = _block_carry()
-    fixed = F.expr("x0 = x1 AND x1 = x2 AND x2 = x3 AND x3 = x4")
-    d = (
-        d.withColumn("_fixed", fixed)
-        .withColumn("_code", F.expr("x0 + x1 * 8 + x2 * 64 + x3 * 512 + x4 * 4096"))
-        .withColumn("_known", F.when(F.lag("_code").over(by).isNull(), 4).when(
-            F.lag("_fixed").over(by), F.lag("x0").over(by)
-        ))
-        .withColumn("_run", F.count("_known").over(
-            by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    )
-    in_run = Window.partitionBy("source_id", "_run").orderBy(BLOCK)
-    d = d.withColumn("_past", F.collect_list("_code").over(in_run.rowsBetween(*_BEFORE)))
-    d = d.withColumn("_start", F.first("_known").over(
-        in_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return d.withColumn(
-        "entry", F.expr("aggregate(_past, _start, (s, c) -> shiftright(c, s * 3) & 7)")
-    ).drop("_fixed", "_code", "_known", "_run", "_past", "_start")
+def key_mark(raw: str = "raw") -> Column:
+    """``BEGIN`` or ``END``: the last private-key marker of a line, else NULL."""
+    marks = F.regexp_extract_all(raw, F.lit(P.KEY_MARK), F.lit(1))
+    return F.when(F.col(raw).contains("PRIVATE KEY-----"), F.try_element_at(marks, F.lit(-1)))
 
 
 def line_letters(d: DataFrame) -> DataFrame:
@@ -205,134 +112,220 @@ def line_letters(d: DataFrame) -> DataFrame:
         F.col("_gostart"), F.when(F.col("_exp"), "P").otherwise("p")
     ).otherwise(F.when(F.col("_exp"), "H").otherwise("h"))
     d = d.withColumn("letter", letter)
-    python_detail = stamped & (body.startswith("    ") | body.startswith("\t")) & ~body.rlike(P.LEVEL_LINE)
+    python_detail = (
+        stamped & (body.startswith("    ") | body.startswith("\t")) & ~body.rlike(P.LEVEL_LINE)
+    )
     return d.withColumn(
         "alt", F.when(python_detail & ~F.col("_cont"), "c").otherwise(F.col("letter"))
-    ).withColumn("py", body.contains("File ") & body.rlike(P.PYTHON_FRAME))
+    ).withColumn("py", body.contains("File ") & body.rlike(P.PYTHON_FRAME)).drop(
+        "_may", "_exp", "_gohead", "_goline", "_gostart", "_detail", "_cont"
+    )
 
 
-def _block_table(prepared: DataFrame) -> DataFrame:
-    """One row per block: where its events start and what it inherits from earlier blocks."""
-    feats = line_letters(prepared).select(
-        "source_id", BLOCK,
-        F.when(F.col("kept"), F.struct("line_no", "letter", "alt", "py")).alias("_x"),
+def _exit_of(event: Column) -> Column:
+    """State left behind by an event, from its letters."""
+    return F.when(event.rlike("^[prPR]"), 2).otherwise(0) + F.when(
+        event.rlike("[CGRHP]"), 1
+    ).otherwise(0)
+
+
+def _last_event(letters: Column) -> Column:
+    events = F.regexp_extract_all(letters, F.lit(f"({_EVENT})"), F.lit(1))
+    return F.coalesce(F.try_element_at(events, F.lit(-1)), F.lit(""))
+
+
+def _exit_when_open(state: int) -> Column:
+    """Exit state of a block without a definite header, entered in ``state``."""
+    lead = F.length(F.regexp_extract("letters", f"^({_BODIES[state]})", 1))
+    kept = F.lit(state)
+    if state in (0, 2):
+        kept = kept + F.when(F.col("letters").rlike("[CGR]"), 1).otherwise(0)
+    tail = F.substr(F.col("letters"), lead + 1, F.length("letters"))
+    return F.when(lead == F.length("letters"), kept).otherwise(_exit_of(_last_event(tail)))
+
+
+def _with_entry(d: DataFrame) -> DataFrame:
+    """Entry state of every block from the exit functions ``x0..x4`` of the blocks before it.
+
+    A block with a definite header leaves the same state whatever it was entered with, so the
+    block after it is decided at once. Blocks after an undecided one (8192 lines without a
+    single definite header) fold the packed functions since the last decided block.
+    """
+    by = Window.partitionBy("source_id").orderBy(BLOCK)
+    # The last definite header of a block and what follows it settle the exit state.
+    d = d.withColumn("_tail", F.regexp_extract("letters", r"([hHpP][^hHpP]*)\z", 1))
+    d = d.withColumn("_fixed", F.col("_tail") != "")
+    d = d.withColumn("_x", F.when(F.col("_fixed"), _exit_of(_last_event(F.col("_tail")))))
+    code = sum(
+        (F.when(F.col("_fixed"), F.col("_x")).otherwise(_exit_when_open(s)) * 8**s for s in range(5)),
+        F.lit(0),
     )
     d = (
-        feats.groupBy("source_id", BLOCK)
-        .agg(F.sort_array(F.collect_list("_x")).alias("_l"))
-        .where(F.size("_l") > 0)
+        d.withColumn("_code", code)
+        .withColumn("_known", F.when(F.lag("_code").over(by).isNull(), 4).otherwise(F.lag("_x").over(by)))
+        .withColumn("_run", F.count("_known").over(
+            by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    )
+    in_run = Window.partitionBy("source_id", "_run").orderBy(BLOCK)
+    d = d.withColumn("_past", F.collect_list("_code").over(in_run.rowsBetween(*_BEFORE)))
+    d = d.withColumn("_start", F.first("_known").over(
+        in_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return d.withColumn(
+        "entry", F.expr("aggregate(_past, _start, (s, c) -> shiftright(c, s * 3) & 7)")
+    ).drop("_tail", "_fixed", "_x", "_code", "_known", "_run", "_past", "_start")
+
+
+def _private_flags(entered: Column) -> Column:
+    """'1' per line inside or touching a key block, from the marker string ``_marks``.
+
+    B opens (again), E closes; both marker lines belong to the block.
+    """
+    lead = F.when(entered, F.regexp_extract("_marks", "^([^E]*E?)", 1)).otherwise("")
+    rest = F.substr(F.col("_marks"), F.length(lead) + 1, F.length("_marks"))
+    spans = F.regexp_extract_all(rest, F.lit("(B[^E]*E?|E|[^BE]+)"), F.lit(1))
+    return F.concat(
+        F.repeat(F.lit("1"), F.length(lead)),
+        F.array_join(F.transform(spans, lambda s: F.when(
+            s.rlike("^[BE]"), F.repeat(F.lit("1"), F.length(s))).otherwise(F.repeat(F.lit("0"), F.length(s)))), ""),
+    )
+
+
+def block_table(stamped: DataFrame) -> DataFrame:
+    """One row per block: where its events start and what it inherits from earlier blocks.
+
+    ``flags`` has '1' where an event starts and ``private`` (NULL in blocks untouched by key
+    material) '1' on private lines; both are aligned with the lines of the block.
+    """
+    coded = line_letters(stamped).withColumn(
+        "_ch",
+        F.when(F.col("py"), F.translate("letter", "CcHh", "YYZZ"))
+        .when(F.col("alt") != F.col("letter"), F.translate("letter", "hsgb", "ijkl"))
+        .otherwise(F.col("letter")),
+    )
+    empty = (F.col("body") == "") & ~F.col("trunc")
+    d = coded.select(
+        "source_id", BLOCK, "line_no", F.when(empty, ".").otherwise(F.col("_ch")).alias("c"),
+        F.substring(key_mark(), 1, 1).alias("m"),
     )
-    # A line takes its alternative letter when the line before it is a Python frame.
-    rest = F.zip_with(
-        F.slice("_l", 2, LINES_PER_BLOCK), F.expr("slice(_l, 1, size(_l) - 1)"),
-        lambda x, before: F.when(before["py"], x["alt"]).otherwise(x["letter"]),
+    d = d.groupBy("source_id", BLOCK).agg(
+        F.sort_array(F.collect_list(F.struct("line_no", "c", "m"))).alias("_l"),
+        F.max_by("m", F.when(F.col("m").isNotNull(), F.col("line_no"))).alias("_mark"),
     )
+    by = Window.partitionBy("source_id").orderBy(BLOCK)
+    earlier = F.last("_mark", ignorenulls=True).over(by.rowsBetween(*_BEFORE))
+    d = d.withColumn("_entered", F.coalesce(earlier == "B", F.lit(False)))
+    touched = F.col("_entered") | F.col("_mark").isNotNull()
+    d = d.withColumn("_marks", F.when(touched, F.array_join(
+        F.transform("_l", lambda x: F.coalesce(x["m"], F.lit("-"))), "")))
+    d = d.withColumn("private", F.when(touched, _private_flags(F.col("_entered"))))
+    plain = F.array_join(F.transform("_l", lambda x: x["c"]), "")
+    # An empty line inside a key block is an event of its own.
+    with_keys = F.array_join(F.transform("_l", lambda x, i: F.when(
+        (x["c"] == ".") & (F.substr(F.col("private"), i + 1, F.lit(1)) == "1"), "h").otherwise(x["c"])), "")
     d = d.select(
-        "source_id", BLOCK,
-        F.array_join(rest, "").alias("_rest"),
-        F.col("_l")[0]["letter"].alias("_first"), F.col("_l")[0]["alt"].alias("_alt"),
-        F.element_at("_l", -1)["py"].alias("_py"),
+        "source_id", BLOCK, "private", F.when(touched, with_keys).otherwise(plain).alias("_s"),
     )
-    by = _block_carry()
-    d = d.withColumn(
-        "letters",
-        F.concat(
-            F.when(F.coalesce(F.lag("_py").over(by), F.lit(False)), F.col("_alt")).otherwise(F.col("_first")),
-            F.col("_rest"),
-        ),
-    ).select("source_id", BLOCK, "letters")
-    for state in range(4):
-        d = d.withColumn(f"_l{state}", _lead(F.col("letters"), state))
-    d = d.withColumn("_l4", F.lit(0))
-    for state in range(5):
-        events = F.regexp_extract_all(
-            F.expr(f"substr(letters, _l{state} + 1)"), F.lit(f"({_EVENT})"), F.lit(1)
-        )
-        d = d.withColumn(f"_e{state}", F.coalesce(F.try_element_at(events, F.lit(-1)), F.lit("")))
-    for state in range(5):
-        d = d.withColumn(f"x{state}", _exit_state(state).cast("int"))
-    d = d.drop(*[f"_e{s}" for s in range(5)])
+    # Python detail lines: resolved inside the block, then for the first line of the block.
+    ends_py = F.col("_s").rlike(r"[YZ]\.*\z")
+    hollow = F.col("_s").rlike(r"^\.*\z")
+    carried = F.last(F.when(~hollow, ends_py), ignorenulls=True).over(by.rowsBetween(*_BEFORE))
+    d = d.withColumn("_py", F.coalesce(carried, F.lit(False)))
+    d = d.withColumn("_s", F.when(
+        F.col("_py"), F.regexp_replace("_s", r"^(\.*)[ijkl]", "$1c")).otherwise(F.col("_s")))
+    d = d.select("source_id", BLOCK, "private", F.translate(
+        F.regexp_replace("_s", r"([YZ]\.*)[ijkl]", "$1c"), "ijklYZ", "hsgbCH").alias("letters"))
     d = _with_entry(d)
-    lead = F.expr("CASE entry WHEN 0 THEN _l0 WHEN 1 THEN _l1 WHEN 2 THEN _l2 WHEN 3 THEN _l3 ELSE 0 END")
-    # '1' where an event starts, '0' elsewhere, aligned with the letters.
-    starts = F.regexp_replace(
-        F.regexp_replace(F.expr("substr(letters, _lead + 1)"), f"({_EVENT})", "|$1"), r"\|[a-zA-Z]", "1"
-    )
+    lead = F.expr("CAST(0 AS INT)")
+    for state in range(5):
+        lead = F.when(
+            F.col("entry") == state, F.length(F.regexp_extract("letters", f"^({_BODIES[state]})", 1))
+        ).otherwise(lead)
+    starts = F.regexp_replace(F.expr("substr(letters, _lead + 1)"), f"({_EVENT})", "|$1")
     d = (
         d.withColumn("_lead", lead)
         .withColumn("flags", F.concat(
-            F.expr("repeat('0', _lead)"), F.regexp_replace(starts, "[a-zA-Z]", "0")
+            F.expr("repeat('0', _lead)"),
+            F.regexp_replace(F.regexp_replace(starts, r"\|[a-zA-Z]", "1"), "[a-zA-Z.]", "0"),
         ))
-        .withColumn("_n", F.length("letters").cast("bigint"))
+        .withColumn("_n", F.length(F.replace(F.col("letters"), F.lit("."), F.lit(""))).cast("bigint"))
         # 1-based position of the last start, 0 when the block starts no event.
-        .withColumn("_last", F.expr("if(instr(flags, '1') = 0, 0, length(flags) - instr(reverse(flags), '1') + 1)"))
+        .withColumn("_last", F.expr(
+            "if(instr(flags, '1') = 0, 0, length(flags) - instr(reverse(flags), '1') + 1)"))
         .withColumn("_seen", F.coalesce(F.sum("_n").over(by.rowsBetween(*_BEFORE)), F.lit(0)))
-        .withColumn("_open", F.when(
-            F.col("_last") > 0, F.struct(F.col(BLOCK).alias("b"), F.col("_last").alias("i"), F.col("_seen").alias("s"))
-        ))
+        .withColumn("_before_last", F.length(F.replace(
+            F.expr("substr(letters, 1, _last)"), F.lit("."), F.lit(""))))
+        .withColumn("_open", F.when(F.col("_last") > 0, F.struct(
+            F.col(BLOCK).alias("b"), F.col("_last").alias("i"),
+            (F.col("_seen") + F.col("_before_last")).alias("o"),
+        )))
         .withColumn("_in", F.last("_open", ignorenulls=True).over(by.rowsBetween(*_BEFORE)))
     )
     return d.select(
-        "source_id", BLOCK, "flags", F.col("_seen").alias("seen"),
-        F.col("_in.b").alias("in_block"), F.col("_in.i").alias("in_idx"), F.col("_in.s").alias("in_seen"),
-        ((F.col("entry") == 4) & F.substring("letters", 1, 1).isin("c", "C")).alias("orphan_first"),
+        "source_id", BLOCK, "flags", "private", F.col("_seen").alias("seen"),
+        F.col("_in.b").alias("in_block"), F.col("_in.i").alias("in_idx"), F.col("_in.o").alias("in_ord"),
+        F.when(
+            (F.col("entry") == 4) & F.col("letters").rlike(r"^\.*[cC]"), F.instr("flags", "1")
+        ).alias("orphan_at"),
     )
 
 
-def mark_events(prepared: DataFrame) -> DataFrame:
-    """Add the event key of every line: block and position of the event's first line."""
+def mark_events(clean: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Add the event key of every line that stays: block and position of its event's first line."""
     by = Window.partitionBy("source_id", BLOCK).orderBy("line_no")
     running = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = (
-        prepared.withColumn("_idx", F.sum(F.col("kept").cast("int")).over(running).cast("int"))
-        .where("kept")
-        .join(_block_table(prepared), ["source_id", BLOCK])
+        clean.withColumn("_idx", F.row_number().over(by))
+        .join(blocks, ["source_id", BLOCK])
+        .withColumn("is_private", F.coalesce(F.expr("substr(private, _idx, 1) = '1'"), F.lit(False)))
+        .withColumn("text", F.when(F.col("is_private"), P.KEY_BLOCK_TEXT).otherwise(F.col("safe")))
+        .where((F.col("body") != "") | F.col("is_private") | F.col("trunc"))
         .withColumn("_start", F.expr("substr(flags, _idx, 1) = '1'"))
-        .withColumn("_own", F.last(F.when(F.col("_start"), F.col("_idx")), ignorenulls=True).over(running))
+        .withColumn("size", (F.octet_length("text") + 1).cast("bigint"))
+    )
+    # One pass over the sorted block: ordinal, bytes so far, and the event start in force.
+    d = (
+        d.withColumn("_ord", F.count(F.lit(1)).over(running))
+        .withColumn("_cum", F.sum("size").over(running))
     )
+    mark = F.when(F.col("_start"), F.struct(
+        F.col("_idx").alias("i"), F.col("_ord").alias("o"), (F.col("_cum") - F.col("size")).alias("c")))
+    d = d.withColumn("_own", F.last(mark, ignorenulls=True).over(running))
     inherited = F.col("_own").isNull()
     return d.select(
-        *prepared.columns,
+        "source_id", "source", "line_no", "ts_raw", "text", "size", "trunc", "doubt", "changed",
+        "ambiguous", "source_changed", "is_private",
         F.when(inherited, F.col("in_block")).otherwise(F.col(BLOCK)).alias("ev_block"),
-        F.when(inherited, F.col("in_idx")).otherwise(F.col("_own")).alias("ev_idx"),
-        (
-            F.col("seen") + F.col("_idx")
-            - F.when(inherited, F.col("in_seen") + F.col("in_idx")).otherwise(F.col("seen") + F.col("_own"))
-        ).alias("nth"),
-        (F.col("orphan_first") & (F.col("_idx") == 1)).alias("orphan"),
+        F.when(inherited, F.col("in_idx")).otherwise(F.col("_own.i")).alias("ev_idx"),
+        (F.col("seen") + F.col("_ord") - F.when(inherited, F.col("in_ord"))
+         .otherwise(F.col("seen") + F.col("_own.o"))).alias("nth"),
+        # Bytes of the event before this line, counting this block only.
+        (F.col("_cum") - F.col("size") - F.coalesce(F.col("_own.c"), F.lit(0))).alias("offset"),
+        F.coalesce(F.col("_idx") == F.col("orphan_at"), F.lit(False)).alias("orphan"),
     )
 
 
-def assemble(marked: DataFrame, with_json: bool = True) -> DataFrame:
-    """One row per event from redacted lines that know their event."""
-    d = R.with_redaction(marked, "body", with_json).withColumn(
-        "text", F.when(F.col("private"), P.KEY_BLOCK_TEXT).otherwise(F.col("safe"))
-    ).drop("body", "safe")
-    in_event = Window.partitionBy("source_id", BLOCK, "ev_block", "ev_idx").orderBy("line_no")
-    size = (F.octet_length("text") + 1).cast("bigint")
+def assemble(marked: DataFrame) -> DataFrame:
+    """One row per event from lines that know their event."""
     # Lines that cannot reach the clipped text are counted but not collected: each earlier line
     # takes at least one byte, and the bytes of this block alone are a lower bound.
-    d = d.withColumn(
-        "_off", F.coalesce(F.sum(size).over(in_event.rowsBetween(*_BEFORE)), F.lit(0))
-    )
-    needed = (F.col("nth") < S.MAX_EVENT_BYTES) & (F.col("_off") < S.MAX_EVENT_BYTES)
-    d = d.withColumn("_piece", F.when(
+    needed = (F.col("nth") < S.MAX_EVENT_BYTES) & (F.col("offset") < S.MAX_EVENT_BYTES)
+    d = marked.withColumn("_piece", F.when(
         needed, F.struct(F.col("line_no"), X.clip_bytes("text", S.MAX_EVENT_BYTES).alias("text"))
     ))
     ev = d.groupBy("source_id", "ev_block", "ev_idx").agg(
-        F.min_by("source", "line_no").alias("source"),
-        F.min_by("ts_raw", "line_no").alias("ts_raw"),
+        F.min_by(F.struct("source", "ts_raw"), "line_no").alias("_head"),
         F.min("line_no").alias("line_start"),
         F.max("line_no").alias("line_end"),
         F.count(F.lit(1)).alias("line_count"),
-        (F.sum(size) - 1).alias("_bytes"),
-        (F.max("trunc") | F.max("cut")).alias("_trunc"),
-        (F.max("changed") | F.max("private") | F.max("source_changed")).alias("sensitive"),
-        (F.max("doubt") | F.max("ambiguous") | F.max("orphan")).alias("parse_uncertain"),
+        (F.sum("size") - 1).alias("_bytes"),
+        F.max("trunc").alias("_trunc"),
+        F.max(F.col("changed") | F.col("is_private") | F.col("source_changed")).alias("sensitive"),
+        F.max(F.col("doubt") | F.col("ambiguous") | F.col("orphan")).alias("parse_uncertain"),
         F.sort_array(F.collect_list("_piece")).alias("_pieces"),
     )
     ev = (
-        ev.withColumn("text", F.array_join(F.transform("_pieces", lambda p: p["text"]), "\n"))
+        ev.select("*", "_head.*")
+        .withColumn("text", F.array_join(F.transform("_pieces", lambda p: p["text"]), "\n"))
         .withColumn("text", X.clip_bytes("text", S.MAX_EVENT_BYTES))
         .withColumn("truncated", F.col("_trunc") | (F.col("_bytes") > S.MAX_EVENT_BYTES))
     )
@@ -347,7 +340,9 @@ def assemble(marked: DataFrame, with_json: bool = True) -> DataFrame:
 def frame_events(lines: DataFrame, with_json: bool = True) -> DataFrame:
     """Lines (``source, line_no, raw`` [, ``partial``]) to framed, redacted events.
 
-    Three passes over the lines: markers of key blocks (almost nothing survives), letters (a
-    few bytes per line), and the text itself, which is shuffled by block and then by event.
+    Two passes over the lines: one letter per line for the block table, and the text itself,
+    which is shuffled by block and then by event.
     """
-    return assemble(mark_events(prepare(lines)), with_json)
+    stamped = stamp_lines(with_block(identify(lines), "line_no", LINES_PER_BLOCK))
+    clean = R.with_redaction(stamped, "body", with_json).drop("raw", "partial")
+    return assemble(mark_events(clean, block_table(stamped)))

@@ -149,11 +149,10 @@ def frame_stream(lines: DataFrame, with_json: bool = True, preview: bool = False
         lines = lines.withColumn("eof", F.lit(False))
     d = W.line_letters(W.stamp_lines(W.identify(lines)))
     d = R.with_redaction(d, "body", with_json)
-    mark = F.try_element_at(F.regexp_extract_all("raw", F.lit(P.KEY_MARK), F.lit(1)), F.lit(-1))
     d = d.select(
         "source_id", F.to_json("source").alias("source"), "line_no", "ts_raw", "safe",
         (F.col("body") != "").alias("has_body"),
-        F.when(F.col("raw").contains("PRIVATE KEY-----"), mark).alias("mark"),
+        W.key_mark().alias("mark"),
         "letter", "alt", "py", "trunc", "changed", "ambiguous", "doubt", "source_changed",
         F.coalesce("eof", F.lit(False)).alias("eof"), F.coalesce("partial", F.lit(False)).alias("partial"),
         F.unix_micros(F.try_to_timestamp("ts_raw")).alias("ts_us"),
