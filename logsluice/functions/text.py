@@ -77,6 +77,12 @@ def prefix_stamp(text) -> Column:
     ).otherwise(F.lit(""))
 
 
+def _never_null(hashed: Column) -> Column:
+    """Joins on a nullable key make Spark test the key below every projection, which would
+    compute the hash a second time for each row."""
+    return F.coalesce(hashed, F.lit(""))
+
+
 def event_id(source, ts_raw, line_start, text) -> Column:
     body = F.to_json(
         F.struct(
@@ -85,7 +91,7 @@ def event_id(source, ts_raw, line_start, text) -> Column:
         ),
         {"ignoreNullFields": "false"},
     )
-    return F.substring(F.sha2(body, 256), 1, 20)
+    return _never_null(F.substring(F.sha2(body, 256), 1, 20))
 
 
 def group_id(source, text) -> Column:
@@ -93,11 +99,11 @@ def group_id(source, text) -> Column:
         F.struct(_col(source).alias("source"), _col(text).alias("text")),
         {"ignoreNullFields": "false"},
     )
-    return F.substring(F.sha2(body, 256), 1, 20)
+    return _never_null(F.substring(F.sha2(body, 256), 1, 20))
 
 
 def source_id(source) -> Column:
-    return F.sha2(F.to_json(_col(source), {"ignoreNullFields": "false"}), 256)
+    return _never_null(F.sha2(F.to_json(_col(source), {"ignoreNullFields": "false"}), 256))
 
 
 def contract_id(*parts: str) -> str:

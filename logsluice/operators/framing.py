@@ -42,11 +42,11 @@ def identify(lines: DataFrame) -> DataFrame:
     """Redact the source record and name it; needs ``source, line_no, raw`` [, ``partial``]."""
     if "partial" not in lines.columns:
         lines = lines.withColumn("partial", F.lit(False))
-    return (
-        lines.withColumn("_safe", R.safe_source("source"))
-        .withColumn("source_changed", ~F.col("_safe").eqNullSafe(F.col("source")))
-        .withColumn("source", F.col("_safe")).drop("_safe")
-        .withColumn("source_id", X.source_id("source"))
+    lines = lines.withColumn("_safe", R.safe_source("source"))
+    return lines.select(
+        F.col("_safe").alias("source"), X.source_id("_safe").alias("source_id"),
+        (~F.col("_safe").eqNullSafe(F.col("source"))).alias("source_changed"),
+        *[c for c in lines.columns if c not in ("_safe", "source")],
     )
 
 

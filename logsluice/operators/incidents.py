@@ -17,7 +17,7 @@ LEASE_SECONDS = 30
 
 
 def _json_hash(*cols: Column) -> Column:
-    return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+    return F.coalesce(F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256), F.lit(""))
 
 
 def with_incident_keys(events: DataFrame, contract: str) -> DataFrame:
@@ -135,7 +135,9 @@ def fold_incidents(events: DataFrame, policy: Policy = Policy(), order: str = "a
 
 
 def notification_id(key, seq) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.lit("notification-v1"), key, seq.cast("string")), 256)
+    return F.coalesce(
+        F.sha2(F.concat_ws("\x1f", F.lit("notification-v1"), key, seq.cast("string")), 256), F.lit("")
+    )
 
 
 def outbox(folded: DataFrame, events: DataFrame, order: str = "arrival") -> DataFrame:

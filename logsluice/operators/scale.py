@@ -18,7 +18,8 @@ ROWS_PER_BLOCK = 65536
 
 
 def with_block(df: DataFrame, order: str, size: int, name: str = BLOCK) -> DataFrame:
-    return df.withColumn(name, F.floor(F.col(order) / F.lit(size)).cast("bigint"))
+    # Never NULL, for the reason given at ``text._never_null``.
+    return df.withColumn(name, F.coalesce(F.floor(F.col(order) / F.lit(size)).cast("bigint"), F.lit(0)))
 
 
 def running_total(
