@@ -100,7 +100,7 @@ SECURITY_WORDS = any_case(
 )
 
 # --- templates (fixed values) ---
-PROTECTED_NAME = any_case(
+PROTECTED_WORDS = (
     "status", "code", "level", "error", "auth", "role", "security", "fraud", "permission",
     "success", "fail", "result", "outcome", "severity", "payment", "amount", "balance", "backup",
     "bytes", "count", "denied", "permit", "privilege", "access", "allow", "grant", "acl",
@@ -108,12 +108,22 @@ PROTECTED_NAME = any_case(
     "importance", "operation", "messagekind", "duration", "latency", "identity", "tenant",
     "username",
 )
+# Names are compared without their separators, so only ASCII letters count.
+PROTECTED_NAME = "(?i:" + "|".join(PROTECTED_WORDS) + ")"
+
+
+def protected_inside(stop: str) -> str:
+    """A protected word anywhere before ``stop``, with separators allowed between its letters."""
+    gap = f"[^a-zA-Z0-9{stop}]*"
+    return f"[^{stop}]*(?i:" + "|".join(gap.join(w) for w in PROTECTED_WORDS) + ")"
+
+
 OPAQUE_BODY = (
     "(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{16,64})"
 )
 ID_NAME_BODY = any_case(
     "request[_-]?id", "trace[_-]?id", "span[_-]?id", "correlation[_-]?id", "session[_-]?id",
 )
-NUMBER_TOKEN = r"^[+-]?[0-9]+(?:\.[0-9]+)?\z"
-ADDRESS_TOKEN = r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}\z"
-CLOCK_TOKEN = r"^[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?\z"
+VARIABLE_BODY = (
+    r"(?:[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[+-]?[0-9]+(?:\.[0-9]+)?)"
+)

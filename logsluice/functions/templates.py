@@ -14,52 +14,42 @@ from .redact import _Literal, parse_document, quote
 from .text import _col
 
 _ID_PAIR = rf"(?<=^|[ ])({P.ID_NAME_BODY})={P.OPAQUE_BODY}(?=[ ]|\z)"
+_END = r"(?=[ ]|\z)"
+# name=value whose name is free; the name ends at the first equals sign.
+# The cheap test for a variable value comes before the search for protected words.
+_VALUE_PAIR = (
+    rf"(?<=^|[ ])(?=[^ =]*+={P.VARIABLE_BODY}{_END})(?!{P.protected_inside(' =')})"
+    rf"([^ =]*)={P.VARIABLE_BODY}{_END}"
+)
+# A bare value at the start, or after a word that does not decide what it means. Three-digit
+# results from 100 to 599 stay.
+_BARE_VALUE = (
+    rf"(^|(?<=^|[ ])(?=[^ ]++ {P.VARIABLE_BODY}{_END})(?!{P.protected_inside(' ')})"
+    rf"(?!HTTP/|Completed )[^ ]+ )"
+    rf"(?![1-5][0-9][0-9]{_END}){P.VARIABLE_BODY}{_END}"
+)
 
 
 def protected_field(name) -> Column:
     return F.regexp_replace(_col(name), "[^a-zA-Z0-9]", "").rlike(P.PROTECTED_NAME)
 
 
-def _varies(token: Column) -> Column:
-    return token.rlike(P.NUMBER_TOKEN) | token.rlike(P.ADDRESS_TOKEN) | token.rlike(P.CLOCK_TOKEN)
-
-
 def text_template(text, masking: str = "strict") -> Column:
     """Template of a plain-text message.
 
     strict masks opaque request/trace/span/correlation/session ids. classic also masks numbers,
     addresses and clocks unless the word before them, or the field name, is protected.
     """
-    text = _col(text)
-    if masking == "strict":
-        flat = F.trim(F.regexp_replace(text, P.TOKEN_GAP, " "))
-        return F.regexp_replace(flat, _ID_PAIR, "$1=<id>")
-    if masking != "classic":
+    if masking not in ("strict", "classic"):
         raise ValueError("masking is strict or classic")
-    tokens = C.token_list(text)
-
-    def mask(pair: Column) -> Column:
-        tok, prev = pair["t"], pair["p"]
-        name = F.substring_index(tok, "=", 1)
-        value = F.regexp_replace(tok, "^[^=]*=", "")
-        is_id = name.rlike(f"^(?:{P.ID_NAME_BODY})\\z") & value.rlike(f"^{P.OPAQUE_BODY}\\z")
-        as_field = (
-            F.when(protected_field(name), tok).when(is_id, F.concat(name, F.lit("=<id>")))
-            .when(_varies(value), F.concat(name, F.lit("=<value>"))).otherwise(tok)
-        )
-        literal = protected_field(prev) | prev.startswith("HTTP/") | (prev == "Completed")
-        as_word = (
-            F.when(F.coalesce(literal, F.lit(False)), tok).when(tok.rlike("^[1-5][0-9][0-9]\\z"), tok)
-            .when(_varies(tok), "<value>").otherwise(tok)
-        )
-        return F.when(tok.contains("="), as_field).otherwise(as_word)
-
-    # Pair each token with the one before it; both lists are built once.
-    with_prev = F.zip_with(
-        tokens, F.concat(F.array(F.lit(None).cast("string")), tokens),
-        lambda t, p: F.struct(t.alias("t"), p.alias("p")),
-    )
-    return F.array_join(F.transform(F.filter(with_prev, lambda x: x["t"].isNotNull()), mask), " ")
+    flat = F.trim(F.regexp_replace(_col(text), P.TOKEN_GAP, " "))
+    out = F.regexp_replace(flat, _ID_PAIR, "$1=<id>")
+    if masking == "classic":
+        out = F.regexp_replace(out, _VALUE_PAIR, "$1=<value>")
+        # A match consumes the word before it, so neighbours need the second pass.
+        out = F.regexp_replace(out, _BARE_VALUE, "$1<value>")
+        out = F.regexp_replace(out, _BARE_VALUE, "$1<value>")
+    return out
 
 
 _PY = {
@@ -149,7 +139,8 @@ def template_scope(source) -> Column:
 
 
 def version_id(strategy: str, masking: str, template) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.lit("template-v1"), F.lit(strategy), F.lit(masking), _col(template)), 256)
+    parts = (F.lit("template-v1"), F.lit(strategy), F.lit(masking), _col(template))
+    return F.coalesce(F.sha2(F.concat_ws("\x1f", *parts), 256), F.lit(""))
 
 
 def with_template_key(df: DataFrame, strategy: str = "drain", masking: str = "strict", with_json: bool = True) -> DataFrame:
@@ -176,6 +167,21 @@ def with_template_key(df: DataFrame, strategy: str = "drain", masking: str = "st
     return df.withColumn("template_key", F.when(F.col("eligible"), key)).drop("template")
 
 
+def families(events: DataFrame) -> DataFrame:
+    """Events that belong to a family, with a key Spark knows to be present.
+
+    Testing ``template_key`` itself would build every template a second time inside the filter,
+    and joining on it a third time.
+    """
+    test = F.col("eligible") if "eligible" in events.columns else F.col("template_key").isNotNull()
+    return events.where(test).withColumn("template_key", F.coalesce("template_key", F.lit("")))
+
+
+def outside_families(events: DataFrame) -> DataFrame:
+    test = ~F.col("eligible") if "eligible" in events.columns else F.col("template_key").isNull()
+    return events.where(test)
+
+
 # --- JSON shape -------------------------------------------------------------------------
 
 _TYPE_NAMES = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import schema as S
 from ..functions import classify as C, redact as R, text as X
+from ..functions.templates import families
 from .scale import ROWS_PER_BLOCK, running_rank, with_block
 
 
 def with_ticket(events: DataFrame) -> DataFrame:
     """``ticket``: the template key, or the event's own id where sharing is not allowed."""
     return events.withColumn(
-        "ticket", F.coalesce("template_key", F.concat(F.lit("own:"), F.col("id")))
+        "ticket", F.coalesce("template_key", F.concat(F.lit("own:"), F.col("id")), F.lit("own:"))
     )
 
 
@@ -205,7 +206,7 @@ def analysis_counters(events: DataFrame, judged_groups: DataFrame, reviewed: Dat
 
 def template_checkpoint(events: DataFrame) -> DataFrame:
     """Opaque family counters; carries no text."""
-    return events.where("template_key IS NOT NULL").groupBy("template_key", "version_id").agg(
+    return families(events).groupBy("template_key", "version_id").agg(
         F.count(F.lit(1)).alias("seen")
     )
 

@@ -42,7 +42,8 @@ def learning_eligible(events: DataFrame) -> Column:
 
 def template_evidence(events: DataFrame, key: str = "template_key", order: str = "arrival") -> DataFrame:
     """Per family: occurrences, up to eight distinct samples in first-seen order, last verdict."""
-    d = events.where(F.col(key).isNotNull()).withColumn("_sid", F.xxhash64("text"))
+    known = M.families(events) if key == "template_key" else events.where(F.col(key).isNotNull())
+    d = known.withColumn("_sid", F.xxhash64("text"))
     per_text = d.groupBy(key, "_sid", "text").agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("first"),
         F.max_by("judgment", order).alias("j"), F.max(order).alias("last"),
@@ -68,8 +69,9 @@ def learning_thresholds(events: DataFrame, min_samples: int, key: str = "templat
     """
     if not 2 <= min_samples <= 16:
         raise ValueError("between 2 and 16 samples")
+    known = M.families(events) if key == "template_key" else events.where(F.col(key).isNotNull())
     ranked = running_rank(
-        events.where(F.col(key).isNotNull()).withColumn("_block", F.col(clock)),
+        known.withColumn("_block", F.coalesce(F.col(clock), F.lit(0))),
         [key], [clock, order], "occurrences",
     ).drop("_block")
     return ranked.where(F.col("occurrences").isin(min_samples, *LATER_THRESHOLDS))

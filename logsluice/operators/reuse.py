@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import classify as C
+from ..functions.templates import families, outside_families
 from .scale import ROWS_PER_BLOCK, ordered_fold, preceding_max, running_rank, with_block
 
 
@@ -48,7 +49,7 @@ def audit_schedule(events: DataFrame, key: str = "template_key", order: str = "a
                    clock: str = "ts_s", max_interval: int = 1024) -> DataFrame:
     """Add ``seen`` (ordinal in the family) and ``audit`` for families with stable verdicts."""
     d = running_rank(
-        events.where(F.col(key).isNotNull()).withColumn("_block", F.col(clock)),
+        families(events).withColumn("_block", F.coalesce(F.col(clock), F.lit(0))),
         [key], [clock, order], "seen",
     ).drop("_block")
     return d.withColumn("audit", audit_due(F.col("seen"), max_interval))
@@ -133,8 +134,8 @@ def reuse_verdicts(
     d = events.withColumn("_seeds", seeds).withColumn(
         "_routine", F.coalesce(F.col("judgment.importance") == "routine", F.lit(False))
     )
-    solo = d.where("template_key IS NULL")
-    fam = d.where("template_key IS NOT NULL")
+    solo = outside_families(d)
+    fam = families(d)
     if vetoes is not None:
         # Small operator-maintained list; Spark picks the join by its size.
         fam = fam.join(
@@ -186,9 +187,12 @@ def reuse_verdicts(
         .withColumn("_rep_n", F.when(F.col("reused"), F.coalesce("_here", "entry_n")))
     )
     keep = [c for c in events.columns]
-    judged = placed.where(F.col("_why").isNotNull()).select(
-        "template_key", F.col("ts_s").alias("_rep_s"), F.col("_n").alias("_rep_n"),
-        F.col("id").alias("representative_id"), F.col("judgment").alias("_copied"),
+    # The judged events themselves give the id and verdict that later members copy.
+    judged = calls.join(
+        fam.select("template_key", "ts_s", "_n", F.col("id").alias("representative_id"), F.col("judgment").alias("_copied")),
+        ["template_key", "ts_s", "_n"],
+    ).select(
+        "template_key", F.col("ts_s").alias("_rep_s"), F.col("_n").alias("_rep_n"), "representative_id", "_copied"
     )
     done = placed.select(*keep, "reused", "reason", "_rep_s", "_rep_n").join(
         judged, ["template_key", "_rep_s", "_rep_n"], "left"

@@ -16,7 +16,16 @@ from ..sources.lines import split_lines
 def load(spark: SparkSession, sf_dir: str, table: str, columns=None) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return df.select(*columns) if columns else df
+    return spread(df.select(*columns) if columns else df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for the text work when the scan has fewer splits than the cluster has cores.
+
+    Only small inputs are moved: a large table has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def load_stream(spark: SparkSession, sf_dir: str, table: str, columns=None) -> DataFrame:

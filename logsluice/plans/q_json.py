@@ -165,7 +165,7 @@ SELECT id, template_key IN (SELECT template_key FROM act) AND importance <> 'imp
 FROM fam WHERE template_key IS NOT NULL"""))
 def escalated_events(spark, sf_dir):
     """Families of even size get a concrete incident review, the others only a vague one."""
-    ev = keyed_events(spark, sf_dir).where("template_key IS NOT NULL")
+    ev = M.families(keyed_events(spark, sf_dir))
     evidence = N.template_evidence(ev)
     review = F.struct(
         F.array().cast("array<string>").alias("free_text_fields"), F.lit("important").alias("importance"),
@@ -182,7 +182,7 @@ fired AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY template_key
 SELECT template_key, seen, CASE WHEN cur <> 'important' AND n % 2 = 0 THEN 'escalated' ELSE 'reviewed_fields_require_artifact' END AS outcome
 FROM fired JOIN cur USING (template_key) ORDER BY arrival DESC LIMIT 1000"""))
 def learning_decisions(spark, sf_dir):
-    ev = keyed_events(spark, sf_dir).where("template_key IS NOT NULL")
+    ev = M.families(keyed_events(spark, sf_dir))
     evidence = N.template_evidence(ev)
     review = F.struct(
         F.array().cast("array<string>").alias("free_text_fields"), F.lit("important").alias("importance"),

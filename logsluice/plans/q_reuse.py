@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import classify as C
+from ..functions import classify as C, templates as M
 from ..operators import dossier as D, reuse as U, usage as G
 from . import adapters as A, oracle as O
 from .catalog import query
@@ -59,7 +59,7 @@ def adaptive_reuse(spark, sf_dir):
 SELECT id, template_key IN (SELECT template_key FROM fam WHERE base_important AND template_key IS NOT NULL) AS vetoed FROM fam
 WHERE template_key IS NOT NULL"""))
 def reuse_vetoes(spark, sf_dir):
-    ev = keyed_events(spark, sf_dir).where("template_key IS NOT NULL")
+    ev = M.families(keyed_events(spark, sf_dir))
     vetoes = ev.where("baseline.important").select("template_key")
     return U.veto_flag(ev, vetoes).select("id", "vetoed")
 
@@ -91,7 +91,7 @@ gone AS (SELECT key, min(seq) AS g FROM checked WHERE known AND NOT valid GROUP
 
 
 def _stored(ev):
-    good = ev.where("template_key IS NOT NULL").where(C.reusable("judgment"))
+    good = M.families(ev).where(C.reusable("judgment"))
     return good.groupBy(F.col("template_key").alias("key")).agg(
         F.min("ts_s").alias("created"), (F.min("ts_s") + 1728000).alias("expires"),
         F.min_by("judgment", "arrival").alias("judgment"),
@@ -103,7 +103,7 @@ SELECT id, valid AND (g IS NULL OR seq < g) AS hit, CASE WHEN valid AND (g IS NU
 FROM checked LEFT JOIN gone USING (key)"""))
 def verdict_lookup(spark, sf_dir):
     ev = keyed_events(spark, sf_dir)
-    requests = ev.where("template_key IS NOT NULL").select(
+    requests = M.families(ev).select(
         F.col("template_key").alias("key"), "id", F.col("ts_s").alias("now"),
         ((F.col("arrival") * 7919) % 100003).alias("seq"),
     )
@@ -122,7 +122,7 @@ UNION ALL SELECT key, importance, created, expires FROM stored
 WHERE key NOT IN (SELECT key FROM fresh) AND key NOT IN (SELECT key FROM round WHERE unsafe OR mode <> 'default')"""))
 def refreshed_cache(spark, sf_dir):
     ev = keyed_events(spark, sf_dir)
-    judged = ev.where("template_key IS NOT NULL AND ts_s % 5 = 0").groupBy(
+    judged = M.families(ev).where("ts_s % 5 = 0").groupBy(
         F.col("template_key").alias("key")
     ).agg(
         F.max("ts_s").alias("now"), F.max_by(F.col("arrival") % 5 == 0, "arrival").alias("unsafe"),

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import classify as C
 from ..schema import JUDGMENT
 from ..functions.classify import Policy
+from ..functions.templates import families
 from ..operators import incidents as I
 
 _REUSE_STATE = (
@@ -70,7 +71,7 @@ def reuse_stream(events: DataFrame, ttl: int = 60, adaptive: bool = False, max_i
     ``judgment`` is what the judge answers for the event alone.
     """
     seeds = C.reusable("judgment") & ~F.col("truncated") & ~F.col("sensitive") & ~F.col("parse_uncertain")
-    d = events.where("template_key IS NOT NULL").select(
+    d = families(events).select(
         "template_key", "id", "arrival", "ts_s", seeds.alias("seeds"),
         F.coalesce(F.col("judgment.importance") == "routine", F.lit(False)).alias("routine"),
         F.to_json("judgment").alias("judgment"),

@@ -147,3 +147,14 @@ def test_clip_bytes(spark):
     for n in range(1, 11):
         want = "aé€😀".encode()[:n].decode("utf-8", "ignore")
         assert df.select(X.clip_bytes("t", n)).first()[0] == want
+
+
+def test_classic_runs_and_protected_neighbours(spark):
+    assert templates(
+        spark, "classic", "1 2 3 4 5", "st-at.us 7 x=1 y=2 z=3", "=5 a==5 a=b=5 404 99 1000", "HTTP/2 7 HTTP/2 200",
+        "retry-count=3 Re.Sult:9 12 done 12:00:00 10.1.2.3 +4", "Completed 7 then 8 status=200 500 9",
+    ) == [
+        "<value> <value> <value> <value> <value>", "st-at.us 7 x=<value> y=<value> z=<value>",
+        "=<value> a==5 a=b=5 404 <value> <value>", "HTTP/2 7 HTTP/2 200",
+        "retry-count=3 Re.Sult:9 12 done <value> <value> <value>", "Completed 7 then <value> status=200 500 <value>",
+    ]
