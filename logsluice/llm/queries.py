@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality_rules, url_filter
+from . import embeddings, mixing, quality_rules, simhash, url_filter
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op2_quality_rules(spark, sf_dir):
     )
 
 
+@query
+def op4_simhash(spark, sf_dir):
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 URL_RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 )
@@ -45,3 +50,8 @@ def op9_mixing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
     sized = mixing.with_size(docs).drop("text")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_embeddings(spark, sf_dir):
+    return embeddings.link_components(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
