@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embeddings, mixing, quality_rules, simhash, url_filter
-from .common import read_table
+from . import embeddings, mixing, packing, quality_model, quality_rules, simhash, toxicity, url_filter
+from .common import fold_of, labelled_sample, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,22 @@ def query(fn: Callable) -> Callable:
     return fn
 
 
+def _scored(spark, sf_dir, model, label: str, parts: int, held_out: int) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels", "doc_id", label)
+    sample = labelled_sample(docs, labels, label, parts, held_out, model.TRAIN_ROWS, model.TRAIN_BYTES)
+    out = model.score_documents(docs, model.fit(sample))
+    return out.select(
+        "doc_id", F.coalesce(fold_of(F.col("doc_id"), parts) == held_out, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op1_quality_model(spark, sf_dir):
+    return _scored(spark, sf_dir, quality_model, "quality", 3, 1)
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -45,6 +61,19 @@ def op5_url_filter(spark, sf_dir):
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "template", "verdict")
 
 
+@query
+def op6_toxicity(spark, sf_dir):
+    return _scored(spark, sf_dir, toxicity, "toxic", 5, 0)
+
+
+@query
+def op7_packing(spark, sf_dir):
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op9_mixing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")

@@ -92,11 +92,9 @@ def judge_templates(counted: DataFrame) -> DataFrame:
     def share(bad: Column, seen: Column, prior: Column) -> Column:
         return (bad + F.lit(PRIOR) * prior) / (seen + F.lit(PRIOR))
 
-    overall = t.agg(F.sum("n_blocked").alias("_b"), F.sum("n_labelled").alias("_l")).select(
-        F.lit(0).alias("_j"), share(F.col("_b"), F.col("_l"), F.lit(0.0)).alias("_all")
-    )
-    hosts = t.groupBy("host").agg(F.sum("n_blocked").alias("_b"), F.sum("n_labelled").alias("_l")).withColumn("_j", F.lit(0))
-    hosts = hosts.join(overall, "_j").select("host", share(F.col("_b"), F.col("_l"), F.coalesce("_all", F.lit(0.0))).alias("_host"))
+    seen = counted.agg(F.sum("n_blocked"), F.sum("n_labelled")).first()  # two numbers
+    overall = share(F.lit(seen[0] or 0), F.lit(seen[1] or 0), F.lit(0.0))
+    hosts = t.groupBy("host").agg(share(F.sum("n_blocked"), F.sum("n_labelled"), overall).alias("_host"))
     branches = t.groupBy("host", "template").agg(F.sum("n_blocked").alias("_b"), F.sum("n_labelled").alias("_l")).join(hosts, "host")
     own = share(F.col("_b"), F.col("_l"), F.col("_host"))
     branches = branches.withColumns({
