@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embeddings, mixing, packing, quality_model, quality_rules, simhash, toxicity, url_filter
+from . import embeddings, mixing, packing, quality_model, quality_rules, simhash, toxicity, url_filter, warc
 from .common import fold_of, labelled_sample, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op2_quality_rules(spark, sf_dir):
     )
 
 
+@query
+def op3_warc(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op4_simhash(spark, sf_dir):
     return simhash.simhash_components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
