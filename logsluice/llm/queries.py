@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embeddings, mixing, packing, quality_model, quality_rules, simhash, toxicity, url_filter, warc
+from . import embeddings, mixing, packing, quality_model, quality_rules, simhash, substrings, toxicity, url_filter, warc
 from .common import fold_of, labelled_sample, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,11 @@ def op7_packing(spark, sf_dir):
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op8_substrings(spark, sf_dir):
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op9_mixing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
