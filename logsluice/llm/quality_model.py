@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Bounds of the sample that the model is fitted on: documents, and bytes of one document.
 TRAIN_ROWS, TRAIN_BYTES = 4096, 1 << 15
@@ -125,21 +125,21 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     return m
 
 
-def score_documents(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) per row."""
+def score_documents(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns ``keep`` of each row and its score; a kept column of that name is replaced."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1)
-            # A few texts at a time, by length, so that memory follows the longest text only.
+            # A few texts at a time, so that memory follows the longest text only.
             scores, some, size = [], [], 0
-            for t in texts:
+            for t in b.column(0):
                 some.append(t.as_py())
                 size += len(some[-1] or "")
                 if size > CHUNK:
                     scores.append(model.scores(some))
                     some, size = [], 0
             scores.append(model.scores(some))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(scores))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(b.columns[1:] + [pa.array(np.concatenate(scores))], out.fieldNames())
 
-    narrow = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, score double")
+    kept = documents.select([c for c in keep if c != "score"])
+    out = T.StructType(kept.schema.fields + [T.StructField("score", T.DoubleType())])
+    return documents.select(F.col(text).alias("_text"), *kept.columns).mapInArrow(run, out)

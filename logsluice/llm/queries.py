@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import embeddings, mixing, packing, quality_model, quality_rules, simhash, substrings, toxicity, url_filter, warc
-from .common import fold_of, labelled_sample, read_table
+from .common import fold_of, labelled_sample, read_table, write_shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,7 +88,7 @@ def op8_substrings(spark, sf_dir):
 @query
 def op9_mixing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    sized = mixing.with_size(docs).drop("text")
+    sized = write_shared(mixing.with_size(docs).drop("text"), "sizes")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import write_shared
 from .components import connected_components
@@ -125,19 +125,52 @@ def near_edges(classes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_R
     return compare_in_tiles(rows, ["tile", "part"], compare, "a long, b long")
 
 
+def _with_component(prints: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """(fp, component, first): each distinct fingerprint with the least one reachable and its least id."""
+    classes = write_shared(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-classes")
+    groups = connected_components(near_edges(classes.select("fp"), radius, tile_rows))
+    return classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), "first"
+    )
+
+
 def simhash_components(
     documents: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, doc_id: str = "doc_id",
     text: str = "text", width: int = SHINGLE,
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row: 16 hex digits, and the least id reachable."""
     prints = write_shared(fingerprints(documents, doc_id, text, width), "fingerprints")
-    classes = write_shared(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-classes")
-    groups = connected_components(near_edges(classes.select("fp"), radius, tile_rows))
-    named = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
+    named = _with_component(prints, radius, tile_rows)
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = named.select("fp", "component").join(least, "component").select("fp", "component_id")
+    ids = named.join(least, "component").select("fp", "component_id")
     return prints.join(ids, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(
+    documents: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, doc_id: str = "doc_id", text: str = "text",
+    width: int = SHINGLE,
+) -> DataFrame:
+    """The rows of ``documents`` that stand for their component: one each, of the least id (null only if
+    there is no other)."""
+    prints = write_shared(fingerprints(documents, doc_id, text, width), "fingerprints")
+    named = _with_component(prints, radius, tile_rows)
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("_b")).select(
+        F.col("_b.first").alias("_id"), F.col("_b.fp").alias("_fp")
+    )
+    rows = _with_fingerprint(documents, text, width)
+    found = rows.join(best, rows[doc_id].cast("long").eqNullSafe(best["_id"]) & (rows["_own"] == best["_fp"]))
+    # Rows that repeat the chosen one: any of them will do, so the first by their texts.
+    place = F.row_number().over(Window.partitionBy("_id", "_fp").orderBy(text))
+    return found.withColumn("_n", place).where("_n = 1").select(documents.columns)
+
+
+def _with_fingerprint(documents: DataFrame, text: str, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(text)
+            fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(at)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, "_own"])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_own", T.LongType())]))

@@ -29,6 +29,7 @@ no words, and texts shorter than a window are kept. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import scratch, write_shared
 
@@ -154,42 +155,46 @@ def _unsqueeze(data: bytes, *kinds: str) -> list[np.ndarray]:
 _NULL_ID = -(1 << 63)
 
 
-def _write_packs(documents: DataFrame, doc_id: str, text: str, pack_bytes: int, window: int, anchor: int) -> DataFrame:
-    """(pack, docs, body, anchors, n_anchors, prefixes), a row per pack; a table bucketed by pack.
+def _write_packs(documents: DataFrame, keep: list[str], doc_id: str, text: str, pack_bytes: int, window: int, anchor: int) -> DataFrame:
+    """(pack, docs, body, kept, anchors, n_anchors, prefixes), a row per pack; a table bucketed by pack.
 
-    Inside a pack documents stand in the order of their ids.
+    Inside a pack documents stand in the order of their ids. ``kept`` holds the columns ``keep``.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, rows, size = TaskContext.get().partitionId() << 32, [], 0
 
         def pack() -> pa.RecordBatch:
             rows.sort(key=lambda r: r[0])
-            texts = [t for _, t in rows]
+            texts = [r[1] for r in rows]
             w = Windows([t or b"" for t in texts], window, anchor)
             anchors = np.unique(w.anchor)
             prefixes = np.bincount((w.a >> np.uint64(64 - PREFIX_BITS)).astype(np.int64), minlength=1 << PREFIX_BITS)
-            docs = _squeeze(np.array([i for i, _ in rows], np.int64), np.array([-1 if t is None else len(t) for t in texts], np.int64))
+            docs = _squeeze(np.array([r[0] for r in rows], np.int64), np.array([-1 if t is None else len(t) for t in texts], np.int64))
             body = zstandard.ZstdCompressor(level=3).compress(b"".join(t for t in texts if t))
+            kept = _to_bytes(pa.Table.from_batches([r[2] for r in rows]).combine_chunks()) if keep else b""
             return pa.RecordBatch.from_arrays([
-                pa.array([number]), pa.array([docs]), pa.array([body]), pa.array([anchors.tobytes()]), pa.array([len(anchors)]),
-                pa.array([prefixes], pa.list_(pa.int64())),
-            ], ["pack", "docs", "body", "anchors", "n_anchors", "prefixes"])
+                pa.array([number]), pa.array([docs]), pa.array([body]), pa.array([kept]), pa.array([anchors.tobytes()]),
+                pa.array([len(anchors)]), pa.array([prefixes], pa.list_(pa.int64())),
+            ], ["pack", "docs", "body", "kept", "anchors", "n_anchors", "prefixes"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            others = pa.RecordBatch.from_arrays(b.columns[2:], b.schema.names[2:]) if keep else None
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
                 t = t.as_py()
                 t = t if t is None else t.encode()
                 if rows and size + len(t or b"") > pack_bytes:
                     yield pack()
                     number, rows, size = number + 1, [], 0
-                rows.append((_NULL_ID if i is None else i, t))
+                rows.append((_NULL_ID if i is None else i, t, others and others.slice(k, 1)))
                 size += len(t or b"")
         if rows:
             yield pack()
 
     spark = documents.sparkSession
-    narrow = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    packs = narrow.mapInArrow(run, "pack long, docs binary, body binary, anchors binary, n_anchors long, prefixes array<long>")
+    narrow = documents.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), *keep)
+    packs = narrow.mapInArrow(
+        run, "pack long, docs binary, body binary, kept binary, anchors binary, n_anchors long, prefixes array<long>"
+    )
     path = scratch(spark, "packs")
     name = path.rsplit("/", 1)[1].replace("-", "_")
     # As many buckets as a shuffle has partitions, or joins would shuffle the packs.
@@ -198,6 +203,13 @@ def _write_packs(documents: DataFrame, doc_id: str, text: str, pack_bytes: int,
     return spark.table(name)
 
 
+def _to_bytes(table: pa.Table) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(table)
+    return out.getvalue()
+
+
 def _open(docs: bytes, body: bytes) -> tuple[np.ndarray, list[bytes | None]]:
     ids, lengths = _unsqueeze(docs, "<i8", "<i8")
     raw, at, texts = zstandard.ZstdDecompressor().decompress(body), 0, []
@@ -324,16 +336,26 @@ def _repeats(packs: DataFrame, shared: DataFrame, route: tuple[np.ndarray, np.nd
 
 def remove_repeats(
     documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, pack_bytes: int = PACK_BYTES,
-    group_rows: int = GROUP_ROWS, with_text: bool = False, doc_id: str = "doc_id", text: str = "text",
+    group_rows: int = GROUP_ROWS, with_text: bool = False, keep: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row of ``documents``.
 
-    ``with_text`` adds ``text``, as it was where nothing is removed and else the kept words with one space
-    between, and ``spans``, the removed stretches of words as (first, end).
+    ``with_text`` adds ``kept_text``, as it was where nothing is removed and else the kept words with
+    one space between, and ``spans``, the removed stretches of words as (first, end). The columns ``keep`` of
+    the input follow, unless they have the name of one of these.
     """
     if not 0 < anchor <= window // 2:
         raise ValueError("an anchor is at most half a window")
-    packs = _write_packs(documents, doc_id, text, pack_bytes, window, anchor)
+    schema = T._parse_datatype_string(
+        "doc_id long, n_words long, n_removed long, kept_sha256 string"
+        + ", kept_text string, spans array<struct<first:long,end:long>>" * with_text
+    )
+    own = len(schema)
+    for f in documents.schema.fields:
+        if f.name in keep and f.name not in schema.fieldNames():
+            schema.add(f)
+    keep = schema.fieldNames()[own:]
+    packs = _write_packs(documents, keep, doc_id, text, pack_bytes, window, anchor)
     total = packs.agg(F.sum("n_anchors")).first()[0] or 0
     histogram = np.zeros(1 << PREFIX_BITS, np.int64)
     counts = packs.select(F.posexplode("prefixes").alias("prefix", "n")).groupBy("prefix").agg(F.sum("n").alias("n"))
@@ -344,7 +366,7 @@ def remove_repeats(
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for docs, body, numbers in zip(*[c.to_pylist() for c in b.columns]):
+            for docs, body, kept, numbers in zip(*[c.to_pylist() for c in b.columns]):
                 ids, texts = _open(docs, body)
                 w = Windows([t or b"" for t in texts], window, None)
                 gone = ~_first_of_equal(w)
@@ -354,14 +376,17 @@ def remove_repeats(
                 np.add.at(edge, w.at[gone], 1)
                 np.add.at(edge, w.at[gone] + window, -1)
                 removed = np.cumsum(edge[:-1]) > 0
-                yield _kept(ids, texts, w, removed, with_text)
+                columns = _kept(ids, texts, w, removed, with_text)
+                if keep:
+                    columns += pa.ipc.open_stream(kept).read_all().combine_chunks().columns
+                yield from pa.Table.from_arrays(columns, schema.fieldNames()).to_batches(max_chunksize=1024)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    schema += ", text string, spans array<struct<first:long,end:long>>" * with_text
-    return packs.select("pack", "docs", "body").join(repeats, "pack", "left").select("docs", "body", "repeats").mapInArrow(remove, schema)
+    return packs.select("pack", "docs", "body", "kept").join(repeats, "pack", "left").select(
+        "docs", "body", "kept", "repeats"
+    ).mapInArrow(remove, schema)
 
 
-def _kept(ids: np.ndarray, texts: list[bytes | None], w: Windows, removed: np.ndarray, with_text: bool) -> pa.RecordBatch:
+def _kept(ids: np.ndarray, texts: list[bytes | None], w: Windows, removed: np.ndarray, with_text: bool) -> list[pa.Array]:
     rows = []
     for k, (i, t) in enumerate(zip(ids.tolist(), texts)):
         cut = removed[w.first_word[k]:w.first_word[k + 1]]
@@ -374,6 +399,4 @@ def _kept(ids: np.ndarray, texts: list[bytes | None], w: Windows, removed: np.nd
             row += (kept.decode() if n else None if t is None else t.decode(), spans)
         rows.append(row)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "spans"]
-    columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names[:len(columns)])
+    return [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Bounds of the sample that the model is fitted on: documents, and bytes of one document.
 TRAIN_ROWS, TRAIN_BYTES = 6144, 1 << 16
@@ -150,16 +150,22 @@ def fit(sample: list[tuple[str, int]]) -> Model:
 
 
 def score_documents(
-    documents: DataFrame, model: Model, with_sentences: bool = False, doc_id: str = "doc_id", text: str = "text"
+    documents: DataFrame, model: Model, with_sentences: bool = False, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
 ) -> DataFrame:
-    """(doc_id, score) per row, and the offending sentences where asked for."""
+    """The columns ``keep`` of each row and its score, and the offending sentences where asked for.
+
+    Kept columns called score or sentences are replaced.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            columns = [b.column(0), pa.array([model.score(t) for t in texts], pa.float64())]
+            texts = b.column(0).to_pylist()
+            columns = b.columns[1:] + [pa.array([model.score(t) for t in texts], pa.float64())]
             if with_sentences:
                 columns.append(pa.array([model.offending(t) for t in texts], pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "sentences"][:len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, out.fieldNames())
 
-    narrow = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, score double" + ", sentences array<string>" * with_sentences)
+    kept = documents.select([c for c in keep if c not in ("score", "sentences")])
+    out = T.StructType(kept.schema.fields + [T.StructField("score", T.DoubleType())])
+    if with_sentences:
+        out = out.add("sentences", T.ArrayType(T.StringType()))
+    return documents.select(F.col(text).alias("_text"), *kept.columns).mapInArrow(run, out)
