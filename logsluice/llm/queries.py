@@ -12,13 +12,19 @@ from .common import fold_of, labelled_sample, read_table, write_shared
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: SQL of a text's words: a space-separated class that both engines read alike.
-_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+#: SQL of a text's words.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
-def query(fn: Callable) -> Callable:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(oracle: str | None = None) -> Callable:
+    """Register a query, and its SQL where SQL can express it."""
+    def add(fn: Callable) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if oracle is not None:
+            ORACLES[fn.__name__] = oracle
+        return fn
+
+    return add
 
 
 def _scored(spark, sf_dir, model, label: str, parts: int, held_out: int) -> DataFrame:
@@ -32,12 +38,37 @@ def _scored(spark, sf_dir, model, label: str, parts: int, held_out: int) -> Data
     )
 
 
-@query
+@query()
 def op1_quality_model(spark, sf_dir):
     return _scored(spark, sf_dir, quality_model, "quality", 3, 1)
 
 
-@query
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS.split())))
+QUALITY_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents
+),
+places AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5),
+windows AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS win FROM places),
+repeated AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS following FROM (
+  SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, sum(least(5, coalesce(following - i, 5))) AS n FROM repeated GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+    len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS n_stop
+  FROM d JOIN lines USING (r) LEFT JOIN covered c USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words AND word_chars / n_words BETWEEN 2 AND 16
+    AND n_symbols / word_chars <= 0.08 AND n_stop / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.3 AND n_words / n_lines >= 1.5 AS kept
+FROM counts"""
+
+
+@query(QUALITY_SQL)
 def op2_quality_rules(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules.judge_quality(docs).select(
@@ -45,13 +76,26 @@ def op2_quality_rules(spark, sf_dir):
     )
 
 
-@query
+# Base32 by fives of hex digits, which are four letters each.
+_DIGIT = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+letters AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(h, (5 * k + 1)::INT, 5))::BIGINT) AS fives FROM p),
+named AS (SELECT page_id, html, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(fives, lambda v:
+    substr({_DIGIT}, ((v >> 15) & 31)::INT + 1, 1) || substr({_DIGIT}, ((v >> 10) & 31)::INT + 1, 1)
+    || substr({_DIGIT}, ((v >> 5) & 31)::INT + 1, 1) || substr({_DIGIT}, (v & 31)::INT + 1, 1)), '') AS payload_digest FROM letters),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM named)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM firsts"""
+
+
+@query(WARC_SQL)
 def op3_warc(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query
+@query()
 def op4_simhash(spark, sf_dir):
     return simhash.simhash_components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -61,18 +105,63 @@ URL_RULES = (
 )
 
 
-@query
+def _url_sql() -> str:
+    fits = lambda r: (
+        f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
+    )
+    longest = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in longest) + " END"
+    said = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{v}'" for v, r in longest) + " END"
+    variable = url_filter._VARIABLE
+    levels, source = "", "counted"
+    for d in range(1, url_filter.DEPTH + 1):
+        levels += f"""
+    wild{d} AS (SELECT host, template, true AS w FROM (
+      SELECT host, template, seg[{d}] AS s, sum(n) AS n FROM {source} WHERE seg[{d}] IS NOT NULL GROUP BY ALL)
+      GROUP BY host, template HAVING count(*) > {url_filter.MAX_CHILDREN} AND 2 * count(*) FILTER (n = 1) > count(*)),
+    level{d} AS (SELECT host, raw, seg, n, labelled, blocked,
+      CASE WHEN seg[{d}] IS NULL THEN template ELSE template || '/' || CASE WHEN w THEN '*' ELSE seg[{d}] END END AS template
+      FROM {source} LEFT JOIN wild{d} USING (host, template)),"""
+        source = f"level{d}"
+    m = url_filter.PRIOR
+    return rf"""
+    WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages),
+    cut AS (SELECT page_id, u, regexp_extract(u, '^[^/?#]*') AS h FROM rest),
+    split AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(substr(u, length(h) + 1), '^[^?#]*') AS path FROM cut),
+    said AS (SELECT *, {rule} AS rule, {said} AS said, list_transform(
+      list_filter(string_split(path, '/'), lambda s: s <> '')[1:{url_filter.DEPTH}], lambda s: CASE WHEN regexp_matches(s, '{variable}')
+        THEN '*' || regexp_extract(s, '(\.[A-Za-z]{{1,5}})$', 1) ELSE s END) AS seg FROM split),
+    raws AS (SELECT *, array_to_string(seg, '/') AS raw FROM said),
+    counted AS (SELECT host, raw, any_value(seg) AS seg, count(*) AS n, count(said) AS labelled,
+      count(*) FILTER (said = 'block') AS blocked, '' AS template FROM raws GROUP BY host, raw),{levels}
+    overall AS (SELECT sum(blocked) / (sum(labelled) + {m}) AS p FROM {source}),
+    hosts AS (SELECT host, (sum(blocked) + {m} * (SELECT p FROM overall)) / (sum(labelled) + {m}) AS p FROM {source} GROUP BY host),
+    branches AS (SELECT host, template, sum(blocked) AS b, sum(labelled) AS l, any_value(p) AS p, regexp_replace(template, '[^/*.]+', '+', 'g') AS shape
+      FROM {source} JOIN hosts USING (host) GROUP BY host, template),
+    banded AS (SELECT *, least(floor((b + {m} * p) / (l + {m}) * {url_filter.BANDS}), {url_filter.BANDS - 1}) AS band FROM branches),
+    merged AS (SELECT host, template, (sum(b) OVER g + {m} * p) / (sum(l) OVER g + {m}) >= {url_filter.BLOCK_AT} AS bad
+      FROM banded WINDOW g AS (PARTITION BY host, shape, band)),
+    judged AS (SELECT host, raw, template, bad FROM {source} JOIN merged USING (host, template))
+    SELECT page_id, host, path, rule, template, coalesce(said, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict
+    FROM raws JOIN judged USING (host, raw)"""
+
+
+URL_SQL = _url_sql()
+
+
+@query(URL_SQL)
 def op5_url_filter(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages", "page_id", "url")
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "template", "verdict")
 
 
-@query
+@query()
 def op6_toxicity(spark, sf_dir):
     return _scored(spark, sf_dir, toxicity, "toxic", 5, 0)
 
 
-@query
+@query()
 def op7_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -80,18 +169,59 @@ def op7_packing(spark, sf_dir):
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query
+SUBSTRING_SQL = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, {_WORDS} AS w FROM documents),
+each AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+runs AS (SELECT r, j AS i, list(word) OVER (PARTITION BY r ORDER BY j ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM each),
+windows AS (SELECT r, i, row_number() OVER (PARTITION BY array_to_string(win, ' ') ORDER BY r, i) AS k FROM runs WHERE len(win) = 20),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS j FROM windows WHERE k > 1),
+left_ AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM each ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_ USING (r)"""
+
+
+@query(SUBSTRING_SQL)
 def op8_substrings(spark, sf_dir):
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-@query
+MIXING_SQL = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+weighted AS (SELECT *, CASE n % 3 WHEN 1 THEN 3.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap,
+  sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
+levels AS (SELECT *, (total - coalesce(sum(cap) OVER before_, 0)) / sum(w) OVER after_ AS level, row_number() OVER fill AS turn FROM weighted
+  WINDOW fill AS (ORDER BY source_size / w, n), before_ AS (ORDER BY source_size / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    after_ AS (ORDER BY source_size / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+found AS (SELECT min_by(level, turn) AS level FROM levels WHERE w * level <= cap),
+targets AS (SELECT source, source_size, n, least(cap, coalesce(w * found.level, cap)) AS target FROM levels, found),
+stretches AS (SELECT *, sum(target) OVER () AS mix, coalesce(sum(target) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM targets),
+edges AS (SELECT *, ceil(low / mix * {mixing.SLOTS}) AS a, coalesce(ceil(lead(low) OVER (ORDER BY n) / mix * {mixing.SLOTS}), {mixing.SLOTS}) AS b FROM stretches),
+-- The points of the schedule are every multiple of one slot, so counting them needs no schedule.
+reach AS (SELECT source, source_size, target, least(floor((b - a) / {mixing.SLOTS}::DOUBLE * mix), 2 * source_size)::BIGINT AS x FROM edges),
+laid AS (SELECT d.*, source_size, target, x, (sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix/' || doc_id), doc_id, size))::BIGINT - size AS done
+  FROM d JOIN reach ON d.source IS NOT DISTINCT FROM reach.source)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(size, x - done)) + greatest(0, least(size, x - source_size - done)))::BIGINT AS taken FROM laid"""
+
+
+@query(MIXING_SQL)
 def op9_mixing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
     sized = write_shared(mixing.with_size(docs).drop("text"), "sizes")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_ AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM least_ LEFT JOIN counts USING (vec_id)"""
+
+
+@query(EMBEDDING_SQL)
 def op10_embeddings(spark, sf_dir):
     return embeddings.link_components(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
