@@ -48,15 +48,18 @@ class Model:
         """The largest response of each filter over each whole text."""
         parts = [_padded(t) for t in texts]
         data = np.frombuffer(b"".join(parts), np.uint8)
-        ends = np.cumsum([len(p) for p in parts])
-        starts = ends - [len(p) for p in parts]
+        lengths = np.array([len(p) for p in parts])
+        starts = np.cumsum(lengths) - lengths
+        ends = starts + lengths - WIDTH + 1  # windows that begin in the padding belong to no text
         out = np.full((len(parts), FILTERS), -np.inf, np.float32)
-        # The padding after a text keeps windows that begin in it from mattering to the next text.
-        for lo in range(0, max(len(data) - WIDTH + 1, 0), CHUNK):
+        for lo in range(0, len(data) - WIDTH + 1, CHUNK):
             r = self.responses(data[lo:lo + CHUNK + WIDTH - 1])
             first, last = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, lo + len(r), "left")
-            cuts = np.maximum(starts[first:last] - lo, 0)
-            out[first:last] = np.maximum(out[first:last], np.maximum.reduceat(r, cuts, axis=0))
+            if first < last:
+                a, b = np.maximum(starts[first:last] - lo, 0), np.minimum(ends[first:last] - lo, len(r))
+                r = np.concatenate([r, np.full((1, FILTERS), -np.inf, np.float32)])  # an end may be that of the chunk
+                top = np.maximum.reduceat(r, np.stack([a, b], axis=1).reshape(-1), axis=0)[::2]
+                out[first:last] = np.maximum(out[first:last], top)
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -68,7 +71,8 @@ class Model:
 
 
 def _padded(text: str | None) -> bytes:
-    return (text or "").encode() + bytes(WIDTH - 1)
+    """Every byte of the text begins a window; an empty text has one."""
+    return ((text or "").encode() or bytes(1)) + bytes(WIDTH - 1)
 
 
 def fit(sample: list[tuple[str, int]]) -> Model:
