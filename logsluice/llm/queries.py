@@ -136,11 +136,12 @@ def _url_sql() -> str:
     counted AS (SELECT host, raw, any_value(seg) AS seg, count(*) AS n, count(said) AS labelled,
       count(*) FILTER (said = 'block') AS blocked, '' AS template FROM raws GROUP BY host, raw),{levels}
     overall AS (SELECT sum(blocked) / (sum(labelled) + {m}) AS p FROM {source}),
-    hosts AS (SELECT host, (sum(blocked) + {m} * (SELECT p FROM overall)) / (sum(labelled) + {m}) AS p FROM {source} GROUP BY host),
-    branches AS (SELECT host, template, sum(blocked) AS b, sum(labelled) AS l, any_value(p) AS p, regexp_replace(template, '[^/*.]+', '+', 'g') AS shape
+    hosts AS (SELECT host, (sum(blocked) + {m} * (SELECT p FROM overall)) / (sum(labelled) + {m}) AS p, sum(labelled) > 0 AS seen FROM {source} GROUP BY host),
+    branches AS (SELECT host, template, sum(blocked) AS b, sum(labelled) AS l, any_value(p) AS p, any_value(seen) AS seen, regexp_replace(template, '[^/*.]+', '+', 'g') AS shape
       FROM {source} JOIN hosts USING (host) GROUP BY host, template),
     banded AS (SELECT *, least(floor((b + {m} * p) / (l + {m}) * {url_filter.BANDS}), {url_filter.BANDS - 1}) AS band FROM branches),
-    merged AS (SELECT host, template, (sum(b) OVER g + {m} * p) / (sum(l) OVER g + {m}) >= {url_filter.BLOCK_AT} AS bad
+    merged AS (SELECT host, template, (sum(b) OVER g + {m} * p) / (sum(l) OVER g + {m}) 
+        >= {url_filter.BLOCK_AT} AND seen AS bad
       FROM banded WINDOW g AS (PARTITION BY host, shape, band)),
     judged AS (SELECT host, raw, template, bad FROM {source} JOIN merged USING (host, template))
     SELECT page_id, host, path, rule, template, coalesce(said, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict

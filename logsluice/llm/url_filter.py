@@ -8,7 +8,7 @@ tree of segments. Segments that vary by their looks (numbers, dates, hex, ids) b
 once; below a node that still has many children, mostly seen once, all children become ``*``.
 Branches of a host that have the same shape and a similar share of blocked addresses are merged,
 and a merged branch is blocked if its share, smoothed towards the share of its host (itself
-smoothed towards the share of all), reaches a threshold.
+smoothed towards the share of all), reaches a threshold. A host without labelled addresses is allowed.
 
 Addresses are first counted per host and template, so the tree is built over that small table; one
 join brings the verdicts back. Null addresses and those without ``://`` have an empty host and
@@ -94,7 +94,9 @@ def judge_templates(counted: DataFrame) -> DataFrame:
 
     seen = counted.agg(F.sum("n_blocked"), F.sum("n_labelled")).first()  # two numbers
     overall = share(F.lit(seen[0] or 0), F.lit(seen[1] or 0), F.lit(0.0))
-    hosts = t.groupBy("host").agg(share(F.sum("n_blocked"), F.sum("n_labelled"), overall).alias("_host"))
+    hosts = t.groupBy("host").agg(
+        share(F.sum("n_blocked"), F.sum("n_labelled"), overall).alias("_host"), F.sum("n_labelled").alias("_seen")
+    )
     branches = t.groupBy("host", "template").agg(F.sum("n_blocked").alias("_b"), F.sum("n_labelled").alias("_l")).join(hosts, "host")
     own = share(F.col("_b"), F.col("_l"), F.col("_host"))
     branches = branches.withColumns({
@@ -102,7 +104,7 @@ def judge_templates(counted: DataFrame) -> DataFrame:
         "_band": F.least(F.floor(own * BANDS), F.lit(BANDS - 1)),
     })
     merged = branches.groupBy("host", "_shape", "_band").agg(
-        (share(F.sum("_b"), F.sum("_l"), F.max("_host")) >= F.lit(BLOCK_AT)).alias("blocked")
+        ((share(F.sum("_b"), F.sum("_l"), F.max("_host")) >= F.lit(BLOCK_AT)) & (F.max("_seen") > 0)).alias("blocked")
     )
     verdicts = branches.join(merged, ["host", "_shape", "_band"]).select("host", "template", "blocked")
     return t.join(verdicts, ["host", "template"])
