@@ -146,25 +146,37 @@ def facets(events: DataFrame, field: str, scope: dict | None = None) -> DataFram
     return d.select(F.col(f"source.{field}").alias(field)).where(F.col(field) != "").distinct()
 
 
+#: A line that says what happened, and what in front of a message only says when or how bad.
+_SAYING = r"^[\"']?(?i:message|msg|event|reason)[\"']?\s*:\s*\S"
+_IN_FRONT = (r"^\d{4}-\d\d-\d\d[ T][\d:.]+(?:Z|[+-]\d\d:\d\d)?\s+", r"^(?i:info|warn|warning|error|debug|fatal)[:\s]+")
+#: A literal shorter than this would match too much; a rule holds one up to this long.
+_SHORTEST, _LONGEST = 8, 500
+_BLANKS = " \t\n\r\f\x0b"
+
+
 def suggest_pattern(text) -> Column:
     """A literal for an expected-event rule, taken from the message itself.
 
-    Short messages are used whole. Otherwise a structured message field is preferred, then the
-    first line with substance; its time prefix, level and trailing object are removed.
+    Lines are ranked: one that names a message, event or reason, then one with a letter or digit; too
+    short ones don't count. The best line loses its trailing object, time and level, unless too
+    little would remain. A short message is its own pattern.
     """
     text = F.col(text) if isinstance(text, str) else text
-    blank = F.lit(" \t\n\r\f\x0b")
-    lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s, blank))
-    field = F.get(F.filter(lines, lambda s: (F.length(s) >= 8) & s.rlike(
-        r"^[\"']?(?i:message|msg|event|reason)[\"']?\s*:\s*\S")), F.lit(0))
-    plain = F.get(F.filter(lines, lambda s: (F.length(s) >= 8) & s.rlike(r"[\p{L}\p{N}]")), F.lit(0))
-    first = F.coalesce(field, plain, F.lit(""))
-    body = F.regexp_replace(first, r"\s+\{[\s\S]*\z", "")
-    body = F.regexp_replace(body, r"^\d{4}-\d\d-\d\d[ T][\d:.]+(?:Z|[+-]\d\d:\d\d)?\s+", "")
-    body = F.trim(F.regexp_replace(body, r"^(?i:info|warn|warning|error|debug|fatal)[:\s]+", ""), blank)
-    chosen = F.when(F.length(body) >= 8, body).otherwise(first)
-    whole = F.trim(text, blank)
-    return F.when(F.length(whole) < 8, whole).otherwise(F.substring(chosen, 1, 500))
+    trim = lambda c: F.trim(c, F.lit(_BLANKS))
+
+    def ranked(line: Column, at: Column) -> Column:
+        line = trim(line)
+        rank = F.when(line.rlike(_SAYING), 0).when(line.rlike(r"[\p{L}\p{N}]"), 1)
+        return F.struct(F.when(F.length(line) >= _SHORTEST, rank).alias("rank"), at.alias("at"), line.alias("line"))
+
+    usable = F.filter(F.transform(F.split(text, "\n"), ranked), lambda x: x["rank"].isNotNull())
+    best = F.coalesce(F.array_min(usable)["line"], F.lit(""))
+    bare = F.split(best, r"\s+\{", 2)[0]
+    for what in _IN_FRONT:
+        bare = F.regexp_replace(bare, what, "")
+    bare = trim(bare)
+    found = F.substring(F.when(F.length(bare) < _SHORTEST, best).otherwise(bare), 1, _LONGEST)
+    return F.when(F.length(trim(text)) < _SHORTEST, trim(text)).otherwise(found)
 
 
 def suggest_patterns(groups: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _member_map(text: str) -> Column:
     """Top-level members of a JSON object as name to scalar text."""
     leaves = M.flatten_json(text)["leaves"]
     return F.transform_keys(
-        leaves, lambda k, v: F.replace(F.replace(F.substring(k, 2, 4096), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+        leaves, lambda k, v: F.replace(F.replace(F.substr(k, F.lit(2)), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
     )
 
 
