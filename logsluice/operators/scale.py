@@ -22,6 +22,47 @@ def with_block(df: DataFrame, order: str, size: int, name: str = BLOCK) -> DataF
     return df.withColumn(name, F.coalesce(F.floor(F.col(order) / F.lit(size)).cast("bigint"), F.lit(0)))
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left`` with the other columns of ``right``, whose rows are unique by ``keys``; a null key meets
+    a null key.
+
+    Columns that can't be null keep the plain equality, which leaves a partitioning by them usable.
+    """
+    loose = [k for k in keys if left.schema[k].nullable and right.schema[k].nullable]
+    if not loose:
+        return left.join(right, list(keys))
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    met = [
+        left[k].eqNullSafe(renamed[f"_right_{k}"]) if k in loose else left[k] == renamed[f"_right_{k}"] for k in keys
+    ]
+    on = met[0]
+    for m in met[1:]:
+        on = on & m
+    return left.join(renamed, on).drop(*[f"_right_{k}" for k in keys])
+
+
+#: Blocks whose totals one window takes; beyond that totals of totals carry the rest.
+BLOCKS_PER_WINDOW = 4096
+
+
+def _before_block(totals: DataFrame, keys: Sequence[str], block: str, fold: Callable[[str], Column], start) -> DataFrame:
+    """``_off``: ``fold`` of ``_t`` over all earlier blocks of the key (``start`` without any).
+
+    Two levels where there is no key to spread the blocks by.
+    """
+    def earlier(by, order):
+        return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    if keys:
+        return totals.withColumn("_off", F.coalesce(fold("_t").over(earlier(keys, block)), start)).drop("_t")
+    t = totals.withColumn("_far", F.floor(F.col(block) / BLOCKS_PER_WINDOW))
+    far = t.groupBy("_far").agg(fold("_t").alias("_t")).withColumn("_before", fold("_t").over(earlier([], "_far"))).drop("_t")
+    near = t.withColumn("_near", fold("_t").over(earlier(["_far"], block))).join(far, "_far")
+    both = F.array_compact(F.array("_before", "_near"))
+    merged = F.aggregate(both, start.cast("bigint"), lambda a, x: a + x) if fold is F.sum else F.array_max(both)
+    return near.withColumn("_off", merged).select(block, "_off")
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,18 +80,9 @@ def running_total(
         Window.partitionBy(*keys, block).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = (
-        Window.partitionBy(*keys).orderBy(block)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = (
-        rows.groupBy(*keys, block).agg(F.sum("_v").alias("_t"))
-        .withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0)))
-        .drop("_t")
-    )
+    totals = _before_block(rows.groupBy(*keys, block).agg(F.sum("_v").alias("_t")), keys, block, F.sum, F.lit(0))
     return (
-        rows.withColumn("_in", F.sum("_v").over(inside))
-        .join(totals, [*keys, block])
+        join_keys(rows.withColumn("_in", F.sum("_v").over(inside)), totals, [*keys, block])
         .withColumn(out, F.col("_in") + F.col("_off"))
         .drop("_v", "_in", "_off")
     )
@@ -67,18 +99,11 @@ def preceding_max(df, keys, order, value: Column, out: str, block: str = BLOCK)
         Window.partitionBy(*keys, block).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = (
-        Window.partitionBy(*keys).orderBy(block)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    peaks = (
-        rows.groupBy(*keys, block).agg(F.max("_v").alias("_t"))
-        .withColumn("_off", F.max("_t").over(before))
-        .drop("_t")
+    peaks = _before_block(
+        rows.groupBy(*keys, block).agg(F.max("_v").alias("_t")), keys, block, F.max, F.lit(None)
     )
     return (
-        rows.withColumn("_in", F.max("_v").over(inside))
-        .join(peaks, [*keys, block])
+        join_keys(rows.withColumn("_in", F.max("_v").over(inside)), peaks, [*keys, block])
         .withColumn(out, F.greatest("_in", "_off"))
         .drop("_v", "_in", "_off")
     )

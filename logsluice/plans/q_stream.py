@@ -13,9 +13,8 @@ from .q_groups import ALL as GROUPS, keyed_events
 
 
 def _drained(df):
-    # A local session may carry the cluster default of 200 state stores; eight are enough there.
-    local = df.sparkSession.sparkContext.master.startswith("local")
-    return L.drain(df, 8 if local else None)
+    # As many state stores as tasks run at a time: the state of one trigger is small.
+    return L.drain(df, df.sparkSession.sparkContext.defaultParallelism)
 
 
 @query("streamed_incidents", ORACLES["incident_notifications"])

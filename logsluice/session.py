@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
@@ -30,16 +28,14 @@ def build_session(name: str = "logsluice", master: str | None = None, **conf) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and scratch tables.
+    """Folder for checkpoints and scratch tables, which every executor and the driver can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a session without that setting
-    (tests, a laptop) gets a folder of its own.
+    ``spark.checkpoint.dir`` names it. Where that is unset (tests, a laptop) it is a folder beside the
+    session's tables, which whoever runs tasks must reach anyway.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="logsluice-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 

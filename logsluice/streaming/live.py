@@ -97,12 +97,19 @@ def drain(df: DataFrame, state_partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    before = spark.conf.get("spark.sql.shuffle.partitions")
+    # A query keeps the number of state stores that its plan had when it started, so the setting is
+    # made on a session of its own; queries running beside it don't see it.
+    own = spark.newSession()
     if state_partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    try:
-        query = start(df, table_sink(f"{folder}/out"), f"{folder}/checkpoint", trigger=None)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    query = start(_in_session(df, own), table_sink(f"{folder}/out"), f"{folder}/checkpoint", trigger=None)
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out").select(df.columns)
+
+
+def _in_session(df: DataFrame, session) -> DataFrame:
+    """The same plan as a frame of another session."""
+    jvm = session._jvm
+    moved = jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.logicalPlan())
+    return DataFrame(moved, session)
