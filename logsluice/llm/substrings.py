@@ -44,7 +44,7 @@ from .common import scratch, write_shared
 
 WINDOW, ANCHOR = 20, 6
 #: Bytes of text in a pack. A longer document is a pack of its own.
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 #: Suffixes and anchors that a group holds in memory at a time, about.
 GROUP_ROWS = 1 << 21
 #: Leading bits of the first half's hash that the histogram of prefixes tells apart.
@@ -78,11 +78,11 @@ def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, up: np.ndarr
     return (total[ends] - total[starts]) * down[starts]
 
 
-_UP, _DOWN = _powers(_BASE, _SPAN + 1), _powers(_INVERSE, _SPAN + 1)
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash for each word, a span of text at a time."""
+def word_hashes(text: bytes, up: np.ndarray | None = None, down: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash for each word, a span of text at a time; powers for a span may be given."""
+    if up is None or down is None:
+        n = min(len(text), _SPAN) + 1
+        up, down = _powers(_BASE, n), _powers(_INVERSE, n)
     out, at = [], 0
     while at < len(text):
         end = min(len(text), at + _SPAN)
@@ -100,7 +100,7 @@ def word_hashes(text: bytes) -> np.ndarray:
         word = np.concatenate([[False], ~_SEPARATOR[b], [False]])
         edge = np.flatnonzero(word[1:] != word[:-1])
         s, e = edge[::2], edge[1::2]
-        out.append(_mix(_runs(_BYTE[b], s, e, _UP, _DOWN) ^ _mix((e - s).astype(np.uint64))))
+        out.append(_mix(_runs(_BYTE[b], s, e, up, down) ^ _mix((e - s).astype(np.uint64))))
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -115,7 +115,9 @@ class Windows:
     """All windows of a pack in order: their document, first word, halves and, if asked for, anchor."""
 
     def __init__(self, texts: list[bytes], window: int, anchor: int | None):
-        hashes = [word_hashes(t) for t in texts]
+        span = min(max(map(len, texts), default=0), _SPAN) + 1
+        up, down = _powers(_BASE, span), _powers(_INVERSE, span)
+        hashes = [word_hashes(t, up, down) for t in texts]
         self.n_words = np.array([len(h) for h in hashes], np.int64)
         self.first_word = np.concatenate([[0], np.cumsum(self.n_words)])
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
