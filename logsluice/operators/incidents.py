@@ -104,10 +104,11 @@ def fold_incidents(events: DataFrame, policy: Policy = Policy(), order: str = "a
     count. Each key is replayed in time order, but not event by event: windows are found on
     one row per second; after that only the first event of a second, events that reach an
     escalation step, and the first notify after either of them can be sent. That candidate set
-    is bounded by time and ``max_escalation``, however often a key repeats.
+    is bounded by time and ``max_escalation``, however often a key repeats. Events without a clock
+    count as of second 0, before all others.
     """
     act = events.where(F.col("decision").isin("notify", "review")).withColumnRenamed(order, "ord")
-    act = act.select("incident_key", "ts_s", "ord", "decision")
+    act = act.select("incident_key", F.coalesce("ts_s", F.lit(0)).alias("ts_s"), "ord", "decision")
     per_second = act.groupBy("incident_key", "ts_s").agg(F.count(F.lit(1)).alias("n"))
     windows = ordered_fold(
         per_second, ["incident_key"], ["ts_s"], _window_fold(policy.window), _WINDOW_SCHEMA

@@ -1,13 +1,14 @@
 """Reuse of verdicts over time: lookup, expiry, audits, rollback and invalidation.
 
 Clocks are whole unix seconds. One event per batch: an event sees every earlier verdict of its
-family. A family that owns a large share of the input is first reduced to runs, that is
-stretches of equal verdict class inside one second, so the sequential part is bounded by time
-and by the number of judge calls, not by the number of events.
+family. A family that owns a large share of the input is first reduced to one row per second: how
+many events it had and at which of them the kind of verdict changes. The sequential part jumps over
+certain hits, so its rows are bounded by time and its steps by the number of judge calls.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,15 +16,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import classify as C
 from ..functions.templates import families, outside_families
+from ..session import cut_lineage
 from .scale import ROWS_PER_BLOCK, ordered_fold, preceding_max, running_rank, with_block
 
 
 def clock_rollback(events: DataFrame, order: str = "arrival", clock: str = "ts_s") -> DataFrame:
     """Flag events whose clock lies below the largest one seen earlier on the whole lane."""
+    return lane_clock(events, order, clock).drop("lane_s")
+
+
+def lane_clock(events: DataFrame, order: str = "arrival", clock: str = "ts_s") -> DataFrame:
+    """Add ``clock_rollback`` and ``lane_s``, the largest clock of the lane up to the event itself.
+
+    ``lane_s`` never falls in arrival order; it is null only before the first clock.
+    """
     d = preceding_max(with_block(events, order, ROWS_PER_BLOCK), [], [order], F.col(clock), "_high")
     return d.withColumn(
         "clock_rollback", F.coalesce(F.col(clock) < F.col("_high"), F.lit(False))
-    ).drop("_high", "_block")
+    ).withColumn("lane_s", F.greatest(clock, "_high")).drop("_high", "_block")
 
 
 def audit_points(max_interval: int = 1024) -> tuple[list[int], int]:
@@ -55,13 +65,18 @@ def audit_schedule(events: DataFrame, key: str = "template_key", order: str = "a
     return d.withColumn("audit", audit_due(F.col("seen"), max_interval))
 
 
-_RUN_SCHEMA = (
-    "template_key string, ts_s bigint, run bigint, calls array<struct<n:bigint,reason:string>>, "
-    "alone_from bigint, first_reason string, rest_reason string, entry_s bigint, entry_n bigint"
+_FOLD_SCHEMA = (
+    "template_key string, lane_s bigint, intervals array<struct<a:bigint,b:bigint,first:string,rest:string,seeded:boolean>>, "
+    "entry_s bigint, entry_n bigint"
 )
 
 
 def _reuse_fold(ttl: int, adaptive: bool, max_interval: int):
+    """One row per (family, second) to the judged stretches of that second and the verdict held on entry.
+
+    In a stretch from ``a`` to ``b`` every event is judged; the last one's verdict can be reused if
+    it is ``seeded``. All events outside the stretches are hits.
+    """
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = None
         for pdf in batches:
@@ -70,51 +85,77 @@ def _reuse_fold(ttl: int, adaptive: bool, max_interval: int):
                 if r.template_key != key:
                     key = r.template_key
                     held = stale = False
-                    expires, seen, audit_at, step = 0, 0, 0, 16
-                    rep_s = rep_n = None
-                entry = (rep_s, rep_n) if held else (None, None)
-                calls, alone, i = [], (None, None, None), 1
+                    expires, seen, audit_at, step, rep = 0, 0, 0, 16, (None, None)
+                entry = rep if held else (None, None)
+                now, seed_flips, routine_flips = int(r.lane_s), list(r.seed_flips), list(r.routine_flips)
+                back = [(int(x["n"]), int(x["s"])) for x in r.back] + [(r.n + 1, 0)]
+                found, i = [], 1
                 while i <= r.n:
-                    if held and r.ts_s < expires:
-                        # Jump over the events that are certain hits.
-                        hits = r.n - i + 1
-                        if adaptive:
-                            hits = min(hits, max(0, audit_at - seen - 1))
-                        if hits:
-                            seen += hits
-                            i += hits
-                            continue
-                        reason = "stable_audit"
+                    stop = back[0][0]
+                    if i == stop:
+                        clock, reason, after, until = back.pop(0)[1], "clock_rollback", "clock_rollback", i
+                        held, stale = False, True
                     else:
-                        # An expired family stays marked until a reusable verdict replaces it.
-                        stale = stale or held
-                        reason = "cache_expired" if stale else "new_or_expired"
-                    if r.seeds and not r.vetoed:
-                        seen += 1
-                        n = r.first_n + i - 1
-                        calls.append({"n": n, "reason": reason})
-                        held, stale, expires = True, False, r.ts_s + ttl
-                        step = min(max_interval, max(32, step * 2)) if r.routine else 32
-                        audit_at, rep_s, rep_n = seen + step, r.ts_s, n
-                        i += 1
-                        continue
-                    # Without a verdict to reuse, the rest of the run is judged one by one.
-                    held = False
-                    after = "cache_expired" if stale else "new_or_expired"
-                    if r.vetoed:
-                        reason = after = "review_required"
-                    alone = (r.first_n + i - 1, reason, after)
-                    seen += r.n - i + 1
-                    i = r.n + 1
-                out.append((r.template_key, r.ts_s, r.run, calls, *alone, *entry))
-            yield pd.DataFrame(out, columns=[
-                "template_key", "ts_s", "run", "calls", "alone_from", "first_reason",
-                "rest_reason", "entry_s", "entry_n",
-            ]).astype({"alone_from": "Int64", "entry_s": "Int64", "entry_n": "Int64"})
+                        clock, until = now, stop - 1
+                        if held and now < expires:
+                            # Jump over the events that are certain hits.
+                            hits = until - i + 1
+                            if adaptive:
+                                hits = min(hits, max(0, audit_at - seen - 1))
+                            if hits:
+                                seen += hits
+                                i += hits
+                                continue
+                            reason = "stable_audit"
+                        else:
+                            # An expired family stays marked until a reusable verdict replaces it.
+                            stale = stale or held
+                            reason = "cache_expired" if stale else "new_or_expired"
+                        after = "cache_expired" if stale else "new_or_expired"
+                    # Judged one by one up to the first reusable verdict.
+                    k = bisect_right(seed_flips, i)
+                    seeded, last = True, i
+                    if bool(r.seeds) == (k % 2 == 1):
+                        last = seed_flips[k] if k < len(seed_flips) else until + 1
+                    if last > until:
+                        seeded, last = False, until
+                    found.append({"a": i, "b": last, "first": reason, "rest": after, "seeded": seeded})
+                    seen += last - i + 1
+                    i = last + 1
+                    held = seeded
+                    if seeded:
+                        routine = bool(r.routine) != (bisect_right(routine_flips, last) % 2 == 1)
+                        stale, expires, rep = False, clock + ttl, (now, last)
+                        step = min(max_interval, max(32, step * 2)) if routine else 32
+                        audit_at = seen + step
+                out.append((key, now, found, *entry))
+            yield pd.DataFrame(out, columns=["template_key", "lane_s", "intervals", "entry_s", "entry_n"]).astype(
+                {"entry_s": "Int64", "entry_n": "Int64"}
+            )
 
     return fold
 
 
+def seconds_of(fam: DataFrame, adaptive: bool, order: str) -> tuple[DataFrame, DataFrame]:
+    """(events numbered ``_n`` inside (family, second), one row per (family, second) for the fold)."""
+    second = Window.partitionBy("template_key", "lane_s").orderBy(order)
+    fam = fam.withColumns({
+        "_n": F.row_number().over(second).cast("bigint"),
+        "_sf": F.coalesce(F.lag("_seeds").over(second) != F.col("_seeds"), F.lit(False)),
+        "_rf": F.coalesce(F.lag("_routine").over(second) != F.col("_routine"), F.lit(False)) & F.lit(adaptive),
+    })
+
+    def places(flag: str):
+        return F.sort_array(F.collect_list(F.when(F.col(flag), F.col("_n"))))
+
+    rows = fam.groupBy("template_key", "lane_s").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("_seeds", "_n").alias("seeds"), F.min_by("_routine", "_n").alias("routine"),
+        places("_sf").alias("seed_flips"), places("_rf").alias("routine_flips"),
+        F.sort_array(F.collect_list(F.when(F.col("clock_rollback"), F.struct(F.col("_n").alias("n"), F.col("ts_s").alias("s"))))).alias("back"),
+    )
+    return fam.drop("_sf", "_rf"), rows
+
+
 def reuse_verdicts(
     events: DataFrame,
     ttl: int = 60,
@@ -126,85 +167,59 @@ def reuse_verdicts(
     """Decide for every groupable event whether it is judged or copies an earlier verdict.
 
     Needs ``template_key, ts_s, id, judgment, truncated, sensitive, parse_uncertain`` where
-    ``judgment`` is what the judge answers for that event alone. A verdict lives ``ttl``
-    seconds from its judging and is not extended by hits. Adds ``reason``, ``reused``,
-    ``representative_id``, ``verdict``; ineligible events are judged on their own.
+    ``judgment`` is what the judge answers for that event alone. Events are taken in the order of
+    arrival. A verdict lives ``ttl`` seconds from its judging and is not extended by hits. An event
+    whose clock lies below the lane's newest is judged again and so is its family until a reusable verdict
+    comes. Adds ``reason``, ``reused``, ``representative_id``, ``verdict``. Ineligible events and those
+    without a clock are judged on their own.
     """
     seeds = C.reusable("judgment") & ~F.col("truncated") & ~F.col("sensitive") & ~F.col("parse_uncertain")
-    d = events.withColumn("_seeds", seeds).withColumn(
-        "_routine", F.coalesce(F.col("judgment.importance") == "routine", F.lit(False))
-    )
-    solo = outside_families(d)
-    fam = families(d)
+    keep = events.columns
+    d = lane_clock(events, order).withColumns({
+        "_seeds": seeds, "_routine": F.coalesce(F.col("judgment.importance") == "routine", F.lit(False)),
+    })
     if vetoes is not None:
-        # Small operator-maintained list; Spark picks the join by its size.
-        fam = fam.join(
-            vetoes.select("template_key").distinct().withColumn("_veto", F.lit(True)),
-            "template_key", "left",
-        ).withColumn("_veto", F.col("_veto").isNotNull())
+        marks = vetoes.select("template_key").distinct().withColumn("_veto", F.lit(True))
+        d = d.join(marks, "template_key", "left").withColumn("_veto", F.col("_veto").isNotNull())
     else:
-        fam = fam.withColumn("_veto", F.lit(False))
-
-    second = Window.partitionBy("template_key", "ts_s").orderBy(order)
-    new_run = F.coalesce(
-        (F.lag("_seeds").over(second) != F.col("_seeds"))
-        | (F.lag("_routine").over(second) != F.col("_routine")), F.lit(True),
-    )
-    fam = fam.withColumn("_n", F.row_number().over(second).cast("bigint")).withColumn(
-        "run", F.sum(new_run.cast("bigint")).over(second.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
-    runs = fam.groupBy("template_key", "ts_s", "run").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_n").alias("first_n"),
-        F.first("_seeds").alias("seeds"), F.first("_routine").alias("routine"),
-        F.first("_veto").alias("vetoed"),
-    )
-    points = ordered_fold(
-        runs, ["template_key"], ["ts_s", "run"], _reuse_fold(ttl, adaptive, max_interval), _RUN_SCHEMA
-    )
-    calls = points.select("template_key", "ts_s", F.explode("calls").alias("_c")).select(
-        "template_key", "ts_s", F.col("_c.n").alias("_n"), F.col("_c.reason").alias("_why")
-    )
-    by_run = points.drop("calls")
-    placed = (
-        fam.join(by_run, ["template_key", "ts_s", "run"])
-        .join(calls, ["template_key", "ts_s", "_n"], "left")
+        d = d.withColumn("_veto", F.lit(False))
+    # Written once: the fold, the placing and the copied verdicts all read it.
+    d = cut_lineage(d)
+    grouped = families(d)
+    fam, rows = seconds_of(grouped.where("ts_s IS NOT NULL AND NOT _veto"), adaptive, order)
+    points = ordered_fold(rows, ["template_key"], ["lane_s"], _reuse_fold(ttl, adaptive, max_interval), _FOLD_SCHEMA)
+    points = cut_lineage(points)
+    placed = fam.join(points, ["template_key", "lane_s"]).withColumn(
+        "_iv", F.get(F.reverse(F.filter("intervals", lambda x: x["a"] <= F.col("_n"))), F.lit(0))
     )
-    in_second = Window.partitionBy("template_key", "ts_s").orderBy("_n").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    judged = F.coalesce(F.col("_n") <= F.col("_iv.b"), F.lit(False))
+    placed = placed.select(
+        *keep, (~judged).alias("reused"),
+        F.when(~judged, "cached").when(F.col("_n") == F.col("_iv.a"), F.col("_iv.first")).otherwise(F.col("_iv.rest")).alias("reason"),
+        F.when(~judged, F.when(F.col("_iv").isNotNull(), F.col("lane_s")).otherwise(F.col("entry_s"))).alias("_rep_s"),
+        F.when(~judged, F.coalesce("_iv.b", "entry_n")).alias("_rep_n"),
     )
-    here = F.last(F.when(F.col("_why").isNotNull(), F.col("_n")), ignorenulls=True).over(in_second)
-    single = F.coalesce(F.col("_n") >= F.col("alone_from"), F.lit(False))
-    placed = (
-        placed.withColumn("_here", here)
-        .withColumn("reused", F.col("_why").isNull() & ~single)
-        .withColumn(
-            "reason",
-            F.when(F.col("_why").isNotNull(), F.col("_why"))
-            .when(F.col("_n") == F.col("alone_from"), F.col("first_reason"))
-            .when(single, F.col("rest_reason")).otherwise("cached"),
-        )
-        .withColumn("_rep_s", F.when(F.col("reused"), F.when(F.col("_here").isNotNull(), F.col("ts_s")).otherwise(F.col("entry_s"))))
-        .withColumn("_rep_n", F.when(F.col("reused"), F.coalesce("_here", "entry_n")))
-    )
-    keep = [c for c in events.columns]
     # The judged events themselves give the id and verdict that later members copy.
-    judged = calls.join(
-        fam.select("template_key", "ts_s", "_n", F.col("id").alias("representative_id"), F.col("judgment").alias("_copied")),
-        ["template_key", "ts_s", "_n"],
-    ).select(
-        "template_key", F.col("ts_s").alias("_rep_s"), F.col("_n").alias("_rep_n"), "representative_id", "_copied"
+    source = points.select("template_key", "lane_s", F.explode(F.filter("intervals", lambda x: x["seeded"])["b"]).alias("_n"))
+    copied = source.join(fam, ["template_key", "lane_s", "_n"]).select(
+        "template_key", F.col("lane_s").alias("_rep_s"), F.col("_n").alias("_rep_n"),
+        F.col("id").alias("representative_id"), F.col("judgment").alias("_copied"),
     )
-    done = placed.select(*keep, "reused", "reason", "_rep_s", "_rep_n").join(
-        judged, ["template_key", "_rep_s", "_rep_n"], "left"
-    ).select(
+    done = placed.join(copied, ["template_key", "_rep_s", "_rep_n"], "left").select(
         *keep, "reused", "reason", "representative_id",
         F.when(F.col("reused"), F.col("_copied")).otherwise(F.col("judgment")).alias("verdict"),
     )
-    alone = solo.select(
-        *keep, F.lit(False).alias("reused"), F.lit("ineligible").alias("reason"),
-        F.lit(None).cast("string").alias("representative_id"), F.col("judgment").alias("verdict"),
+
+    def judged_alone(rows: DataFrame, reason) -> DataFrame:
+        return rows.select(
+            *keep, F.lit(False).alias("reused"), reason.alias("reason"),
+            F.lit(None).cast("string").alias("representative_id"), F.col("judgment").alias("verdict"),
+        )
+
+    alone = judged_alone(
+        grouped.where("ts_s IS NULL OR _veto"), F.when(F.col("_veto"), "review_required").otherwise("no_clock")
     )
-    return done.unionByName(alone)
+    return done.unionByName(alone).unionByName(judged_alone(outside_families(d), F.lit("ineligible")))
 
 
 def lookup_verdicts(requests: DataFrame, verdicts: DataFrame, ttl: int, key: str = "key",

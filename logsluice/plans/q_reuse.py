@@ -9,27 +9,28 @@ from .catalog import query
 from .q_groups import ALL, keyed_events
 
 _FOLD = """
-seq AS (SELECT template_key, ts_s, id, importance,
+lane AS (SELECT *, coalesce(ts_s < max(ts_s) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS rollback FROM fam),
+seq AS (SELECT template_key, ts_s, id, importance, rollback,
   reusable AND NOT truncated AND NOT sensitive AND NOT parse_uncertain AS seeds, importance = 'routine' AS routine,
-  row_number() OVER (PARTITION BY template_key ORDER BY ts_s, arrival) AS n FROM fam WHERE template_key IS NOT NULL),
+  row_number() OVER (PARTITION BY template_key ORDER BY arrival) AS n FROM lane WHERE template_key IS NOT NULL AND ts_s IS NOT NULL),
 fold AS (
   SELECT DISTINCT template_key, 0::BIGINT AS n, false AS held, false AS stale, 0::BIGINT AS expires, 0::BIGINT AS audit_at,
     16::BIGINT AS step, NULL::VARCHAR AS rep, NULL::VARCHAR AS rep_importance, NULL::VARCHAR AS id, false AS reused,
     NULL::VARCHAR AS reason, NULL::VARCHAR AS importance FROM seq
   UNION ALL
   SELECT template_key, n, hit OR seeds,
-    CASE WHEN hit THEN stale WHEN seeds THEN false ELSE stale OR (held AND NOT alive) END,
+    CASE WHEN hit THEN stale WHEN seeds THEN false ELSE stale OR rollback OR (held AND NOT alive) END,
     CASE WHEN NOT hit AND seeds THEN ts_s + {ttl} ELSE expires END,
     CASE WHEN NOT hit AND seeds THEN n + nstep ELSE audit_at END,
     CASE WHEN NOT hit AND seeds THEN nstep ELSE step END,
     CASE WHEN NOT hit AND seeds THEN id ELSE rep END,
     CASE WHEN NOT hit AND seeds THEN importance ELSE rep_importance END,
     id, hit,
-    CASE WHEN hit THEN 'cached' WHEN alive THEN 'stable_audit' WHEN stale OR held THEN 'cache_expired' ELSE 'new_or_expired' END,
+    CASE WHEN hit THEN 'cached' WHEN rollback THEN 'clock_rollback' WHEN alive THEN 'stable_audit' WHEN stale OR held THEN 'cache_expired' ELSE 'new_or_expired' END,
     CASE WHEN hit THEN rep_importance ELSE importance END
   FROM (
-    SELECT f.template_key, s.n, f.held, f.stale, f.expires, f.audit_at, f.step, f.rep, f.rep_importance, s.ts_s, s.id, s.seeds, s.importance,
-      f.held AND s.ts_s < f.expires AS alive, f.held AND s.ts_s < f.expires AND ({plain} OR s.n < f.audit_at) AS hit,
+    SELECT f.template_key, s.n, f.held, f.stale, f.expires, f.audit_at, f.step, f.rep, f.rep_importance, s.ts_s, s.id, s.seeds, s.importance, s.rollback,
+      f.held AND s.ts_s < f.expires AND NOT s.rollback AS alive, f.held AND s.ts_s < f.expires AND NOT s.rollback AND ({plain} OR s.n < f.audit_at) AS hit,
       CASE WHEN s.routine THEN least({cap}, greatest(32, f.step * 2)) ELSE 32 END AS nstep
     FROM fold f JOIN seq s ON s.template_key = f.template_key AND s.n = f.n + 1)
 )"""
@@ -55,6 +56,24 @@ def adaptive_reuse(spark, sf_dir):
     return _shown(U.reuse_verdicts(keyed_events(spark, sf_dir), ttl=432000, adaptive=True, max_interval=64))
 
 
+# Arrivals shuffled in tens, and events without a clock.
+_LATE = """
+shaken AS (SELECT * REPLACE ((arrival // 10) * 10 + (arrival * 7) % 10 AS arrival, CASE WHEN k % 17 <> 3 THEN ts_s END AS ts_s) FROM fam)"""
+
+
+@query("reuse_without_clock", O.with_ctes(*ALL, _LATE, _FOLD.replace("FROM fam)", "FROM shaken)").format(ttl=14400, plain="true", cap=1024), """
+SELECT id, reused, reason, CASE WHEN reused THEN rep END AS representative_id, importance FROM fold WHERE n > 0
+UNION ALL SELECT id, false, CASE WHEN template_key IS NULL THEN 'ineligible' ELSE 'no_clock' END, NULL, importance FROM shaken
+WHERE template_key IS NULL OR ts_s IS NULL"""))
+def reuse_without_clock(spark, sf_dir):
+    """Clocks that run backwards or are missing: nothing is lost, and a step back is judged again."""
+    pos = F.floor(F.col("arrival") / 10) * 10 + (F.col("arrival") * 7) % 10
+    ev = keyed_events(spark, sf_dir).withColumns({
+        "arrival": pos, "ts_s": F.when(F.col("k") % 17 != 3, F.col("ts_s")),
+    })
+    return _shown(U.reuse_verdicts(ev, ttl=14400))
+
+
 @query("reuse_vetoes", O.with_ctes(*ALL, """
 SELECT id, template_key IN (SELECT template_key FROM fam WHERE base_important AND template_key IS NOT NULL) AS vetoed FROM fam
 WHERE template_key IS NOT NULL"""))

@@ -68,7 +68,9 @@ class ReuseVerdicts(StatefulProcessor):
 def reuse_stream(events: DataFrame, ttl: int = 60, adaptive: bool = False, max_interval: int = 1024) -> DataFrame:
     """Streaming form of ``reuse_verdicts`` for groupable events; ``verdict`` is JSON.
 
-    ``judgment`` is what the judge answers for the event alone.
+    ``judgment`` is what the judge answers for the event alone. Events without a clock are judged on their
+    own. A clock counts as rolled back against the newest one of its family, as a stream has no cheap
+    order over all families; the batch form knows the whole lane.
     """
     seeds = C.reusable("judgment") & ~F.col("truncated") & ~F.col("sensitive") & ~F.col("parse_uncertain")
     d = families(events).select(
@@ -76,10 +78,14 @@ def reuse_stream(events: DataFrame, ttl: int = 60, adaptive: bool = False, max_i
         F.coalesce(F.col("judgment.importance") == "routine", F.lit(False)).alias("routine"),
         F.to_json("judgment").alias("judgment"),
     )
-    return d.groupBy("template_key").transformWithStateInPandas(
+    timed = d.where("ts_s IS NOT NULL").groupBy("template_key").transformWithStateInPandas(
         statefulProcessor=ReuseVerdicts(ttl, adaptive, max_interval), outputStructType=_REUSE_OUT,
         outputMode="Append", timeMode="None",
     )
+    return timed.unionByName(d.where("ts_s IS NULL").select(
+        "template_key", "id", "arrival", F.lit(False).alias("reused"), F.lit("no_clock").alias("reason"),
+        F.lit(None).cast("string").alias("representative_id"), F.col("judgment").alias("verdict"),
+    ))
 
 
 _INCIDENT_STATE = (
@@ -137,7 +143,8 @@ def once_each(events: DataFrame, time: str, delay: str) -> DataFrame:
 def incident_stream(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Notifications to enqueue from a stream of decided events."""
     d = events.where(F.col("decision").isin("notify", "review")).select(
-        "incident_key", "ts_s", "arrival", "id", "source_id", "decision", F.to_json("judgment").alias("judgment")
+        "incident_key", F.coalesce("ts_s", F.lit(0)).alias("ts_s"), "arrival", "id", "source_id", "decision",
+        F.to_json("judgment").alias("judgment"),
     )
     return d.groupBy("incident_key").transformWithStateInPandas(
         statefulProcessor=FoldIncidents(policy), outputStructType=_INCIDENT_OUT,

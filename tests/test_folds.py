@@ -11,23 +11,27 @@ from logsluice.operators import incidents as I, reuse as U, usage as G
 
 
 def fold_reuse(rows, ttl, adaptive, cap):
-    out = {}
-    for key in {r[0] for r in rows}:
-        held = stale = False
-        expires, seen, audit, step, rep = 0, 0, 0, 16, None
-        for _, s, arrival, seeds, routine in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
-            seen += 1
-            alive = held and s < expires
-            if alive and not (adaptive and seen >= audit):
-                out[arrival] = ("cached", rep)
-                continue
-            stale = stale or (held and not alive)
-            out[arrival] = ("stable_audit" if alive else "cache_expired" if stale else "new_or_expired", None)
+    out, state, high = {}, {}, None
+    for key, s, arrival, seeds, routine in sorted(rows, key=lambda r: r[2]):
+        if s is None:
+            out[arrival] = ("no_clock", None)
+            continue
+        rollback, high = high is not None and s < high, s if high is None else max(s, high)
+        held, stale, expires, seen, audit, step, rep = state.get(key, (False, False, 0, 0, 0, 16, None))
+        seen += 1
+        alive = held and s < expires and not rollback
+        if alive and not (adaptive and seen >= audit):
+            out[arrival] = ("cached", rep)
+        else:
+            stale = stale or (held and not alive) or rollback
+            why = "clock_rollback" if rollback else "stable_audit" if alive else "cache_expired" if stale else "new_or_expired"
+            out[arrival] = (why, None)
             held = seeds
             if seeds:
                 stale, expires, rep = False, s + ttl, str(arrival)
                 step = min(cap, max(32, step * 2)) if routine else 32
                 audit = seen + step
+        state[key] = held, stale, expires, seen, audit, step, rep
     return out
 
 
@@ -49,7 +53,8 @@ def test_reuse_matches_sequential(spark, adaptive, cap):
     rows = []
     for i in range(3000):
         key = rng.choice("aaaaaabc")  # one family owns most rows
-        rows.append((key, rng.randint(0, 120), i, rng.random() < (0.97 if key == "a" else 0.4), rng.random() < 0.7))
+        at = None if rng.random() < 0.05 else i // 25 - (rng.randint(0, 30) if rng.random() < 0.02 else 0)
+        rows.append((key, at, i, rng.random() < (0.97 if key == "a" else 0.4), rng.random() < 0.7))
     got = {
         r.arrival: (r.reason, r.representative_id)
         for r in U.reuse_verdicts(reuse_frame(spark, rows), 20, adaptive, cap).collect()
@@ -57,6 +62,16 @@ def test_reuse_matches_sequential(spark, adaptive, cap):
     assert got == fold_reuse(rows, 20, adaptive, cap)
 
 
+def test_fold_rows_follow_seconds_not_changes(spark):
+    """One family that alternates between two kinds of reusable verdict, and one call."""
+    rows = [("t", i // 5000, i, True, i % 2 == 0) for i in range(20_000)]
+    df = U.lane_clock(reuse_frame(spark, rows)).withColumns({"_seeds": F.lit(True), "_routine": F.col("judgment.importance") == "routine"})
+    for adaptive in (False, True):
+        assert U.seconds_of(df, adaptive, "arrival")[1].count() == 4
+    got = U.reuse_verdicts(reuse_frame(spark, rows), 60).groupBy("reason").count().collect()
+    assert {r.reason: r["count"] for r in got} == {"new_or_expired": 1, "cached": 19_999}
+
+
 def test_thousand_events_one_call(spark):
     rows = [("t", i // 20, i, True, True) for i in range(1000)]
     got = U.reuse_verdicts(reuse_frame(spark, rows), 60).groupBy("reason").count().collect()
