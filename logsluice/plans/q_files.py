@@ -34,6 +34,56 @@ def log_files(spark, sf_dir):
     return total.withColumn("_j", F.lit(1)).join(missing.withColumn("_j", F.lit(1)), "_j").drop("_j")
 
 
+def _cut_short(spark, path, most=1 << 16):
+    """Replace a file by its beginning, half of it or ``most`` bytes, as a writer that died would have left it."""
+    named = spark._jvm.org.apache.hadoop.fs.Path
+    fs = named(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    source = fs.open(named(path))
+    start = source.readNBytes(min(most, fs.getFileStatus(named(path)).getLen() // 2))
+    source.close()
+    into = fs.create(named(path.replace("part-", "begun-")))
+    into.write(start)
+    into.close()
+    fs.delete(named(path), False)
+
+
+@query("partly_read_files", O.with_ctes(O.EVENTS, """
+SELECT arrival % 4 AS part, CASE WHEN arrival % 4 = 3 THEN 'input_incomplete' END AS status,
+  CASE WHEN arrival % 4 = 3 THEN 0 ELSE count(*) END AS lines, (arrival % 4 = 3)::BIGINT AS partial FROM ev GROUP BY arrival % 4"""))
+def partly_read_files(spark, sf_dir):
+    """Four gzip files, the last one cut short: the others are whole, and the cut one says so."""
+    folder = _folder(spark, "broken")
+    ev = A.events_log(spark, sf_dir, with_ids=False).select(F.col("text").alias("value"), F.col("arrival") % 4)
+    for part, rows in ((k, ev.where(ev[1] == k)) for k in range(4)):
+        rows.select("value").coalesce(1).write.option("compression", "gzip").text(f"{folder}/{part}")
+    listed = spark.read.format("binaryFile").load(f"{folder}/3/part-*.gz").select("path").collect()
+    for r in listed:
+        _cut_short(spark, r.path)
+    lines, gaps = L.read_log_lines(spark, [f"{folder}/*/*.gz"])
+    part_of = F.element_at(F.split("source.path", "/"), -2).cast("bigint")
+    per_file = lines.groupBy(part_of.alias("part")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.col("partial").cast("bigint")).alias("partial")
+    )
+    told = gaps.select(part_of.alias("part"), "status")
+    return per_file.join(told, "part", "left").select(
+        "part", "status", F.when(F.col("status").isNull(), F.col("lines")).otherwise(0).alias("lines"), "partial"
+    )
+
+
+@query("report_history", O.with_ctes(O.EVENTS, O.BASE, O.JUDGED, """
+SELECT (SELECT count(*) FROM judged) AS events, 'shown' AS status UNION ALL SELECT NULL, 'report_invalid'"""))
+def report_history(spark, sf_dir):
+    """A saved report and a broken one: the first is shown, the second is a gap."""
+    folder = _folder(spark, "history")
+    K.write_document(K.report_document(A.judged_events(spark, sf_dir), gap_rows(spark, sf_dir), retain=50), f"{folder}/a.json")
+    broken = A.load(spark, sf_dir, "events", ["event_id"]).orderBy("event_id").limit(1).select(F.lit('{"schema_version": 2').alias("value"))
+    broken.coalesce(1).write.text(f"{folder}/b.json")
+    shown, gaps = L.report_history(spark, f"{folder}/*.json", pattern="part-*")
+    return shown.select("summary.events", F.lit("shown").alias("status")).unionByName(
+        gaps.select(F.lit(None).cast("bigint").alias("events"), "status")
+    )
+
+
 @query("report_document", O.with_ctes(O.EVENTS, O.BASE, O.JUDGED, """
 tail AS (SELECT * FROM judged ORDER BY arrival DESC LIMIT 500)""", """
 SELECT (SELECT count(*) FROM judged) AS events, (SELECT count(*) FROM judged WHERE importance = 'important') AS important,

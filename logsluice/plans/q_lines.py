@@ -10,13 +10,22 @@ from .catalog import query
 
 
 @query("framed_traces", O.with_ctes(O.TRACE, """
-SELECT path, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end, line_count::BIGINT AS line_count,
-  false AS parse_uncertain, dialect = 1 AS panic FROM trace_events"""))
+trace_text AS (SELECT ok, n, CASE
+    WHEN n = 0 AND ok % 3 = 1 THEN 'panic: order ' || ok || ' failed' WHEN n = 0 THEN 'ERROR order ' || ok || ' failed'
+    WHEN ok % 3 = 0 THEN '    at shop.Item.line(Item.java:' || n || ')'
+    WHEN ok % 3 = 1 AND n % 2 = 1 THEN 'main.(*Item).line(0x' || n || ')'
+    WHEN ok % 3 = 1 THEN chr(9) || '/app/item.go:' || n || ' +0x1f'
+    WHEN n % 2 = 1 THEN '  File "shop.py", line ' || n || ', in item' ELSE '    item(' || n || ')' END AS line FROM trace_rows),
+texts AS (SELECT e.path, e.line_start, md5(string_agg(t.line, chr(10) ORDER BY t.n)) AS text_md5
+  FROM trace_events e JOIN trace_text t ON t.ok = e.ok AND t.ok * 8 + t.n + 1 BETWEEN e.line_start AND e.line_end GROUP BY ALL)""", """
+SELECT e.path, e.line_start::BIGINT AS line_start, e.line_end::BIGINT AS line_end, e.line_count::BIGINT AS line_count,
+  false AS parse_uncertain, false AS truncated, false AS sensitive, CASE WHEN dialect = 2 THEN '2024-01-01 00:00:00' END AS ts_raw,
+  text_md5 FROM trace_events e JOIN texts USING (path, line_start)"""))
 def framed_traces(spark, sf_dir):
     ev = W.frame_events(A.trace_lines(spark, sf_dir), with_json=False)
     return ev.select(
-        F.col("source.path").alias("path"), "line_start", "line_end", "line_count",
-        "parse_uncertain", F.col("text").startswith("panic: ").alias("panic"),
+        F.col("source.path").alias("path"), "line_start", "line_end", "line_count", "parse_uncertain", "truncated", "sensitive",
+        "ts_raw", F.md5(F.col("text").cast("binary")).alias("text_md5"),
     )
 
 
@@ -75,29 +84,48 @@ def admission_gap(spark, sf_dir):
 
 
 @query("replayed_fetches", O.with_ctes(O.EVENTS, """
-lines AS (SELECT source.pod AS pod, ts_s // 600 AS slot, event_type, arrival FROM ev WHERE event_type <> 'view'),
+lines AS (SELECT source_id, ts_us, text, arrival FROM ev UNION ALL SELECT source_id, ts_us, text, arrival FROM ev WHERE k % 4 = 0),
 fetches AS (SELECT 1 AS fno, * FROM lines WHERE arrival % 3 <> 0
   UNION ALL SELECT 2, * FROM lines WHERE arrival % 2 = 0 UNION ALL SELECT 3, * FROM lines),
-counted AS (SELECT pod, slot, event_type, fno, count(*) AS n FROM fetches GROUP BY ALL),
-fresh AS (SELECT *, greatest(0, n - coalesce(max(n) OVER (PARTITION BY pod, slot, event_type ORDER BY fno
+counted AS (SELECT source_id, ts_us, text, fno, count(*) AS n FROM fetches GROUP BY ALL),
+fresh AS (SELECT *, greatest(0, n - coalesce(max(n) OVER (PARTITION BY source_id, ts_us, text ORDER BY fno
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS added FROM counted)""", """
-SELECT fno::BIGINT AS fno, event_type, sum(added)::BIGINT AS lines FROM fresh GROUP BY ALL HAVING sum(added) > 0"""))
+SELECT fno::BIGINT AS fno, source_id, text, sum(added)::BIGINT AS lines FROM fresh GROUP BY ALL HAVING sum(added) > 0"""))
 def replayed_fetches(spark, sf_dir):
-    ev = A.events_log(spark, sf_dir).where("event_type <> 'view'").select(
-        "source_id", F.floor(F.col("ts_s") / 600).alias("ts_us"), F.col("event_type").alias("raw"),
-        F.col("arrival").alias("line_no"),
-    )
+    """Three overlapping fetches of every line; a quarter of the lines come twice in each."""
+    ev = A.events_log(spark, sf_dir).select("source_id", "ts_us", F.col("text").alias("raw"), F.col("arrival").alias("line_no"), "k")
     n = F.col("line_no")
-    # A line belongs to up to three overlapping fetches.
     fetch = F.filter(
         F.array(F.when(n % 3 != 0, 1), F.when(n % 2 == 0, 2), F.lit(3)), lambda x: x.isNotNull()
     )
-    fetched = ev.withColumn("fetch", F.explode(fetch)).withColumn("fetch", F.col("fetch").cast("bigint"))
+    copies = F.when(F.col("k") % 4 == 0, 2).otherwise(1)
+    fetched = ev.withColumn("fetch", F.explode(fetch)).withColumn("_c", F.explode(F.sequence(F.lit(1), copies))).select(
+        "source_id", "ts_us", "raw", "line_no", F.col("fetch").cast("bigint").alias("fetch")
+    )
     return L.dedupe_overlapping_fetches(fetched).groupBy(
-        F.col("fetch").alias("fno"), F.col("raw").alias("event_type")
+        F.col("fetch").alias("fno"), "source_id", F.col("raw").alias("text")
     ).agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query("unstamped_fetches", O.with_ctes(O.EVENTS, """
+lines AS (SELECT source_id, CASE WHEN k % 9 <> 4 THEN ts_us END AS ts, text, arrival FROM ev),
+fetches AS (SELECT 1 AS fno, * FROM lines WHERE arrival % 3 <> 0 UNION ALL SELECT 2, * FROM lines),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY source_id, ts, text ORDER BY fno) AS n FROM fetches)""", """
+SELECT fno::BIGINT AS fno, arrival, ts IS NULL AS unproven FROM fresh WHERE ts IS NULL OR n = 1"""))
+def unstamped_fetches(spark, sf_dir):
+    """Whole lines of two overlapping fetches, some without a time: those are never taken for repeats."""
+    ev = A.events_log(spark, sf_dir).select(
+        "source_id", F.when(F.col("k") % 9 != 4, F.col("ts_us")).alias("ts_us"), F.col("text").alias("raw"), F.col("arrival").alias("line_no")
+    )
+    fetch = F.filter(F.array(F.when(F.col("line_no") % 3 != 0, 1), F.lit(2)), lambda x: x.isNotNull())
+    fetched = ev.withColumn("fetch", F.explode(fetch)).withColumn("fetch", F.col("fetch").cast("bigint"))
+    fresh = L.dedupe_overlapping_fetches(fetched)
+    gaps = L.unproven_gaps(fetched).select(F.col("line_no").alias("_g")).distinct()
+    return fresh.join(gaps, fresh["line_no"] == gaps["_g"], "left").select(
+        F.col("fetch").alias("fno"), F.col("line_no").alias("arrival"), F.col("_g").isNotNull().alias("unproven")
+    )
+
+
 @query("out_of_order_lines", O.with_ctes(O.EVENTS, """
 seq AS (SELECT source_id, (arrival * 7919) % 100003 AS pos, ts_us, arrival FROM ev),
 newest AS (SELECT *, max(ts_us) OVER (PARTITION BY source_id ORDER BY pos, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM seq)""", """

@@ -1,9 +1,11 @@
 """Queries: the streaming operators, drained over the tables and held to the batch answers."""
 
-from pyspark.sql import functions as F
+import uuid
 
+from pyspark.sql import functions as F
 
 from ..operators import incidents as I
+from ..session import shared_dir
 from ..streaming import framing as SF, live as L, state as ST
 from . import adapters as A, oracle as O
 from .catalog import ORACLES, query
@@ -46,13 +48,36 @@ def streamed_reuse(spark, sf_dir):
     )
 
 
+def _in_triggers(df, parts: int):
+    """``df`` as a stream of ``parts`` triggers; its column ``part`` says which one brings a row."""
+    folder = f"{shared_dir(df.sparkSession)}/triggers-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    for k in range(parts):  # files are taken in the order of their times
+        df.where(F.col("part") == k).coalesce(1).write.parquet(f"{folder}/{k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
+@query("late_occurrences", O.with_ctes(O.EVENTS, "SELECT id, count(*) AS applied FROM ev GROUP BY id"))
+def late_occurrences(spark, sf_dir):
+    """Four triggers, the newest events first, and each event in two of them: all are applied once."""
+    ev = A.events_log(spark, sf_dir).withColumn("day", F.to_date(F.timestamp_micros("ts_us")))
+    ev = I.with_incident_keys(ev, "demo").select("id", "occurrence_id", "day", "arrival")
+    part = 3 - F.floor(F.dayofmonth("day") / 8)
+    twice = ev.withColumn("part", F.explode(F.array_distinct(F.array(part, (part + 1) % 4)))).withColumn("part", F.col("part").cast("int"))
+    folder = f"{shared_dir(spark)}/once-{uuid.uuid4().hex}"
+    L.drain_into(_in_triggers(twice, 4), L.once_sink(folder))
+    return spark.read.parquet(folder).groupBy("id").agg(F.count(F.lit(1)).alias("applied"))
+
+
 @query("streamed_once_each", O.with_ctes(O.EVENTS, "SELECT id FROM ev"))
 def streamed_once_each(spark, sf_dir):
-    """Every event delivered twice within the watermark is applied once."""
-    ev = A.events_log(spark, sf_dir, stream=True).withColumn("at", F.timestamp_micros("ts_us"))
-    ev = I.with_incident_keys(ev, "demo")
-    twice = ev.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return _drained(ST.once_each(twice, "at", "1 day").select("id"))
+    """Every event delivered twice, in one trigger and again in the next, is applied once."""
+    ev = A.events_log(spark, sf_dir).withColumn("day", F.to_date(F.timestamp_micros("ts_us")))
+    ev = I.with_incident_keys(ev, "demo").select("id", "occurrence_id", "day")
+    twice = ev.withColumn("part", F.explode(F.array(F.lit(0), F.lit(0), F.lit(1))))
+    folder = f"{shared_dir(spark)}/once-{uuid.uuid4().hex}"
+    L.drain_into(_in_triggers(twice, 2), L.once_sink(folder))
+    return spark.read.parquet(folder).select("id")
 
 
 @query("streamed_framing", """

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from ..operators.scale import BLOCK, LINES_PER_BLOCK, running_rank, running_total, with_block
+from ..operators.scale import BLOCK, LINES_PER_BLOCK, join_keys, running_rank, running_total, with_block
 
 
 def file_source(path: Column) -> Column:
@@ -34,70 +36,122 @@ def split_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+#: Splits whose line numbers are sent to every task, 24 bytes each.
+_BROADCAST_SPLITS = 1 << 20
+
+
 def read_log_lines(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(lines, gaps) of plain and gzip log files.
 
-    A missing or unreadable path becomes a gap row and the other paths are still read. Line
-    numbers need no shuffle of the rows: rows of one file block are numbered by
-    ``monotonically_increasing_id`` relative to the block's first row, and a per-block count
-    (one row per split) gives the offset.
+    A missing path, a file that is no gzip and one that ends or breaks off early become gap rows; all
+    that could be read is kept, and the last line of a file that breaks off is ``partial``. An error while reading a
+    plain file fails the read.
+
+    Rows are numbered by ``monotonically_increasing_id`` relative to the first row of their split,
+    plus the lines of the splits before. That is a row per split, sent to all tasks up to a fixed number
+    of splits, so texts aren't shuffled.
     """
-    good, gaps = [], []
+    good, gaps, splits = [], [], 0
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
+    split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     for path in paths:
         try:
             p = fs_path(path)
             found = p.getFileSystem(conf).globStatus(p)
-            hits = [s for s in (found or []) if s.isFile()]
-            if hits:
-                good.append(path)
-            else:
-                gaps.append((path, "file_type_unsupported" if found else "file_unavailable"))
-        except Exception:
+        except Exception:  # an unreachable file system is a gap like a missing file
             gaps.append((path, "file_unavailable"))
-    gap_rows = spark.createDataFrame(gaps, "path string, status string").select(
-        file_source(X.console_safe("path")).alias("source"), "status",
-        F.array(F.lit("collection incomplete")).alias("warnings"),
-    )
+            continue
+        hits = [s for s in (found or []) if s.isFile()]
+        if hits:
+            good.append(path)
+            splits += sum(1 + s.getLen() // split_bytes for s in hits)
+        else:
+            gaps.append((path, "file_type_unsupported" if found else "file_unavailable"))
+    gap_rows = _gaps(spark.createDataFrame(gaps, "path string, status string"))
     if not good:
-        return spark.createDataFrame([], S.LINE), gap_rows
-    raw = (
-        spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", "true").text(good)
-        .select(
-            F.col("value").alias("raw"),
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("mid"),
-        )
-    )
-    blocks = raw.groupBy("path", "start").agg(
-        F.count(F.lit(1)).alias("n"), F.min("mid").alias("first")
+        return spark.createDataFrame([], S.LINE).withColumn("partial", F.lit(False)), gap_rows
+    health = gzip_health(spark, good)
+    bad = health.where("status IS NOT NULL")
+    raw = _text(spark, good)
+    blocks = raw.groupBy("split", "path", "start").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # A gzip file is one split, so its last line is the split's.
+    offsets = offsets.join(bad.select("path", "status"), "path", "left").select(
+        "split", (F.col("off") - F.col("first") + 1).alias("shift"),
+        F.when(F.col("status").isNotNull(), F.col("first") + F.col("n") - 1).alias("cut"),
     )
-    before = (
-        Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    if splits <= _BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    lines = raw.join(offsets, "split").select(
+        file_source(X.console_safe("path")).alias("source"), (F.col("mid") + F.col("shift")).alias("line_no"), "raw",
+        F.coalesce(F.col("mid") == F.col("cut"), F.lit(False)).alias("partial"),
     )
-    offsets = blocks.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    lines = raw.join(offsets, ["path", "start"]).select(
-        file_source(X.console_safe("path")).alias("source"),
-        (F.col("mid") - F.col("first") + F.col("off") + 1).alias("line_no"),
-        "raw",
-    )
-    return lines, gap_rows
+    return lines, gap_rows.unionByName(_gaps(bad.select("path", "status")))
 
 
-def corrupt_file_gaps(spark: SparkSession, lines: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """``gzip_invalid`` gaps: non-empty .gz files that gave no line at all."""
-    names = [p for p in paths if p.endswith(".gz")]
-    listed = (
-        # Only the listing columns are selected, so no file content is read.
-        spark.read.format("binaryFile").load(names).where("length > 0").select("path")
-        if names else spark.createDataFrame([], "path string")
-    )
-    read = lines.select(F.col("source.path").alias("path")).distinct()
-    return listed.join(read, "path", "left_anti").select(
-        file_source(F.col("path")).alias("source"), F.lit("gzip_invalid").alias("status"),
-        F.array(F.lit("collection incomplete")).alias("warnings"),
+def _text(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Rows of text with their split and a number that ascends inside it.
+
+    A broken gzip file gives the lines before the break; ``gzip_health`` tells which ones are broken.
+    """
+    packed, plain = [p for p in paths if _is_gzip(p)], [p for p in paths if not _is_gzip(p)]
+    parts = []
+    for some, lenient in ((plain, "false"), (packed, "true")):
+        if some:
+            parts.append(spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", lenient).text(some).select(
+                F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"),
+                F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("mid"),
+            ))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return both.withColumn("split", F.xxhash64("path", "start"))
+
+
+def _is_gzip(path: str) -> bool:
+    return path.endswith(".gz")
+
+
+def gzip_health(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, status) of the gzip files: null, ``gzip_invalid`` or ``input_incomplete``.
+
+    Each file is decompressed in a task of its own, a piece at a time, and thrown away.
+    """
+    names = [p for p in paths if _is_gzip(p)]
+    if not names:
+        return spark.createDataFrame([], "path string, status string")
+
+    def check(batches):
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "status": [gzip_status(c) for c in b["content"]]})
+
+    files = spark.read.format("binaryFile").load(names).select("path", "content")
+    return files.mapInPandas(check, "path string, status string")
+
+
+def gzip_status(data: bytes) -> str | None:
+    """None if every member of a gzip file is whole; zero bytes may pad the end."""
+    at, first = 0, True
+    while at < len(data):
+        d, member = zlib.decompressobj(wbits=31), at
+        try:
+            while at < len(data) and not d.eof:
+                d.decompress(data[at:at + (1 << 20)])
+                at += 1 << 20
+        except zlib.error:
+            return "gzip_invalid" if first and not data[:2] == b"\x1f\x8b" else "input_incomplete"
+        if not d.eof:
+            return "input_incomplete"
+        at = min(at, len(data)) - len(d.unused_data)
+        first = False
+        if at <= member or not data[at:].strip(b"\0"):
+            return None
+    return None
+
+
+def _gaps(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        file_source(X.console_safe("path")).alias("source"), "status", F.array(F.lit("collection incomplete")).alias("warnings")
     )
 
 
@@ -168,12 +222,14 @@ def admit(df: DataFrame, max_events: int, order: str = "arrival") -> tuple[DataF
 def dedupe_overlapping_fetches(df: DataFrame) -> DataFrame:
     """Drop lines that an earlier fetch of the same stream already delivered.
 
-    Needs ``fetch, source_id, ts_us, raw, line_no``. Equal lines at the same instant form a
+    Needs ``fetch, source_id, ts_us, raw, line_no`` [, ``partial``]. A line without a time, or cut short, can't
+    be told from a repeat and is always kept; ``unproven_gaps`` reports it. Equal lines at the same instant form a
     multiset: a fetch adds only the occurrences beyond the largest count seen before it. Equal
     lines inside one fetch are all kept. Groups of copies are counted before any shuffle and
     ranked block by block, so a huge group of equal lines stays distributed.
     """
-    rows = df.withColumn("_digest", F.sha2(F.col("raw").cast("binary"), 256))
+    proven = _proven(df)
+    rows = df.where(proven).withColumn("_digest", F.sha2(F.col("raw").cast("binary"), 256))
     group = ["source_id", "ts_us", "_digest"]
     per_fetch = rows.groupBy(*group, "fetch").agg(F.count(F.lit(1)).alias("_n"))
     earlier = (
@@ -183,11 +239,24 @@ def dedupe_overlapping_fetches(df: DataFrame) -> DataFrame:
     ranked = running_rank(
         with_block(rows, "line_no", LINES_PER_BLOCK), [*group, "fetch"], ["line_no"], "_occ"
     )
-    return (
-        ranked.join(seen, [*group, "fetch"])
-        .where(F.col("_occ") > F.col("_seen"))
+    fresh = (
+        join_keys(ranked, seen, [*group, "fetch"]).where(F.col("_occ") > F.col("_seen"))
         .drop("_digest", "_occ", "_seen", BLOCK)
     )
+    return fresh.unionByName(df.where(~proven))
+
+
+def _proven(df: DataFrame) -> Column:
+    whole = ~F.coalesce(F.col("partial"), F.lit(False)) if "partial" in df.columns else F.lit(True)
+    return F.col("ts_us").isNotNull() & whole
+
+
+def unproven_gaps(df: DataFrame) -> DataFrame:
+    """A gap row per line that ``dedupe_overlapping_fetches`` could not compare."""
+    status = F.when(F.col("ts_us").isNull(), "cursor_untimestamped").otherwise("cursor_truncated")
+    return df.where(~_proven(df)).select(
+        "source_id", "line_no", status.alias("status"), F.array(F.lit("collection incomplete")).alias("warnings")
+    )
 
 
 def out_of_order_gaps(df: DataFrame, order: str = "arrival") -> DataFrame:
@@ -205,18 +274,25 @@ def out_of_order_gaps(df: DataFrame, order: str = "arrival") -> DataFrame:
     )
 
 
-def report_history(spark: SparkSession, folder: str, newest: int = 100) -> DataFrame:
-    """The newest saved reports with their projected summaries."""
-    from .reports import read_report
+def report_history(spark: SparkSession, folder: str, newest: int = 100, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(the newest saved reports with their projected summaries, gaps of those that can't be read).
+
+    Only the files that are shown are parsed. ``pattern`` is what names of report files match.
+    """
+    from .reports import read_report, report_problems
 
     files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-        .select("path", "modificationTime")
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime")
         .where(~F.element_at(F.split("path", "/"), -1).startswith("."))
-        .orderBy(F.desc("modificationTime"), "path").limit(newest)
+        .orderBy(F.desc("modificationTime"), "path").limit(newest).collect()
     )
-    docs = read_report(spark, folder, with_path=True, skip_bad=True)
-    return docs.join(files, "path").select(
-        F.element_at(F.split("path", "/"), -1).alias("id"), "modificationTime",
-        "created_at", "mode", "summary",
+    listed = spark.createDataFrame([(r.path, r.modificationTime) for r in files], "path string, modificationTime timestamp")
+    if not files:
+        empty = listed.select(F.col("path").alias("id"), "modificationTime", F.lit("").alias("created_at"), F.lit("").alias("mode"), F.struct("path").alias("summary"))
+        return empty, _gaps(listed.select("path", F.lit("").alias("status")))
+    paths = [r.path for r in files]
+    docs = read_report(spark, paths, with_path=True, skip_bad=True)
+    shown = docs.join(listed, "path").select(
+        F.element_at(F.split("path", "/"), -1).alias("id"), "modificationTime", "created_at", "mode", "summary",
     )
+    return shown, _gaps(report_problems(spark, paths))

@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schema as S
 
 MAX_EVENTS = 100000
 
 
-def read_report(spark: SparkSession, path: str, mode_aliases: dict | None = None,
+_BROKEN = "_broken"
+
+
+def _documents(spark: SparkSession, path: str | list[str], lenient: bool) -> DataFrame:
+    """Report documents; a broken one has its text in ``_broken`` where it does not fail the read."""
+    schema = T.StructType([*S.REPORT.fields, T.StructField(_BROKEN, T.StringType())]) if lenient else S.REPORT
+    reader = spark.read.schema(schema)
+    if lenient:
+        reader = reader.option("columnNameOfCorruptRecord", _BROKEN)
+    return reader.option("multiLine", "true").option("mode", "PERMISSIVE" if lenient else "FAILFAST").json(path)
+
+
+def report_problems(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, status) of the documents that ``read_report`` leaves out with ``skip_bad``."""
+    docs = _documents(spark, path, lenient=True).select("*", F.col("_metadata.file_path").alias("path"))
+    return docs.where(F.col(_BROKEN).isNotNull() | ~_valid()).select("path", F.lit("report_invalid").alias("status"))
+
+
+def read_report(spark: SparkSession, path: str | list[str], mode_aliases: dict | None = None,
                 with_path: bool = False, skip_bad: bool = False) -> DataFrame:
     """One row per report document with defaults filled in.
 
-    Broken documents fail the read, or are dropped with ``skip_bad``. ``mode_aliases`` renames
+    Broken documents fail the read, or are left to ``report_problems`` with ``skip_bad``. ``mode_aliases`` renames
     legacy mode names. ``complete`` is never true for schema 1.
     """
-    reader = spark.read.schema(S.REPORT).option("multiLine", "true")
-    if skip_bad:
-        docs = reader.option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json").json(path)
-    else:
-        docs = reader.option("mode", "FAILFAST").json(path)
+    docs = _documents(spark, path, lenient=skip_bad)
     if with_path:
         docs = docs.withColumn("path", F.col("_metadata.file_path"))
+    if skip_bad:
+        docs = docs.where(F.col(_BROKEN).isNull()).drop(_BROKEN)
     mode = F.col("mode")
     for old, new in (mode_aliases or {}).items():
         mode = F.when(F.col("mode") == old, new).otherwise(mode)

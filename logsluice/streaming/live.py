@@ -32,6 +32,30 @@ def table_sink(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def once_sink(folder: str, day: str = "day") -> Callable[[DataFrame, int], None]:
+    """Apply every occurrence once, however late a repeat or a first arrival comes.
+
+    Batches need ``occurrence_id`` and ``day``, a function of the occurrence. What was applied lies under
+    ``folder`` by day and batch, so a batch is only compared with the days it has, and a batch that is run
+    again replaces what it wrote.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        new = batch.dropDuplicates(["occurrence_id"])
+        if batch_id > 0 and where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            seen = spark.read.schema(f"occurrence_id string, {day} date, batch long").parquet(folder).where(F.col("batch") < batch_id)
+            days = new.select(day).distinct()
+            seen = seen.join(days, seen[day].eqNullSafe(days[day]), "left_semi").select("occurrence_id")
+            new = new.join(seen, "occurrence_id", "left_anti")
+        # Only this batch's own part of each day is replaced.
+        new.withColumn("batch", F.lit(batch_id).cast("long")).write.partitionBy(day, "batch").mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).parquet(folder)
+
+    return write
+
+
 def live_sink(folder: str, retain: int = 2000, order: str = "line_start") -> Callable[[DataFrame, int], None]:
     """Snapshot table of a framed stream: retained events beside the latest pending previews.
 
@@ -83,11 +107,16 @@ def rates(query: StreamingQuery) -> dict:
     }
 
 
-def events_per_window(events: DataFrame, time: str = "ts", width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """Event counts per tumbling window, late rows within ``delay`` included."""
-    return events.withWatermark(time, delay).groupBy(F.window(time, width)).agg(
-        F.count(F.lit(1)).alias("events")
-    )
+def events_per_window(events: DataFrame, time: str = "ts", width: str = "1 minute") -> DataFrame:
+    """Event counts per tumbling window. Windows are never closed, so a late row is counted when it comes;
+    the sink gets the new count of each window that changed (update mode)."""
+    return events.groupBy(F.window(time, width)).agg(F.count(F.lit(1)).alias("events"))
+
+
+def drain_into(df: DataFrame, sink: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over everything available, a trigger at a time, into ``sink``."""
+    folder = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    start(df, sink, f"{folder}/checkpoint", trigger=None).awaitTermination()
 
 
 def drain(df: DataFrame, state_partitions: int | None = None) -> DataFrame:

@@ -135,11 +135,6 @@ class FoldIncidents(StatefulProcessor):
         pass
 
 
-def once_each(events: DataFrame, time: str, delay: str) -> DataFrame:
-    """Drop repeats of an occurrence that arrive within ``delay`` of each other."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(["occurrence_id"])
-
-
 def incident_stream(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Notifications to enqueue from a stream of decided events."""
     d = events.where(F.col("decision").isin("notify", "review")).select(

@@ -31,8 +31,10 @@ def test_files_gzip_missing_and_splits(spark, tmp_path):
         assert sorted(by["a.log"]) == [(1, "one"), (2, "two\rstill two"), (3, ""), (4, "four")]
         assert sorted(by["b.log.gz"]) == [(1, "x"), (2, "y")]
         assert sorted(by["big.log"]) == [(i + 1, f"line {i}") for i in range(5000)]
-        assert [g.status for g in gaps.collect()] == ["file_unavailable"]
-        assert [g.status for g in L.corrupt_file_gaps(spark, lines, paths[:2] + paths[4:]).collect()] == ["gzip_invalid"]
+        assert not any(r.partial for r in rows)
+        assert sorted((g.status, g.source.path.rsplit("/", 1)[1]) for g in gaps.collect()) == [
+            ("file_unavailable", "missing.log"), ("gzip_invalid", "bad.gz"),
+        ]
         events = W.frame_events(lines.where(F.col("source.path").contains("b.log")))
         metrics = R.loss_counters(events, gaps)
         assert events.count() == 2 and not R.completeness(metrics).first()[0]
@@ -40,6 +42,43 @@ def test_files_gzip_missing_and_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_files_that_break_off(spark, tmp_path):
+    texts = "".join(f"line {i} {hash(str(i))}\n" for i in range(50_000)).encode()
+    whole = gzip.compress(texts)
+    (tmp_path / "cut.gz").write_bytes(whole[:len(whole) // 2])
+    (tmp_path / "two.gz").write_bytes(gzip.compress(b"a\n") + gzip.compress(b"b\n"))
+    (tmp_path / "flip.gz").write_bytes(whole[:5000] + b"\xff\xff\xff" + whole[5003:])
+    (tmp_path / "empty.gz").write_bytes(b"")
+    lines, gaps = L.read_log_lines(spark, [str(tmp_path / "*.gz")])
+    by = {}
+    for r in lines.collect():
+        by.setdefault(r.source.path.rsplit("/", 1)[1], []).append((r.line_no, r.partial))
+    assert sorted((g.status, g.source.path.rsplit("/", 1)[1]) for g in gaps.collect()) == [
+        ("input_incomplete", "cut.gz"), ("input_incomplete", "flip.gz"),
+    ]
+    assert sorted(by["two.gz"]) == [(1, False), (2, False)]
+    cut = sorted(by["cut.gz"])
+    assert 1000 < len(cut) < 50_000 and [n for n, p in cut if p] == [len(cut)]
+    events = W.frame_events(lines.where(F.col("source.path").endswith("cut.gz")))
+    assert [e.truncated for e in events.orderBy(F.desc("line_start")).limit(2).collect()] == [True, False]
+
+
+def test_line_numbers_move_no_text(spark, tmp_path):
+    (tmp_path / "a.log").write_text("x\n" * 1000)
+    lines, _ = L.read_log_lines(spark, [str(tmp_path / "a.log")])
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange" in x and "raw#" in x]
+    assert "BroadcastHashJoin" in plan and not moved
+
+
+def test_unstamped_and_partial_lines_are_kept(spark):
+    rows = [(1, "s", None, "a", 1, False), (1, "s", None, "a", 2, False), (1, "s", 5, "a", 3, True), (1, None, 5, "b", 4, False),
+            (2, "s", None, "a", 1, False), (2, "s", 5, "a", 3, True), (2, None, 5, "b", 4, False)]
+    df = spark.createDataFrame(rows, "fetch long, source_id string, ts_us long, raw string, line_no long, partial boolean")
+    assert L.dedupe_overlapping_fetches(df).count() == 6
+    assert {r.status: r["count"] for r in L.unproven_gaps(df).groupBy("status").count().collect()} == {"cursor_untimestamped": 3, "cursor_truncated": 2}
+
+
 def test_byte_limit(spark, lines_df):
     df = L.limit_bytes(lines_df({"a": ["hello world"], "b": ["1234567"], "c": ["1234567", "x"]}).withColumn(
         "source_id", X.source_id("source")), 8)
@@ -104,8 +143,10 @@ def test_saved_report_checks(spark, tmp_path):
         (tmp_path / "b.json").write_text(json.dumps(good | change))
         with pytest.raises(Exception):
             RP.read_report(spark, str(tmp_path / "b.json")).collect()
-    hist = L.report_history(spark, str(tmp_path))
+    (tmp_path / "c.json").write_text("{not json")
+    hist, gaps = L.report_history(spark, str(tmp_path))
     assert [r.id for r in hist.collect()] == ["g.json"]
+    assert sorted((g.source.path.rsplit("/", 1)[1], g.status) for g in gaps.collect()) == [("b.json", "report_invalid"), ("c.json", "report_invalid")]
 
 
 def test_six_hundred_gaps(spark):
