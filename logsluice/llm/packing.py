@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 CAPACITY, END_ID = 2048, 1
 WHOLE_CLASSES, SLACK = 8, 1 / 128
 #: Distinct words whose ids a worker remembers, and the longest that it does.
-_REMEMBERED, _LONGEST = 1 << 19, 48
+_REMEMBERED, _LONGEST = 1 << 18, 48
 #: Characters of text that are cut and tokenized at a time.
 _SPAN = 1 << 20
 

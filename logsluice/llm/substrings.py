@@ -212,6 +212,12 @@ def _to_bytes(table: pa.Table) -> bytes:
     return out.getvalue()
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows one at a time, as a batch of packs is large."""
+    for k in range(batch.num_rows):
+        yield tuple(c[k].as_py() for c in batch.columns)
+
+
 def _open(docs: bytes, body: bytes) -> tuple[np.ndarray, list[bytes | None]]:
     ids, lengths = _unsqueeze(docs, "<i8", "<i8")
     raw, at, texts = zstandard.ZstdDecompressor().decompress(body), 0, []
@@ -308,7 +314,7 @@ def _repeats(packs: DataFrame, shared: DataFrame, route: tuple[np.ndarray, np.nd
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pack, docs, body, anchors in zip(*[c.to_pylist() for c in b.columns]):
+            for pack, docs, body, anchors in _rows(b):
                 ids, texts = _open(docs, body)
                 w = Windows([t or b"" for t in texts], window, anchor)
                 known = np.sort(np.concatenate([np.cumsum(_unsqueeze(d, "<i8")[0]).view(np.uint64) for d in anchors]))
@@ -368,7 +374,7 @@ def remove_repeats(
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for docs, body, kept, numbers in zip(*[c.to_pylist() for c in b.columns]):
+            for docs, body, kept, numbers in _rows(b):
                 ids, texts = _open(docs, body)
                 w = Windows([t or b"" for t in texts], window, None)
                 gone = ~_first_of_equal(w)

@@ -158,10 +158,10 @@ def score_documents(
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            columns = b.columns[1:] + [pa.array([model.score(t) for t in texts], pa.float64())]
+            texts = b.column(0)  # taken one at a time, as a batch of texts is large
+            columns = b.columns[1:] + [pa.array((model.score(t.as_py()) for t in texts), pa.float64())]
             if with_sentences:
-                columns.append(pa.array([model.offending(t) for t in texts], pa.list_(pa.string())))
+                columns.append(pa.array((model.offending(t.as_py()) for t in texts), pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays(columns, out.fieldNames())
 
     kept = documents.select([c for c in keep if c not in ("score", "sentences")])
