@@ -79,12 +79,32 @@ def _map(entries: Column) -> Column:
     return F.map_from_entries(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")))
 
 
-def semantic_key(matched: DataFrame) -> DataFrame:
-    """Grouping key of the semantic strategy: only reviewed templates may share a verdict."""
+def with_grouping(
+    events: DataFrame, strategy: str = "drain", masking: str = "strict", rules: DataFrame | None = None,
+    now: Column | None = None, with_json: bool = True,
+) -> DataFrame:
+    """Add ``eligible``, ``version_id``, ``template_key`` and ``grouping`` (why or how an event is grouped).
+
+    A reviewed rule that matches takes precedence over any strategy: the event gets the reviewed
+    template in the scope of its full source, under a version of the kind ``reviewed``. The semantic strategy groups
+    nothing else, and without rules it only watches.
+    """
+    if rules is not None:
+        d = match_template_rules(events, rules, now)
+    else:
+        d = events.withColumns({"rule_id": F.lit(None).cast("string"), "reviewed_template": F.lit(None).cast("string")})
+    semantic = strategy == "semantic"
+    d = M.with_template_key(d, "exact" if semantic else strategy, masking, with_json)
+    hit = F.col("eligible") & F.col("reviewed_template").isNotNull()
+    version = M.version_id(strategy, masking, F.concat_ws("\x1f", F.lit("reviewed"), "reviewed_template"))
     key = F.sha2(F.concat_ws(
-        "\x1f", F.lit("family-v1"), F.to_json("source", {"ignoreNullFields": "false"}),
-        "reviewed_template", F.col("baseline.important").cast("string"),
+        "\x1f", F.lit("family-v1"), F.to_json("source", {"ignoreNullFields": "false"}), version,
+        F.col("baseline.important").cast("string"),
     ), 256)
-    return matched.withColumn("template_key", F.when(F.col("reviewed_template").isNotNull(), key)).withColumn(
-        "reason", F.when(F.col("reviewed_template").isNull(), "reviewed_miss")
-    )
+    miss = F.lit("shadow_only" if rules is None else "reviewed_miss") if semantic else F.lit(strategy)
+    grouping = F.when(hit, "reviewed").when(F.col("eligible"), miss).otherwise("ineligible")
+    own = F.lit(None).cast("string") if semantic else F.col("template_key")
+    return d.withColumns({
+        "version_id": F.when(hit, version).otherwise(F.col("version_id")), "template_key": F.when(hit, key).otherwise(own),
+        "grouping": grouping, "eligible": hit if semantic else F.col("eligible"),
+    })

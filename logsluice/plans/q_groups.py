@@ -149,9 +149,9 @@ def analysis_counters(spark, sf_dir):
 
 @query("judging_batches", O.with_ctes(O.EVENTS, """
 SELECT batch::BIGINT AS batch, count(*) AS events, min(arrival) AS first, max(arrival) AS last FROM (
-  SELECT arrival, (row_number() OVER (ORDER BY arrival) - 1) // 64 AS batch FROM ev WHERE event_type = 'error') GROUP BY batch"""))
+  SELECT arrival, (row_number() OVER (ORDER BY arrival) - 1) // 64 AS batch FROM ev) GROUP BY batch"""))
 def judging_batches(spark, sf_dir):
-    ev = A.events_log(spark, sf_dir, with_ids=False).where("event_type = 'error'")
+    ev = A.events_log(spark, sf_dir, with_ids=False)
     return D.chunk(ev.select("arrival"), 64).groupBy("batch").agg(
         F.count(F.lit(1)).alias("events"), F.min("arrival").alias("first"), F.max("arrival").alias("last")
     )

@@ -50,11 +50,12 @@ def redacted_documents(spark, sf_dir):
 
 @query("document_templates", O.with_ctes(*ALL, """
 SELECT CASE WHEN k % 10 = 3 THEN '{"kind":"' || event_type || '","request_id":"<id>","status":200}'
-       ELSE '{"kind":"' || event_type || '","request_id":"<id>","status":"200"}' END AS template, count(*) AS events
-FROM docs WHERE k % 10 IN (3, 4) GROUP BY 1"""))
+       WHEN k % 10 = 4 THEN '{"kind":"' || event_type || '","request_id":"<id>","status":"200"}'
+       WHEN k % 10 = 5 THEN '{"a":[' || k || ',"x"],"api_key":"q' || k || '","n":1}'
+       ELSE '{"a":[true,null],"inner":{"n":' || k || '.50,"password":"p' || k || '"},"z":"user ' || user_id || '"}' END AS template, count(*) AS events
+FROM docs GROUP BY 1"""))
 def document_templates(spark, sf_dir):
-    d = documents(spark, sf_dir).where("k % 10 IN (3, 4)")
-    return M.with_template(d, "doc").groupBy("template").agg(F.count(F.lit(1)).alias("events"))
+    return M.with_template(documents(spark, sf_dir), "doc").groupBy("template").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query("document_shapes", O.with_ctes(*ALL, """
@@ -114,6 +115,37 @@ def reviewed_templates(spark, sf_dir):
     )
 
 
+_GROUPED = r"""
+grouped AS (SELECT *, k % 10 IN (3, 4, 5) AND NOT truncated AND NOT sensitive AND NOT parse_uncertain AS ok,
+  k % 10 = 3 AND event_type = 'click' AND source.namespace = 'ns0' AS ruled,
+  CASE WHEN k % 10 IN (3, 4) THEN regexp_replace(doc, '"request_id":"[0-9a-f]{32}"', '"request_id":"<id>"') ELSE doc END AS strict FROM docs),
+keys AS (
+  SELECT 'off' AS strategy, NULL AS family, 'ineligible' AS grouping FROM grouped
+  UNION ALL SELECT 'exact', CASE WHEN ok THEN concat_ws('|', source_json, doc, base_important) END, CASE WHEN ok THEN 'exact' ELSE 'ineligible' END FROM grouped
+  UNION ALL SELECT 'semantic', CASE WHEN ok AND ruled THEN concat_ws('|', source_json, base_important) END,
+    CASE WHEN NOT ok THEN 'ineligible' WHEN ruled THEN 'reviewed' ELSE 'reviewed_miss' END FROM grouped
+  UNION ALL SELECT 'drain', CASE WHEN ok AND ruled THEN concat_ws('|', 'reviewed', source_json, base_important)
+      WHEN ok THEN concat_ws('|', source.namespace, strict, base_important) END,
+    CASE WHEN NOT ok THEN 'ineligible' WHEN ruled THEN 'reviewed' ELSE 'drain' END FROM grouped)"""
+
+
+@query("grouping_strategies", O.with_ctes(*ALL, _GROUPED, """
+SELECT strategy, grouping, count(*) AS events, count(DISTINCT family) AS families FROM keys GROUP BY ALL"""))
+def grouping_strategies(spark, sf_dir):
+    """Every strategy over structured messages, with reviewed rules taking precedence."""
+    ev = documents(spark, sf_dir).withColumn("text", F.col("doc"))
+    rules = _template_rules(spark, sf_dir)
+    good = rules.join(RS.template_rule_violations(rules, F.lit(1700000000)).select("id"), "id", "left_anti")
+    out = None
+    for strategy in ("off", "exact", "semantic", "drain"):
+        some = TR.with_grouping(ev, strategy, rules=None if strategy in ("off", "exact") else good, now=F.lit(1700000000))
+        some = some.groupBy("grouping").agg(
+            F.count(F.lit(1)).alias("events"), F.countDistinct("template_key").alias("families")
+        ).withColumn("strategy", F.lit(strategy))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 @query("template_evidence", O.with_ctes(*GROUPS, """
 texts AS (SELECT template_key, text, min(arrival) AS first FROM fam WHERE template_key IS NOT NULL GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY template_key ORDER BY first) AS r FROM texts),

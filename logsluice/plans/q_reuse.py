@@ -134,14 +134,14 @@ def verdict_lookup(spark, sf_dir):
 round AS (SELECT template_key AS key, max(ts_s) AS now, max_by(arrival % 5 = 0, arrival) AS unsafe,
     max_by(reusable, arrival) AS reusable, max_by(importance, arrival) AS importance,
     CASE count(*) % 3 WHEN 0 THEN 'default' WHEN 1 THEN 'refresh' ELSE 'bypass' END AS mode
-  FROM fam WHERE template_key IS NOT NULL AND ts_s % 5 = 0 GROUP BY template_key),
+  FROM fam WHERE template_key IS NOT NULL GROUP BY template_key),
 fresh AS (SELECT key, importance, now AS created, now + 60 AS expires FROM round WHERE NOT unsafe AND mode <> 'bypass' AND reusable)""", """
 SELECT key, importance, created, expires FROM fresh
 UNION ALL SELECT key, importance, created, expires FROM stored
 WHERE key NOT IN (SELECT key FROM fresh) AND key NOT IN (SELECT key FROM round WHERE unsafe OR mode <> 'default')"""))
 def refreshed_cache(spark, sf_dir):
     ev = keyed_events(spark, sf_dir)
-    judged = M.families(ev).where("ts_s % 5 = 0").groupBy(
+    judged = M.families(ev).groupBy(
         F.col("template_key").alias("key")
     ).agg(
         F.max("ts_s").alias("now"), F.max_by(F.col("arrival") % 5 == 0, "arrival").alias("unsafe"),

@@ -124,14 +124,16 @@ def scoped_search_events(spark, sf_dir):
     return Z.first_by_id(scoped).select("id")
 
 
-_ANCHORS = "anchors AS (SELECT id AS anchor_id, ts_us AS anchor_us FROM ev WHERE event_type = 'error' AND k % 25 = 0)"
+# The last error of each namespace: a few chosen events, however many there are in all.
+_ANCHORS = """
+anchors AS (SELECT max_by(id, arrival) AS anchor_id, max_by(ts_us, arrival) AS anchor_us FROM ev WHERE event_type = 'error' GROUP BY source.namespace)"""
 
 
 def _time_context(spark, sf_dir):
     ev = A.events_log(spark, sf_dir)
-    anchors = ev.where("event_type = 'error' AND k % 25 = 0").select(
-        F.col("id").alias("anchor_id"), F.col("ts_us").alias("anchor_us")
-    )
+    anchors = ev.where("event_type = 'error'").groupBy("source.namespace").agg(
+        F.max_by("id", "arrival").alias("anchor_id"), F.max_by("ts_us", "arrival").alias("anchor_us")
+    ).drop("namespace")
     return K.nearby_in_time(ev, anchors, 900)
 
 
@@ -175,9 +177,9 @@ def fetched_context(spark, sf_dir):
 
 
 @query("collected_view", O.with_ctes(O.EVENTS, O.BASE, O.JUDGED, """
-SELECT id, CASE WHEN arrival % 3 = 0 THEN importance ELSE 'pending' END AS importance FROM judged WHERE arrival % 2 = 0 OR arrival % 3 = 0"""))
+SELECT id, CASE WHEN arrival % 3 = 0 THEN importance ELSE 'pending' END AS importance FROM judged"""))
 def collected_view(spark, sf_dir):
     ev = A.judged_events(spark, sf_dir).select("arrival", "id", "judgment")
     pending = C.judgment("pending", "unknown", "unknown")
-    tail = ev.where("arrival % 2 = 0").withColumn("judgment", pending)
+    tail = ev.withColumn("judgment", pending)
     return K.collected_view(ev.where("arrival % 3 = 0"), tail).select("id", "judgment.importance")
