@@ -30,8 +30,8 @@ def repair_utf8(text) -> Column:
 
 
 def clip_bytes(text, limit: int) -> Column:
-    """The longest prefix of at most ``limit`` bytes that ends between characters."""
-    text = _col(text)
+    """The longest prefix of at most ``limit`` bytes that ends between characters; invalid bytes are repaired first."""
+    text = repair_utf8(text)
     raw = text.cast("binary")
     cuts = [
         F.try_validate_utf8(F.substring(raw, 1, limit - back).cast("string")) for back in range(4)

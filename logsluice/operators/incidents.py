@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import schema as S
 from ..functions import classify as C
 from ..functions.classify import Policy
 from .scale import first_per_key, ordered_fold
@@ -240,13 +241,22 @@ _OLD_PAYLOAD = (
 )
 
 
+def _readable_old(box_row: str = "_o") -> Column:
+    """A version-1 payload that belongs to its row and has a decision."""
+    o = F.col(box_row)
+    return F.coalesce(
+        (o["schema"] == 1) & (o["notification_id"] == F.col("notification_id")) & (o["incident_id"] == F.col("incident_key"))
+        & o["decision"].isin("notify", "review") & o["observed_at"].isNotNull() & o["recurrence_count"].isNotNull(), F.lit(False),
+    )
+
+
 def upgrade_payloads(box: DataFrame) -> DataFrame:
-    """Rewrite readable version-1 payloads to the opaque version-2 form.
+    """Rewrite version-1 payloads to the opaque version-2 form.
 
-    The source record is replaced by its hash and an invalid verdict by unknown.
+    The source record is replaced by its hash and an invalid verdict by unknown. A payload that can't be
+    read, belongs to another row or has no decision stays as it is; ``payload_violations`` names it.
     """
-    old = F.from_json("payload", _OLD_PAYLOAD)
-    d = box.withColumn("_o", old)
+    d = box.withColumn("_o", F.from_json("payload", _OLD_PAYLOAD))
     j = F.when(C.valid_judgment("_o.judgment"), F.col("_o.judgment")).otherwise(
         C.unknown("migrated judgment requires review")
     )
@@ -259,22 +269,56 @@ def upgrade_payloads(box: DataFrame) -> DataFrame:
         F.col("_o.recurrence_count").alias("recurrence_count"),
         F.col("_o.observed_at").alias("observed_at"),
     ))
-    return d.withColumn("payload", new).drop("_o")
+    return d.withColumn("payload", F.when(_readable_old(), new).otherwise(F.col("payload"))).drop("_o")
+
+
+_PAYLOAD = (
+    "schema int, notification_id string, incident_id string, event_id string, source_id string, decision string, "
+    "recurrence_count bigint, observed_at bigint, judgment struct<"
+    "importance:string,severity:string,category:string,importance_confidence:double,"
+    "severity_confidence:double,category_confidence:double,analysis_error:string>"
+)
+
+
+# The error texts that a verdict may carry.
+_KNOWN_ERRORS = (
+    "provider analysis unavailable", "invalid provider judgment", "stale template generation",
+    "group verdict requires independent review", "analysis cancelled", "migrated judgment requires review",
+)
+
+
+def _judgment_fits(j: Column) -> Column:
+    """Known names and error texts, confidences missing or between 0 and 1."""
+    named = (
+        j["importance"].isin(*S.IMPORTANCE, "unknown") & j["severity"].isin(*S.SEVERITY, "unknown")
+        & j["category"].isin(*S.CATEGORY, "unknown")
+    )
+    for c in ("importance", "severity", "category"):
+        named = named & F.coalesce(j[f"{c}_confidence"].between(0, 1), j[f"{c}_confidence"].isNull())
+    return F.coalesce(named & F.coalesce(j["analysis_error"], F.lit("")).isin("", *_KNOWN_ERRORS), F.lit(False))
 
 
 def payload_violations(box: DataFrame) -> DataFrame:
-    """Outbox rows whose ids or payload break the format, with the reason."""
-    p = F.from_json("payload", _OLD_PAYLOAD)
+    """Outbox rows whose ids or version-2 payload break the format, with the first reason."""
     hex64 = r"^[0-9a-fA-F]{64}\z"
-    d = box.withColumn("_p", p)
+    d = box.withColumn("_p", F.from_json("payload", _PAYLOAD))
+
+    def other(c: str, pattern: str) -> Column:
+        return ~F.coalesce(F.col(c).rlike(pattern), F.lit(False))
+
     reason = (
-        F.when(~F.col("notification_id").rlike(hex64) | ~F.col("incident_key").rlike(hex64), "bad_id")
+        F.when(other("notification_id", hex64) | other("incident_key", hex64), "bad_id")
         .when(F.octet_length("payload") > 131072, "oversized")
+        .when(~F.coalesce(F.col("_p.schema") == 2, F.lit(False)), "bad_schema")
         .when(F.col("_p.notification_id").isNull() | (F.col("_p.notification_id") != F.col("notification_id"))
-              | (F.col("_p.incident_id") != F.col("incident_key")), "id_mismatch")
+              | F.col("_p.incident_id").isNull() | (F.col("_p.incident_id") != F.col("incident_key")), "id_mismatch")
+        .when(other("_p.event_id", r"^(?:[a-f0-9]{20}|[a-f0-9]{64})\z"), "bad_event_id")
+        .when(other("_p.source_id", hex64), "bad_source_id")
         .when(~F.coalesce(F.col("_p.decision").isin("notify", "review"), F.lit(False)), "bad_decision")
-        .when(~F.col("status").isin("pending", "delivered", "dead"), "bad_status")
-        .when((F.col("attempts") < 0) | (F.col("attempts") > MAX_ATTEMPTS), "bad_attempts")
+        .when(~_judgment_fits(F.col("_p.judgment")), "bad_judgment")
+        .when(~F.coalesce((F.col("_p.recurrence_count") >= 1) & (F.col("_p.observed_at") >= 0), F.lit(False)), "bad_count")
+        .when(~F.coalesce(F.col("status").isin("pending", "delivered", "dead"), F.lit(False)), "bad_status")
+        .when(~F.coalesce((F.col("attempts") >= 0) & (F.col("attempts") <= MAX_ATTEMPTS), F.lit(False)), "bad_attempts")
     )
     return d.withColumn("reason", reason).where("reason IS NOT NULL").select("notification_id", "reason")
 

@@ -25,6 +25,8 @@ def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.octet_length("pattern") + F.octet_length(F.to_json("scope"))), F.lit(0)).alias("b"),
         F.collect_set("_keys").alias("shapes"),
     ).first()
+    if any(not s for s in size["shapes"]):
+        raise ValueError("a review rule needs a scope")
     if size["b"] > MAX_RULE_BYTES:
         raise ValueError("review rules exceed 16 MiB")
     shapes = sorted(tuple(s) for s in size["shapes"] if set(s) <= set(_FIELDS))

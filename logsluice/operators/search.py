@@ -63,12 +63,7 @@ def scope_events(events: DataFrame, scope: dict | None = None, label: str | None
         if value:
             events = events.where(F.col(f"source.{key}") == value)
     if label and label != "all":
-        src = F.col("source")
-        name = F.when(
-            src["type"] == "kubernetes",
-            F.concat_ws("/", *[F.coalesce(src[n], F.lit("")) for n in ("namespace", "pod", "container")]),
-        ).otherwise(src["path"])
-        events = events.where(name == label)
+        events = events.where(C.source_label("source") == label)
     return events
 
 
@@ -120,6 +115,13 @@ def relevance_key(query: str) -> Column:
     ), {"ignoreNullFields": "false"}), 256)
 
 
+def _sound(answers: pd.DataFrame | None, expected: int) -> bool:
+    if answers is None or len(answers) != expected or not {"relevance", "confidence"} <= set(answers.columns):
+        return False
+    known = answers["relevance"].isin(["match", "possible", "unrelated"])
+    return bool((known & pd.to_numeric(answers["confidence"], errors="coerce").between(0, 1)).all())
+
+
 _ANSWER = "search_group string, relevance string, confidence double"
 
 
@@ -135,8 +137,8 @@ def score_relevance(
     """Relevance of each group to the question.
 
     Fresh cache entries ``(key, relevance, confidence, at)`` answer first; the best remaining
-    candidates go to ``judge`` eight at a time. A failing call or a wrong number of answers
-    gives unknown. Doubtful or limited evidence reads possible.
+    candidates go to ``judge`` eight at a time. A call that fails, or in which any answer is missing, not one of
+    match, possible and unrelated, or without a confidence between 0 and 1, counts as a whole as unknown. Doubtful or limited evidence reads possible.
     """
     q = clean_query(query)
     d = groups.withColumn("cache_key", relevance_key(query))
@@ -157,7 +159,7 @@ def score_relevance(
                     got = judge(q, part)
                 except Exception:
                     got = None
-                if got is None or len(got) != len(part):
+                if not _sound(got, len(part)):
                     got = pd.DataFrame({"relevance": ["unknown"] * len(part), "confidence": None})
                 yield pd.DataFrame({
                     "search_group": part["search_group"], "relevance": got["relevance"],

@@ -105,9 +105,22 @@ def report_document(spark, sf_dir):
 
 
 @query("payload_violations", O.with_ctes(*INCIDENTS, _BOX, """
-SELECT notification_id, 'bad_status' AS reason FROM box WHERE due % 3 = 0"""))
+SELECT notification_id, CASE due % 9 WHEN 0 THEN 'bad_status' WHEN 1 THEN 'bad_schema' WHEN 2 THEN 'id_mismatch' WHEN 3 THEN 'bad_event_id'
+  WHEN 4 THEN 'bad_decision' WHEN 5 THEN 'bad_judgment' WHEN 6 THEN 'bad_count' ELSE 'bad_attempts' END AS reason
+FROM box WHERE due % 9 < 8"""))
 def payload_violations(spark, sf_dir):
-    rows = box(spark, sf_dir).withColumn(
-        "status", F.when(F.col("due") % 3 == 0, "lost").otherwise(F.col("status"))
+    """Outbox rows broken in eight ways, by their second."""
+    kind = F.col("due") % 9
+    broken = (
+        ("schema", 1, r'"schema":2', '"schema":3'), ("incident", 2, r'"incident_id":"[0-9a-f]', '"incident_id":"x'),
+        ("event", 3, r'"event_id":"[0-9a-f]', '"event_id":"x'), ("decision", 4, r'"decision":"[a-z]+"', '"decision":"maybe"'),
+        ("judgment", 5, r'"importance":"[a-z]+"', '"importance":"huge"'), ("count", 6, r'"recurrence_count":[0-9]+', '"recurrence_count":0'),
     )
+    payload = F.col("payload")
+    for _, at, pattern, to in broken:
+        payload = F.when(kind == at, F.regexp_replace("payload", pattern, to)).otherwise(payload)
+    rows = box(spark, sf_dir).withColumns({
+        "payload": payload, "status": F.when(kind == 0, "lost").otherwise(F.col("status")),
+        "attempts": F.when(kind == 7, F.lit(99)).otherwise(F.col("attempts")).cast("bigint"),
+    })
     return I.payload_violations(rows)

@@ -33,10 +33,16 @@ def _member_map(text: str) -> Column:
 
 
 def read_human_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rules, acknowledgements) of one review file; rules keep their list order in ``pos``."""
+    """(rules, acknowledgements) of one review file; rules keep their list order in ``pos``.
+
+    A file with a rule that ``human_rule_violations`` names is refused as a whole.
+    """
     doc = spark.read.schema(S.HUMAN_RULES).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     rules = doc.where("version = 1").select(F.posexplode("rules").alias("pos", "r")).select("pos", "r.*")
     rules = rules.withColumn("scope", _member_map("scope"))
+    bad = human_rule_violations(rules).first()
+    if bad is not None:
+        raise ValueError(f"review rule {bad['id']!r} is invalid: {bad['reason']}")
     acks = doc.where("version = 1").select(F.explode("acknowledged").alias("report", "ids")).select(
         "report", F.explode("ids").alias("id")
     )
