@@ -14,6 +14,10 @@ from ..functions.classify import Policy
 from ..functions.templates import families
 from ..operators import incidents as I
 
+def _millis(seconds: int | None) -> int | None:
+    return None if seconds is None else seconds * 1000
+
+
 _REUSE_STATE = (
     "held boolean, stale boolean, expires bigint, seen bigint, audit_at bigint, step bigint, "
     "rep string, verdict string, high bigint"
@@ -27,11 +31,11 @@ _REUSE_OUT = (
 class ReuseVerdicts(StatefulProcessor):
     """One family: the verdict in force, its expiry and its next audit."""
 
-    def __init__(self, ttl: int, adaptive: bool, max_interval: int):
-        self.ttl, self.adaptive, self.max_interval = ttl, adaptive, max_interval
+    def __init__(self, ttl: int, adaptive: bool, max_interval: int, keep_s: int | None):
+        self.ttl, self.adaptive, self.max_interval, self.keep_s = ttl, adaptive, max_interval, keep_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("family", _REUSE_STATE)
+        self.state = handle.getValueState("family", _REUSE_STATE, _millis(self.keep_s))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held, stale, expires, seen, audit_at, step, rep, verdict, high = (
@@ -65,12 +69,15 @@ class ReuseVerdicts(StatefulProcessor):
         pass
 
 
-def reuse_stream(events: DataFrame, ttl: int = 60, adaptive: bool = False, max_interval: int = 1024) -> DataFrame:
+def reuse_stream(events: DataFrame, ttl: int = 60, adaptive: bool = False, max_interval: int = 1024,
+                 keep_s: int | None = None) -> DataFrame:
     """Streaming form of ``reuse_verdicts`` for groupable events; ``verdict`` is JSON.
 
     ``judgment`` is what the judge answers for the event alone. Events without a clock are judged on their
     own. A clock counts as rolled back against the newest one of its family, as a stream has no cheap
-    order over all families; the batch form knows the whole lane.
+    order over all families; the batch form knows the whole lane. A family unheard of for ``keep_s`` seconds of
+    the wall clock starts anew; None keeps it. Expiry follows the wall clock, so a stream with it runs on a
+    processing-time trigger and never counts as drained.
     """
     seeds = C.reusable("judgment") & ~F.col("truncated") & ~F.col("sensitive") & ~F.col("parse_uncertain")
     d = families(events).select(
@@ -79,8 +86,8 @@ def reuse_stream(events: DataFrame, ttl: int = 60, adaptive: bool = False, max_i
         F.to_json("judgment").alias("judgment"),
     )
     timed = d.where("ts_s IS NOT NULL").groupBy("template_key").transformWithStateInPandas(
-        statefulProcessor=ReuseVerdicts(ttl, adaptive, max_interval), outputStructType=_REUSE_OUT,
-        outputMode="Append", timeMode="None",
+        statefulProcessor=ReuseVerdicts(ttl, adaptive, max_interval, keep_s), outputStructType=_REUSE_OUT,
+        outputMode="Append", timeMode="None" if keep_s is None else "ProcessingTime",
     )
     return timed.unionByName(d.where("ts_s IS NULL").select(
         "template_key", "id", "arrival", F.lit(False).alias("reused"), F.lit("no_clock").alias("reason"),
@@ -100,11 +107,11 @@ _INCIDENT_OUT = (
 class FoldIncidents(StatefulProcessor):
     """One incident: recurrence window, escalation level, cooldown. Emits what is enqueued."""
 
-    def __init__(self, policy: Policy):
-        self.policy = policy
+    def __init__(self, policy: Policy, keep_s: int | None):
+        self.policy, self.keep_s = policy, keep_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("incident", _INCIDENT_STATE)
+        self.state = handle.getValueState("incident", _INCIDENT_STATE, _millis(self.keep_s))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         p = self.policy
@@ -135,15 +142,19 @@ class FoldIncidents(StatefulProcessor):
         pass
 
 
-def incident_stream(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Notifications to enqueue from a stream of decided events."""
+def incident_stream(events: DataFrame, policy: Policy = Policy(), keep_s: int | None = None) -> DataFrame:
+    """Notifications to enqueue from a stream of decided events.
+
+    An incident unheard of for ``keep_s`` seconds of the wall clock starts anew, its sequence numbers
+    too; None keeps it. A stream with expiry runs on a processing-time trigger.
+    """
     d = events.where(F.col("decision").isin("notify", "review")).select(
         "incident_key", F.coalesce("ts_s", F.lit(0)).alias("ts_s"), "arrival", "id", "source_id", "decision",
         F.to_json("judgment").alias("judgment"),
     )
     return d.groupBy("incident_key").transformWithStateInPandas(
-        statefulProcessor=FoldIncidents(policy), outputStructType=_INCIDENT_OUT,
-        outputMode="Append", timeMode="None",
+        statefulProcessor=FoldIncidents(policy, keep_s), outputStructType=_INCIDENT_OUT,
+        outputMode="Append", timeMode="None" if keep_s is None else "ProcessingTime",
     )
 
 
