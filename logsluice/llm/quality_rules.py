@@ -47,7 +47,7 @@ DEFAULT_RULES = (
     Rule("mean_word_chars", 2.0, 16.0),
     Rule("symbol_ratio", high=0.08),
     Rule("stop_word_ratio", low=0.02),
-    Rule("dup_line_ratio", high=0.3),
+    Rule("dup_line_ratio", high=0.5),
     Rule("mean_line_words", low=1.5),
 )
 

@@ -64,7 +64,7 @@ counts AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words AND word_chars / n_words BETWEEN 2 AND 16
-    AND n_symbols / word_chars <= 0.08 AND n_stop / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.3 AND n_words / n_lines >= 1.5 AS kept
+    AND n_symbols / word_chars <= 0.08 AND n_stop / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.5 AND n_words / n_lines >= 1.5 AS kept
 FROM counts"""
 
 
