@@ -67,7 +67,7 @@ def labelled_sample(
 
     Rows are taken in the order of a hash of their id, so the sample does not depend on how the
     table is laid out. Ids with a missing, odd or contradictory label, and texts that are null or
-    longer than ``max_bytes``, are not learnt from. Only the ids of the sample travel to the
+    longer than ``max_bytes``, are not learnt from; of rows that share an id the greatest text is. Only the ids of the sample travel to the
     scan of the texts, so their number (``rows``) bounds the broadcast.
     """
     ids = (
@@ -81,5 +81,5 @@ def labelled_sample(
         documents.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
         .join(F.broadcast(ids), "doc_id")
     )
-    picked = texts.select("_o", "doc_id", "text", F.col("_y").cast("int").alias("y")).collect()
-    return [(r.text, r.y) for r in sorted(picked, key=lambda r: (r._o, r.doc_id, r.text))][:rows]
+    picked = texts.groupBy("_o", "doc_id", F.col("_y").cast("int").alias("y")).agg(F.max("text").alias("text")).collect()
+    return [(r.text, r.y) for r in sorted(picked, key=lambda r: (r._o, r.doc_id))]
