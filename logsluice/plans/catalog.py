@@ -26,5 +26,5 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     from . import (  # noqa: F401
-        q_classify, q_display, q_files, q_groups, q_incidents, q_json, q_lines, q_report, q_reuse, q_review, q_search, q_stream,
+        q_classify, q_display, q_files, q_groups, q_incidents, q_io, q_json, q_lines, q_report, q_reuse, q_review, q_search, q_stream,
     )
