@@ -103,3 +103,17 @@ def test_no_python(spark, sf):
     for q in ("op9_mixing", "op5_url_filter"):
         plan = QUERIES[q](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sources_far_below_a_slot_get_their_target(spark):
+    """Slots of 2 ** 20 would hold some 5,700 words here."""
+    small = {"a": 30, "c": 2250, "d": 1, "f": 34_000, None: 700}
+    sizes = [(k, "b" if k % 2 else "e", 10 ** 9) for k in range(4)] + [(10 + k, s, n) for k, (s, n) in enumerate(small.items())]
+    sized = spark.createDataFrame(sizes, "doc_id long, source string, size long")
+    got = M.mix(sized).collect()
+    assert {r.source: r.taken for r in got if r.source in small} == {s: 2 * n for s, n in small.items()}
+    for r in got:
+        assert r.source in small or r.source_size == 2 * 10 ** 9
+    taken, target = (sum(r[c] for r in got if r.source == "b") for c in ("taken", "target"))
+    assert abs(taken - target / 2) <= 6_000
+    assert M.slots_for(M.source_targets(sized.where("size = 1000000000"))) == M.SLOTS
