@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embeddings, mixing, packing, quality_model, quality_rules, simhash, substrings, toxicity, url_filter, warc, whitening
+from . import conversations, embeddings, mixing, packing, quality_model, quality_rules, simhash, substrings, toxicity, url_filter, warc, whitening
 from .common import fold_of, labelled_sample, read_table, write_shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,3 +231,11 @@ def op10_embeddings(spark, sf_dir):
 @query()
 def op12_whitening(spark, sf_dir):
     return whitening.whiten(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query()
+def op13_conversations(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damage(rows), rows.select("conv_id")).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )
