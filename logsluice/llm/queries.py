@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversations, embeddings, mixing, packing, quality_model, quality_rules, simhash, substrings, toxicity, url_filter, warc, whitening
+from . import conversations, embeddings, mixing, packing, quality_model, quality_rules, simhash, substrings, suffix_dedup, toxicity, url_filter, warc, whitening
 from .common import fold_of, labelled_sample, read_table, write_shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,6 +228,11 @@ def op10_embeddings(spark, sf_dir):
     return embeddings.link_components(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+@query()
+def op11_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeated_bytes(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query()
 def op12_whitening(spark, sf_dir):
     return whitening.whiten(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
