@@ -228,7 +228,23 @@ def op10_embeddings(spark, sf_dir):
     return embeddings.link_components(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
-@query()
+# Bytes as pairs of hex digits, cut into overlapping pieces so that taking windows stays cheap. Windows are compared by their MD5.
+SUFFIX_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT r, c, least(2000, len(h) // 2 - c - 199) AS m, substr(h, (2 * c + 1)::BIGINT, 4398) AS p
+  FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199, 2000)) AS c FROM d)),
+windows AS (SELECT r, c + i AS i, md5_number(substr(p, 2 * i + 1, 400)) AS w FROM (SELECT r, c, p, unnest(range(0, m)) AS i FROM pieces)),
+twice AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 200 AS new FROM windows SEMI JOIN twice USING (w)),
+islands AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS g FROM hits) GROUP BY r, g),
+cuts AS (SELECT r, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a)::BIGINT AS n FROM islands GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda k:
+    substr(h, (2 * CASE WHEN k = 0 THEN 0 ELSE b[k] END + 1)::BIGINT, (2 * (CASE WHEN k = len(a) THEN len(h) // 2 ELSE a[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE b[k] END))::BIGINT)), '') END)) AS kept_sha256
+FROM d LEFT JOIN cuts USING (r)"""
+
+
+@query(SUFFIX_SQL)
 def op11_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeated_bytes(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -238,7 +254,46 @@ def op12_whitening(spark, sf_dir):
     return whitening.whiten(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
-@query()
+# A table of all prefixes instead of an agenda: for every prefix of the rows and state of the pattern the least (cost, audit), with what it
+# makes of the rows. CRC-32 is taken bit by bit.
+CONVERSATION_SQL = r"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)),
+  lambda h, c: list_reduce([xor(h, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 20 AS kind FROM named),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(length(role) || ':' || role || text), 32), copy) AS k,
+  regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM damaged),
+told AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+  WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS x,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS y FROM numbered),
+moves(s, x, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ways AS (SELECT conv_id, k, s.s, s.s AS t, 2 AS cost, 'D' AS edit, []::VARCHAR[] AS turn FROM told, (VALUES (0), (1), (2), (3)) AS s(s)
+  UNION ALL SELECT conv_id, k, s, t, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', [role || ':' || text]
+  FROM told JOIN moves USING (x) WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT conv_id, k, s, t, CASE fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R', [CASE m.x WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text]
+  FROM told, moves m WHERE fault NOT IN ('blank', 'duplicate') AND m.x <> 's'),
+inserts(s, t, n, turns) AS (VALUES (0, 0, 0, []::VARCHAR[]), (1, 1, 0, []), (2, 2, 0, []), (3, 3, 0, []), (0, 2, 1, ['user:']), (1, 2, 1, ['user:']),
+  (3, 2, 1, ['user:']), (2, 3, 1, ['assistant:']), (0, 3, 2, ['user:', 'assistant:']), (1, 3, 2, ['user:', 'assistant:'])),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+best(conv_id, k, s, w) AS (
+  SELECT conv_id, 0::BIGINT, t, {'cost': 5 * n, 'audit': repeat('I', n), 'turns': turns} FROM ids, inserts WHERE inserts.s = 0
+  UNION ALL
+  SELECT b.conv_id, b.k + 1, i.t, min({'cost': b.w.cost + e.cost + 5 * i.n, 'audit': b.w.audit || e.edit || repeat('I', i.n), 'turns': b.w.turns || e.turn || i.turns})
+  FROM best b JOIN ways e ON b.conv_id IS NOT DISTINCT FROM e.conv_id AND e.k = b.k + 1 AND e.s = b.s JOIN inserts i ON i.s = e.t
+  GROUP BY b.conv_id, b.k, i.t),
+ends AS (SELECT conv_id, arg_max(w, k) AS w FROM (SELECT conv_id, k, min(w) AS w FROM best WHERE s IN (0, 3) GROUP BY conv_id, k) GROUP BY conv_id),
+counts AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (y IS NOT NULL AND y || x NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, w.cost::BIGINT AS cost, w.audit AS audit, sha256(array_to_string(w.turns, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query(CONVERSATION_SQL)
 def op13_conversations(spark, sf_dir):
     rows = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return conversations.repair(conversations.damage(rows), rows.select("conv_id")).select(
