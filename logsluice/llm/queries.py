@@ -196,10 +196,8 @@ levels AS (SELECT *, (total - coalesce(sum(cap) OVER before_, 0)) / sum(w) OVER
     after_ AS (ORDER BY source_size / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 found AS (SELECT min_by(level, turn) AS level FROM levels WHERE w * level <= cap),
 targets AS (SELECT source, source_size, n, least(cap, coalesce(w * found.level, cap)) AS target FROM levels, found),
-stretches AS (SELECT *, sum(target) OVER () AS mix, coalesce(sum(target) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM targets),
-edges AS (SELECT *, ceil(low / mix * {mixing.SLOTS}) AS a, coalesce(ceil(lead(low) OVER (ORDER BY n) / mix * {mixing.SLOTS}), {mixing.SLOTS}) AS b FROM stretches),
--- The points of the schedule are every multiple of one slot, so counting them needs no schedule.
-reach AS (SELECT source, source_size, target, least(floor((b - a) / {mixing.SLOTS}::DOUBLE * mix), 2 * source_size)::BIGINT AS x FROM edges),
+-- Blocks hold all words up to the target and lose none, so adding them up needs no schedule.
+reach AS (SELECT source, source_size, target, least(floor(target + 0.5), 2 * source_size)::BIGINT AS x FROM targets),
 laid AS (SELECT d.*, source_size, target, x, (sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix/' || doc_id), doc_id, size))::BIGINT - size AS done
   FROM d JOIN reach ON d.source IS NOT DISTINCT FROM reach.source)
 SELECT doc_id, size, source_size, target,
@@ -210,7 +208,7 @@ SELECT doc_id, size, source_size, target,
 def op9_mixing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
     sized = write_shared(mixing.with_size(docs).drop("text"), "sizes")
-    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
 EMBEDDING_SQL = """
