@@ -35,7 +35,7 @@ WINDOW, ANCHOR = 200, 64
 #: Bytes of text in a pack.
 PACK_BYTES = 2 << 20
 #: Bytes of segments in a shard, and anchors in a group, about.
-SHARD_BYTES, GROUP_ROWS = 4 << 20, 1 << 21
+SHARD_BYTES, GROUP_ROWS = 2 << 20, 1 << 21
 #: Window starts hashed at a time; their arrays stay in a core's cache.
 _SPAN = 1 << 16
 _HIGH = np.uint64(0xFFFFFFFF00000000)
