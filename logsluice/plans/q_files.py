@@ -18,20 +18,17 @@ def _folder(spark, name):
 
 
 @query("log_files", O.with_ctes(O.EVENTS, """
-SELECT count(*) AS lines, sum(strlen(text))::BIGINT AS bytes, count(*) AS numbered, 0::BIGINT AS gaps FROM ev"""))
+SELECT text, count(*) AS lines, 0::BIGINT AS gaps FROM ev GROUP BY text"""))
 def log_files(spark, sf_dir):
-    """Messages written as gzip log files and read back; line numbers of a file have no holes."""
+    """Messages written as gzip log files and read back by their folder; a hole in a file's numbers counts as a gap."""
     folder = _folder(spark, "logs")
     text = A.events_log(spark, sf_dir, with_ids=False).select(F.col("text").alias("value"))
     text.write.option("compression", "gzip").text(folder)
-    lines, gaps = L.read_log_lines(spark, [f"{folder}/part-*.gz"])
-    per_file = lines.groupBy("source.path").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("raw").cast("bigint")).alias("b"),
-        F.max("line_no").alias("last"),
-    )
-    total = per_file.agg(F.sum("n").alias("lines"), F.sum("b").alias("bytes"), F.sum("last").alias("numbered"))
-    missing = gaps.agg(F.count(F.lit(1)).alias("gaps"))
-    return total.withColumn("_j", F.lit(1)).join(missing.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    lines, gaps = L.read_log_lines(spark, [folder])
+    holes = lines.groupBy("source.path").agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("last")).where("n <> last")
+    lost = gaps.select("source.path").unionByName(holes.select("path")).agg(F.count(F.lit(1)).alias("gaps"))
+    per_text = lines.groupBy(F.col("raw").alias("text")).agg(F.count(F.lit(1)).alias("lines"))
+    return per_text.withColumn("_j", F.lit(1)).join(lost.withColumn("_j", F.lit(1)), "_j").drop("_j")
 
 
 def _cut_short(spark, path, most=1 << 16):
@@ -47,27 +44,32 @@ def _cut_short(spark, path, most=1 << 16):
     fs.delete(named(path), False)
 
 
+def _each_file(spark, folder, do):
+    named = spark._jvm.org.apache.hadoop.fs.Path
+    fs = named(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.listStatus(named(folder)):
+        if s.isFile() and s.getPath().getName().startswith("part-"):
+            do(fs, s.getPath().toString())
+
+
 @query("partly_read_files", O.with_ctes(O.EVENTS, """
-SELECT arrival % 4 AS part, CASE WHEN arrival % 4 = 3 THEN 'input_incomplete' END AS status,
-  CASE WHEN arrival % 4 = 3 THEN 0 ELSE count(*) END AS lines, (arrival % 4 = 3)::BIGINT AS partial FROM ev GROUP BY arrival % 4"""))
+SELECT arrival % 4 AS part, NULL AS status, text, count(*) AS lines FROM ev WHERE arrival % 4 <> 3 GROUP BY ALL
+UNION ALL SELECT 3, 'input_incomplete', NULL, 0 WHERE EXISTS (FROM ev WHERE arrival % 4 = 3)"""))
 def partly_read_files(spark, sf_dir):
-    """Four gzip files, the last one cut short: the others are whole, and the cut one says so."""
+    """Four folders of gzip files, the second named in capitals, all files of the last one cut short: the lines of the others are whole."""
     folder = _folder(spark, "broken")
+    named = spark._jvm.org.apache.hadoop.fs.Path
     ev = A.events_log(spark, sf_dir, with_ids=False).select(F.col("text").alias("value"), F.col("arrival") % 4)
     for part, rows in ((k, ev.where(ev[1] == k)) for k in range(4)):
-        rows.select("value").coalesce(1).write.option("compression", "gzip").text(f"{folder}/{part}")
-    listed = spark.read.format("binaryFile").load(f"{folder}/3/part-*.gz").select("path").collect()
-    for r in listed:
-        _cut_short(spark, r.path)
-    lines, gaps = L.read_log_lines(spark, [f"{folder}/*/*.gz"])
+        rows.select("value").write.option("compression", "gzip").text(f"{folder}/{part}")
+    _each_file(spark, f"{folder}/1", lambda fs, p: fs.rename(named(p), named(p.removesuffix(".gz") + ".GZ")))
+    _each_file(spark, f"{folder}/3", lambda fs, p: _cut_short(spark, p))
+    lines, gaps = L.read_log_lines(spark, [f"{folder}/0", f"{folder}/1/*", f"{folder}/[23]"])
     part_of = F.element_at(F.split("source.path", "/"), -2).cast("bigint")
-    per_file = lines.groupBy(part_of.alias("part")).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.col("partial").cast("bigint")).alias("partial")
-    )
-    told = gaps.select(part_of.alias("part"), "status")
-    return per_file.join(told, "part", "left").select(
-        "part", "status", F.when(F.col("status").isNull(), F.col("lines")).otherwise(0).alias("lines"), "partial"
-    )
+    told = gaps.select(part_of.alias("part"), "status").distinct()
+    whole = lines.select(part_of.alias("part"), F.col("raw").alias("text"), "partial").join(told, "part", "left").where("status IS NULL AND NOT partial")
+    per_text = whole.groupBy("part", "status", "text").agg(F.count(F.lit(1)).alias("lines"))
+    return per_text.unionByName(told.select("part", "status", F.lit(None).cast("string").alias("text"), F.lit(0).cast("bigint").alias("lines")))
 
 
 @query("report_history", O.with_ctes(O.EVENTS, O.BASE, O.JUDGED, """

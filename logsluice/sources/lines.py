@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import schema as S
 from ..functions import text as X
 from ..operators.scale import BLOCK, LINES_PER_BLOCK, join_keys, running_rank, running_total, with_block
+from ..session import written
+from . import packed as P
 
 
 def file_source(path: Column) -> Column:
@@ -36,117 +37,94 @@ def split_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-#: Splits whose line numbers are sent to every task, 24 bytes each.
-_BROADCAST_SPLITS = 1 << 20
+def _listed(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str], list[tuple[str, str]]]:
+    """(plain files, gzip files, (path, status) of what is no file) behind paths, folders and globs, each file once.
 
-
-def read_log_lines(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(lines, gaps) of plain and gzip log files.
-
-    A missing path, a file that is no gzip and one that ends or breaks off early become gap rows; all
-    that could be read is kept, and the last line of a file that breaks off is ``partial``. An error while reading a
-    plain file fails the read.
-
-    Rows are numbered by ``monotonically_increasing_id`` relative to the first row of their split,
-    plus the lines of the splits before. That is a row per split, sent to all tasks up to a fixed number
-    of splits, so texts aren't shuffled.
+    A folder stands for its visible files; folders inside it are gaps.
     """
-    good, gaps, splits = [], [], 0
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
-    split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    plain, packed, gaps = {}, {}, []
+
+    def add(status) -> None:
+        name = status.getPath().toString()
+        if not name.lower().endswith(".gz"):
+            plain[_literal(name)] = None
+        elif status.getLen():
+            packed[_literal(name)] = None
+        else:
+            gaps.append((name, P.GZIP_INVALID))
+
     for path in paths:
         try:
             p = fs_path(path)
-            found = p.getFileSystem(conf).globStatus(p)
+            fs = p.getFileSystem(conf)
+            found = fs.globStatus(p) or []
+            inside = [list(fs.listStatus(s.getPath())) if s.isDirectory() else [] for s in found]
         except Exception:  # an unreachable file system is a gap like a missing file
             gaps.append((path, "file_unavailable"))
             continue
-        hits = [s for s in (found or []) if s.isFile()]
-        if hits:
-            good.append(path)
-            splits += sum(1 + s.getLen() // split_bytes for s in hits)
-        else:
-            gaps.append((path, "file_type_unsupported" if found else "file_unavailable"))
-    gap_rows = _gaps(spark.createDataFrame(gaps, "path string, status string"))
-    if not good:
-        return spark.createDataFrame([], S.LINE).withColumn("partial", F.lit(False)), gap_rows
-    health = gzip_health(spark, good)
-    bad = health.where("status IS NOT NULL")
-    raw = _text(spark, good)
-    blocks = raw.groupBy("split", "path", "start").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first"))
-    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # A gzip file is one split, so its last line is the split's.
-    offsets = offsets.join(bad.select("path", "status"), "path", "left").select(
-        "split", (F.col("off") - F.col("first") + 1).alias("shift"),
-        F.when(F.col("status").isNotNull(), F.col("first") + F.col("n") - 1).alias("cut"),
-    )
-    if splits <= _BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
-    lines = raw.join(offsets, "split").select(
-        file_source(X.console_safe("path")).alias("source"), (F.col("mid") + F.col("shift")).alias("line_no"), "raw",
-        F.coalesce(F.col("mid") == F.col("cut"), F.lit(False)).alias("partial"),
-    )
-    return lines, gap_rows.unionByName(_gaps(bad.select("path", "status")))
-
-
-def _text(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Rows of text with their split and a number that ascends inside it.
+        if not found:
+            gaps.append((path, "file_unavailable"))
+        for status, children in zip(found, inside):
+            if status.isFile():
+                add(status)
+                continue
+            shown = [c for c in children if not c.getPath().getName().startswith(("_", "."))]
+            for c in shown:
+                if c.isFile():
+                    add(c)
+            gaps += [(c.getPath().toString(), "file_type_unsupported") for c in shown if not c.isFile()]
+            if not shown:
+                gaps.append((status.getPath().toString(), "file_type_unsupported"))
+    return list(plain), list(packed), gaps
 
-    A broken gzip file gives the lines before the break; ``gzip_health`` tells which ones are broken.
-    """
-    packed, plain = [p for p in paths if _is_gzip(p)], [p for p in paths if not _is_gzip(p)]
-    parts = []
-    for some, lenient in ((plain, "false"), (packed, "true")):
-        if some:
-            parts.append(spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", lenient).text(some).select(
-                F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"),
-                F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("mid"),
-            ))
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return both.withColumn("split", F.xxhash64("path", "start"))
 
+def _literal(path: str) -> str:
+    """A listed path, as a pattern that means this path alone."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
 
-def _is_gzip(path: str) -> bool:
-    return path.endswith(".gz")
 
+def read_log_lines(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(lines, gaps) of plain and gzip log files; paths may be files, folders and globs, and names decide what is packed.
 
-def gzip_health(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, status) of the gzip files: null, ``gzip_invalid`` or ``input_incomplete``.
+    A missing path, a file that is no gzip and one that ends or breaks off early become gap rows; all
+    that could be read is kept, and an unfinished last line of a file that breaks off is ``partial``. An error of the file system
+    fails the read.
 
-    Each file is decompressed in a task of its own, a piece at a time, and thrown away.
+    Gzip files are read once, a task per file (``packed``); their lines are written to the shared folder, where later steps
+    can split them. Plain files stay where they are. Their rows are numbered by ``monotonically_increasing_id`` relative to the first
+    row of their split, plus the lines of the splits before: a row per split, written first so that Spark knows
+    its size and sends it to the texts.
     """
-    names = [p for p in paths if _is_gzip(p)]
-    if not names:
-        return spark.createDataFrame([], "path string, status string")
-
-    def check(batches):
-        for b in batches:
-            yield pd.DataFrame({"path": b["path"], "status": [gzip_status(c) for c in b["content"]]})
-
-    files = spark.read.format("binaryFile").load(names).select("path", "content")
-    return files.mapInPandas(check, "path string, status string")
-
-
-def gzip_status(data: bytes) -> str | None:
-    """None if every member of a gzip file is whole; zero bytes may pad the end."""
-    at, first = 0, True
-    while at < len(data):
-        d, member = zlib.decompressobj(wbits=31), at
-        try:
-            while at < len(data) and not d.eof:
-                d.decompress(data[at:at + (1 << 20)])
-                at += 1 << 20
-        except zlib.error:
-            return "gzip_invalid" if first and not data[:2] == b"\x1f\x8b" else "input_incomplete"
-        if not d.eof:
-            return "input_incomplete"
-        at = min(at, len(data)) - len(d.unused_data)
-        first = False
-        if at <= member or not data[at:].strip(b"\0"):
-            return None
-    return None
+    plain, packed, missing = _listed(spark, paths)
+    gaps = _gaps(spark.createDataFrame(missing, "path string, status string"))
+    lines = spark.createDataFrame([], S.LINE).withColumn("partial", F.lit(False))
+    if packed:
+        records = written(P.packed_records(spark, packed), "unpacked")
+        lines = records.where("status IS NULL").select(
+            file_source(X.console_safe("path")).alias("source"), "line_no", "raw", "partial"
+        )
+        gaps = gaps.unionByName(_gaps(records.where("status IS NOT NULL").select("path", "status")))
+    if plain:
+        some = _plain_lines(spark, plain)
+        lines = lines.unionByName(some) if packed else some
+    return lines, gaps
+
+
+def _plain_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    raw = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("mid"),
+    ).withColumn("split", F.xxhash64("path", "start"))
+    blocks = raw.groupBy("split", "path", "start").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(blocks.select(
+        "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift")
+    ), "line-offsets")
+    return raw.join(offsets, "split").select(
+        file_source(X.console_safe("path")).alias("source"), (F.col("mid") + F.col("shift")).alias("line_no"), "raw", F.lit(False).alias("partial"),
+    )
 
 
 def _gaps(rows: DataFrame) -> DataFrame:

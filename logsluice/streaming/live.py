@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import ROCKSDB_PROVIDER, shared_dir
+from ..session import ROCKSDB_PROVIDER, in_session, shared_dir
 
 # Fixed value: how long a micro-batch waits to fill.
 FILL_DEADLINE = "350 milliseconds"
@@ -132,13 +132,7 @@ def drain(df: DataFrame, state_partitions: int | None = None) -> DataFrame:
     if state_partitions:
         own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    query = start(_in_session(df, own), table_sink(f"{folder}/out"), f"{folder}/checkpoint", trigger=None)
+    query = start(in_session(df, own), table_sink(f"{folder}/out"), f"{folder}/checkpoint", trigger=None)
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out").select(df.columns)
 
-
-def _in_session(df: DataFrame, session) -> DataFrame:
-    """The same plan as a frame of another session."""
-    jvm = session._jvm
-    moved = jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.logicalPlan())
-    return DataFrame(moved, session)

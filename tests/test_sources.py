@@ -8,7 +8,7 @@ from logsluice import schema as S
 from logsluice.functions import classify as C, text as X
 from logsluice.operators import framing as W, report as R
 from logsluice.plans.adapters import source_struct
-from logsluice.sources import lines as L, reports as RP, rulesets as RS, sinks as K
+from logsluice.sources import lines as L, packed as PK, reports as RP, rulesets as RS, sinks as K
 from logsluice.streaming import framing as SF, live as LV
 
 
@@ -54,7 +54,7 @@ def test_files_that_break_off(spark, tmp_path):
     for r in lines.collect():
         by.setdefault(r.source.path.rsplit("/", 1)[1], []).append((r.line_no, r.partial))
     assert sorted((g.status, g.source.path.rsplit("/", 1)[1]) for g in gaps.collect()) == [
-        ("input_incomplete", "cut.gz"), ("input_incomplete", "flip.gz"),
+        ("gzip_invalid", "empty.gz"), ("input_incomplete", "cut.gz"), ("input_incomplete", "flip.gz"),
     ]
     assert sorted(by["two.gz"]) == [(1, False), (2, False)]
     cut = sorted(by["cut.gz"])
@@ -63,6 +63,78 @@ def test_files_that_break_off(spark, tmp_path):
     assert [e.truncated for e in events.orderBy(F.desc("line_start")).limit(2).collect()] == [True, False]
 
 
+def test_folders_globs_and_capitals(spark, tmp_path):
+    texts = "".join(f"line {i}\n" for i in range(3000)).encode()
+    folder = tmp_path / "in"
+    (folder / "deeper").mkdir(parents=True)
+    (folder / "plain.log").write_bytes(b"one\ntwo\n")
+    (folder / "CAPS.GZ").write_bytes(gzip.compress(texts))
+    (folder / "half.gz").write_bytes(gzip.compress(texts)[:2000])
+    (folder / "odd[1]{2}.gz").write_bytes(gzip.compress(b"odd"))
+    (folder / "_hidden.gz").write_bytes(b"x")
+    for paths in ([str(folder)], [str(folder / "*")], [str(folder), str(folder / "*.log"), str(folder / "half.gz")]):
+        lines, gaps = L.read_log_lines(spark, paths)
+        by = {}
+        for r in lines.collect():
+            by.setdefault(r.source.path.rsplit("/", 1)[1], []).append((r.line_no, r.raw, r.partial))
+        assert sorted(by["plain.log"]) == [(1, "one", False), (2, "two", False)]
+        assert sorted(by["CAPS.GZ"]) == [(i + 1, f"line {i}", False) for i in range(3000)]
+        half = sorted(by["half.gz"])
+        assert 100 < len(half) < 3000 and all(not p for _, _, p in half[:-1])
+        assert [v for k, v in by.items() if k.startswith("odd")] == [[(1, "odd", False)]]
+        told = {(g.status, g.source.path.rsplit("/", 1)[1]) for g in gaps.collect()}
+        assert ("input_incomplete", "half.gz") in told and len(by) == 4
+
+
+def unpacked(data, pieces=None):
+    """Rows of one file as the reader gives them, its bytes delivered in batches of pieces."""
+    import pyarrow as pa
+
+    parts = data.split(b"\n")
+    if data.endswith(b"\n"):
+        parts.pop()
+    step = pieces or len(parts)
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(["f"] * len(p)), pa.array([len(data)] * len(p)), pa.array(p, pa.binary())], ["path", "size", "piece"])
+        for p in (parts[k:k + step] for k in range(0, len(parts), step))
+    ]
+    rows = [r for b in PK._inflate(iter(batches)) for r in b.to_pylist()]
+    return [(r["line_no"], r["raw"], r["partial"]) for r in rows if not r["status"]], [r["status"] for r in rows if r["status"]]
+
+
+def test_unpacking_by_pieces():
+    text = b"".join(b"%d %d\n" % (i, i * i) for i in range(4000)) + b"last"
+    want = [(k + 1, x, False) for k, x in enumerate(text.split(b"\n"))]
+    packed = gzip.compress(text)
+    for data in (packed, packed + b"\0" * 700, gzip.compress(text[:9000]) + gzip.compress(text[9000:]) + b"\0\n"[:1]):
+        for pieces in (1, 7, None):
+            assert unpacked(data, pieces) == (want, [])
+    # What lies before the break is kept, the unfinished line is marked.
+    for at in (15, 200, len(packed) - 9, len(packed) - 1):
+        rows, status = unpacked(packed[:at])
+        assert status == ["input_incomplete"] and b"\n".join(r for _, r, _ in rows) in (text[:len(b"\n".join(r for _, r, _ in rows))], b"")
+        assert all(not p for _, _, p in rows[:-1])
+    assert len(unpacked(packed[:len(packed) - 9])[0]) > 3900
+    bad = bytearray(packed)
+    bad[-6] ^= 255  # the checksum
+    assert unpacked(bytes(bad)) == (want[:-1] + [(len(want), b"last", True)], ["input_incomplete"])
+    for data in (b"no gzip\nat all\n", b"\x1f\x8b\x08", b"\x1f\x8b\x07" + packed[3:]):
+        assert unpacked(data) == ([], ["gzip_invalid"])
+    assert unpacked(packed + b"tail")[1] == ["input_incomplete"] and unpacked(packed + b"tail")[0][:-1] == want[:-1]
+
+
+def test_members_of_more_than_two_gib():
+    line = b"x" * (1 << 20)
+    member = gzip.compress((line + b"\n") * 64, 1)
+    data, n, last = member * 33, 0, None
+    file = PK._File("f", len(data))
+    for lo in range(0, len(data), 1 << 16):
+        for r in file._lines(data[lo:lo + (1 << 16)]):
+            n, last = n + 1, r
+    file.inflater.end()
+    assert n == 64 * 33 and last[1] == n and last[2] == line and file.inflater.status is None and n << 20 > 2 << 30
+
+
 def test_line_numbers_move_no_text(spark, tmp_path):
     (tmp_path / "a.log").write_text("x\n" * 1000)
     lines, _ = L.read_log_lines(spark, [str(tmp_path / "a.log")])
