@@ -5,7 +5,11 @@ stack; an explicit stack marker was seen) plus the line just before it. So a blo
 summarised by one letter per line, and the events inside it are the matches of one regular
 expression over that letter string. Only the lines at the start of a block that may still
 belong to an earlier event depend on the block before, and that dependency is a function of
-four possible entry states which is chained over blocks, not lines.
+five possible entry states. Such functions compose, so all blocks learn their entry state from a tree
+of compositions, however long a stretch without a header is. What else crosses blocks are sums and last
+values; windows carry these alone, never the letters.
+
+Lines are cleaned, redacted and given their letter once and written; letters and texts are then read apart.
 
 Letter of a line = what happens to it:
   ``h``/``H`` starts an event (H: and opens stack context);  ``p``/``P`` the same for a Go start
@@ -23,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema as S
 from ..functions import classify as C, patterns as P, redact as R, text as X
-from .scale import BLOCK, LINES_PER_BLOCK, with_block
+from ..session import written
+from .scale import BLOCK, LINES_PER_BLOCK, composed_before, over_earlier_blocks, with_block
 
 # Runs of continuation letters by entry state; upper case opens stack context.
 _AFTER_STACK = r"[cCsb.]*"
@@ -35,7 +40,6 @@ _BODIES = (_PLAIN_BODY, _AFTER_STACK, _GO_BODY, _AFTER_GO_STACK, r"\.*")
 _EVENT = (
     f"(?:[pr]{_GO_BODY}|[PR]{_AFTER_GO_STACK}|[HCG]{_AFTER_STACK}|[hcgsb]{_PLAIN_BODY})"
 )
-_BEFORE = (Window.unboundedPreceding, -1)
 
 
 def identify(lines: DataFrame) -> DataFrame:
@@ -144,35 +148,16 @@ def _exit_when_open(state: int) -> Column:
     return F.when(lead == F.length("letters"), kept).otherwise(_exit_of(_last_event(tail)))
 
 
-def _with_entry(d: DataFrame) -> DataFrame:
-    """Entry state of every block from the exit functions ``x0..x4`` of the blocks before it.
+def _exit_code(d: DataFrame) -> DataFrame:
+    """(source_id, block, code): the exit state of each block for each entry state, three bits each.
 
-    A block with a definite header leaves the same state whatever it was entered with, so the
-    block after it is decided at once. Blocks after an undecided one (8192 lines without a
-    single definite header) fold the packed functions since the last decided block.
+    A block with a definite header leaves the same state whatever it was entered with.
     """
-    by = Window.partitionBy("source_id").orderBy(BLOCK)
     # The last definite header of a block and what follows it settle the exit state.
     d = d.withColumn("_tail", F.regexp_extract("letters", r"([hHpP][^hHpP]*)\z", 1))
-    d = d.withColumn("_fixed", F.col("_tail") != "")
-    d = d.withColumn("_x", F.when(F.col("_fixed"), _exit_of(_last_event(F.col("_tail")))))
-    code = sum(
-        (F.when(F.col("_fixed"), F.col("_x")).otherwise(_exit_when_open(s)) * 8**s for s in range(5)),
-        F.lit(0),
-    )
-    d = (
-        d.withColumn("_code", code)
-        .withColumn("_known", F.when(F.lag("_code").over(by).isNull(), 4).otherwise(F.lag("_x").over(by)))
-        .withColumn("_run", F.count("_known").over(
-            by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    )
-    in_run = Window.partitionBy("source_id", "_run").orderBy(BLOCK)
-    d = d.withColumn("_past", F.collect_list("_code").over(in_run.rowsBetween(*_BEFORE)))
-    d = d.withColumn("_start", F.first("_known").over(
-        in_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return d.withColumn(
-        "entry", F.expr("aggregate(_past, _start, (s, c) -> shiftright(c, s * 3) & 7)")
-    ).drop("_tail", "_fixed", "_x", "_code", "_known", "_run", "_past", "_start")
+    d = d.withColumn("_x", F.when(F.col("_tail") != "", _exit_of(_last_event(F.col("_tail")))))
+    code = sum((F.coalesce("_x", _exit_when_open(s)) * 8**s for s in range(5)), F.lit(0))
+    return d.select("source_id", BLOCK, code.alias("code"))
 
 
 def _private_flags(entered: Column) -> Column:
@@ -190,51 +175,55 @@ def _private_flags(entered: Column) -> Column:
     )
 
 
-def block_table(stamped: DataFrame) -> DataFrame:
+def prepare(lines: DataFrame, with_json: bool = True) -> DataFrame:
+    """Lines with their block, letter, key marker and redacted text, written once."""
+    d = line_letters(stamp_lines(with_block(identify(lines), "line_no", LINES_PER_BLOCK)))
+    blank = F.col("body") == ""
+    d = d.withColumn("letter", F.when(blank & ~F.col("trunc"), ".").when(
+        F.col("py"), F.translate("letter", "CcHh", "YYZZ")
+    ).when(F.col("alt") != F.col("letter"), F.translate("letter", "hsgb", "ijkl")).otherwise(F.col("letter")))
+    d = d.withColumns({"blank": blank, "mark": F.substring(key_mark(), 1, 1)}).drop("alt", "py")
+    d = R.with_redaction(d, "body", with_json)
+    return written(d.select(
+        "source_id", BLOCK, "line_no", "letter", "mark", "blank", "source", "ts_raw", "safe", "trunc", "doubt", "changed",
+        "ambiguous", "source_changed",
+    ), "framed-lines")
+
+
+def block_table(prepared: DataFrame) -> DataFrame:
     """One row per block: where its events start and what it inherits from earlier blocks.
 
     ``flags`` has '1' where an event starts and ``private`` (NULL in blocks untouched by key
     material) '1' on private lines; both are aligned with the lines of the block.
     """
-    coded = line_letters(stamped).withColumn(
-        "_ch",
-        F.when(F.col("py"), F.translate("letter", "CcHh", "YYZZ"))
-        .when(F.col("alt") != F.col("letter"), F.translate("letter", "hsgb", "ijkl"))
-        .otherwise(F.col("letter")),
-    )
-    empty = (F.col("body") == "") & ~F.col("trunc")
-    d = coded.select(
-        "source_id", BLOCK, "line_no", F.when(empty, ".").otherwise(F.col("_ch")).alias("c"),
-        F.substring(key_mark(), 1, 1).alias("m"),
-    )
-    d = d.groupBy("source_id", BLOCK).agg(
-        F.sort_array(F.collect_list(F.struct("line_no", "c", "m"))).alias("_l"),
-        F.max_by("m", F.when(F.col("m").isNotNull(), F.col("line_no"))).alias("_mark"),
+    by = ["source_id", BLOCK]
+    d = prepared.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct("line_no", "letter", "mark"))).alias("_l"),
+        F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("line_no"))).alias("_mark"),
     )
-    by = Window.partitionBy("source_id").orderBy(BLOCK)
-    earlier = F.last("_mark", ignorenulls=True).over(by.rowsBetween(*_BEFORE))
-    d = d.withColumn("_entered", F.coalesce(earlier == "B", F.lit(False)))
+    d = written(d.select(*by, "_mark", F.array_join(F.col("_l.letter"), "").alias("_plain"), F.when(
+        F.col("_mark").isNotNull(), F.array_join(F.transform("_l", lambda x: F.coalesce(x["mark"], F.lit("-"))), "")
+    ).alias("_marks")), "frame-letters")
+    d = d.join(over_earlier_blocks(d, ["source_id"], BLOCK, {"_earlier": ("last", F.col("_mark"))}), by)
+    d = d.withColumn("_entered", F.coalesce(F.col("_earlier") == "B", F.lit(False)))
     touched = F.col("_entered") | F.col("_mark").isNotNull()
-    d = d.withColumn("_marks", F.when(touched, F.array_join(
-        F.transform("_l", lambda x: F.coalesce(x["m"], F.lit("-"))), "")))
+    d = d.withColumn("_marks", F.when(touched, F.coalesce("_marks", F.expr("repeat('-', length(_plain))"))))
     d = d.withColumn("private", F.when(touched, _private_flags(F.col("_entered"))))
-    plain = F.array_join(F.transform("_l", lambda x: x["c"]), "")
     # An empty line inside a key block is an event of its own.
-    with_keys = F.array_join(F.transform("_l", lambda x, i: F.when(
-        (x["c"] == ".") & (F.substr(F.col("private"), i + 1, F.lit(1)) == "1"), "h").otherwise(x["c"])), "")
-    d = d.select(
-        "source_id", BLOCK, "private", F.when(touched, with_keys).otherwise(plain).alias("_s"),
-    )
+    with_keys = F.array_join(F.transform(F.split("_plain", ""), lambda c, i: F.when(
+        (c == ".") & (F.substr(F.col("private"), i + 1, F.lit(1)) == "1"), "h").otherwise(c)), "")
+    d = d.select(*by, "private", F.when(touched, with_keys).otherwise(F.col("_plain")).alias("_s"))
     # Python detail lines: resolved inside the block, then for the first line of the block.
     ends_py = F.col("_s").rlike(r"[YZ]\.*\z")
     hollow = F.col("_s").rlike(r"^\.*\z")
-    carried = F.last(F.when(~hollow, ends_py), ignorenulls=True).over(by.rowsBetween(*_BEFORE))
-    d = d.withColumn("_py", F.coalesce(carried, F.lit(False)))
+    d = d.join(over_earlier_blocks(d, ["source_id"], BLOCK, {"_py": ("last", F.when(~hollow, ends_py))}), by)
     d = d.withColumn("_s", F.when(
-        F.col("_py"), F.regexp_replace("_s", r"^(\.*)[ijkl]", "$1c")).otherwise(F.col("_s")))
-    d = d.select("source_id", BLOCK, "private", F.translate(
-        F.regexp_replace("_s", r"([YZ]\.*)[ijkl]", "$1c"), "ijklYZ", "hsgbCH").alias("letters"))
-    d = _with_entry(d)
+        F.coalesce("_py", F.lit(False)), F.regexp_replace("_s", r"^(\.*)[ijkl]", "$1c")).otherwise(F.col("_s")))
+    d = written(d.select(*by, "private", F.translate(
+        F.regexp_replace("_s", r"([YZ]\.*)[ijkl]", "$1c"), "ijklYZ", "hsgbCH").alias("letters")), "frame-letters")
+    # The state that a source begins in, 4, led through all blocks before.
+    entry = F.shiftright("code", 12).bitwiseAND(7).cast("int")
+    d = d.join(composed_before(_exit_code(d), ["source_id"], BLOCK, "code", 5), by).withColumn("entry", entry).drop("code")
     lead = F.expr("CAST(0 AS INT)")
     for state in range(5):
         lead = F.when(
@@ -251,34 +240,33 @@ def block_table(stamped: DataFrame) -> DataFrame:
         # 1-based position of the last start, 0 when the block starts no event.
         .withColumn("_last", F.expr(
             "if(instr(flags, '1') = 0, 0, length(flags) - instr(reverse(flags), '1') + 1)"))
-        .withColumn("_seen", F.coalesce(F.sum("_n").over(by.rowsBetween(*_BEFORE)), F.lit(0)))
         .withColumn("_before_last", F.length(F.replace(
             F.expr("substr(letters, 1, _last)"), F.lit("."), F.lit(""))))
-        .withColumn("_open", F.when(F.col("_last") > 0, F.struct(
-            F.col(BLOCK).alias("b"), F.col("_last").alias("i"),
-            (F.col("_seen") + F.col("_before_last")).alias("o"),
-        )))
-        .withColumn("_in", F.last("_open", ignorenulls=True).over(by.rowsBetween(*_BEFORE)))
+        .withColumn("orphan_at", F.when(
+            (F.col("entry") == 4) & F.col("letters").rlike(r"^\.*[cC]"), F.instr("flags", "1")))
     )
+    d = written(d.select(*by, "flags", "private", "orphan_at", "_n", "_last", "_before_last"), "frame-blocks")
+    d = d.join(over_earlier_blocks(d, ["source_id"], BLOCK, {"seen": ("sum", F.col("_n"))}), by)
+    opened = F.when(F.col("_last") > 0, F.struct(
+        F.col(BLOCK).alias("b"), F.col("_last").alias("i"), (F.col("seen") + F.col("_before_last")).alias("o"),
+    ))
+    d = d.join(over_earlier_blocks(d, ["source_id"], BLOCK, {"_in": ("last", opened)}), by)
     return d.select(
-        "source_id", BLOCK, "flags", "private", F.col("_seen").alias("seen"),
-        F.col("_in.b").alias("in_block"), F.col("_in.i").alias("in_idx"), F.col("_in.o").alias("in_ord"),
-        F.when(
-            (F.col("entry") == 4) & F.col("letters").rlike(r"^\.*[cC]"), F.instr("flags", "1")
-        ).alias("orphan_at"),
+        *by, "flags", "private", "seen", F.col("_in.b").alias("in_block"), F.col("_in.i").alias("in_idx"),
+        F.col("_in.o").alias("in_ord"), "orphan_at",
     )
 
 
-def mark_events(clean: DataFrame, blocks: DataFrame) -> DataFrame:
+def mark_events(prepared: DataFrame, blocks: DataFrame) -> DataFrame:
     """Add the event key of every line that stays: block and position of its event's first line."""
     by = Window.partitionBy("source_id", BLOCK).orderBy("line_no")
     running = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = (
-        clean.withColumn("_idx", F.row_number().over(by))
+        prepared.withColumn("_idx", F.row_number().over(by))
         .join(blocks, ["source_id", BLOCK])
         .withColumn("is_private", F.coalesce(F.expr("substr(private, _idx, 1) = '1'"), F.lit(False)))
         .withColumn("text", F.when(F.col("is_private"), P.KEY_BLOCK_TEXT).otherwise(F.col("safe")))
-        .where((F.col("body") != "") | F.col("is_private") | F.col("trunc"))
+        .where(~F.col("blank") | F.col("is_private") | F.col("trunc"))
         .withColumn("_start", F.expr("substr(flags, _idx, 1) = '1'"))
         .withColumn("size", (F.octet_length("text") + 1).cast("bigint"))
     )
@@ -340,9 +328,8 @@ def assemble(marked: DataFrame) -> DataFrame:
 def frame_events(lines: DataFrame, with_json: bool = True) -> DataFrame:
     """Lines (``source, line_no, raw`` [, ``partial``]) to framed, redacted events.
 
-    Two passes over the lines: one letter per line for the block table, and the text itself,
+    Two passes over the prepared lines: one letter per line for the block table, and the text itself,
     which is shuffled by block and then by event.
     """
-    stamped = stamp_lines(with_block(identify(lines), "line_no", LINES_PER_BLOCK))
-    clean = R.with_redaction(stamped, "body", with_json).drop("raw", "partial")
-    return assemble(mark_events(clean, block_table(stamped)))
+    prepared = prepare(lines, with_json)
+    return assemble(mark_events(prepared, block_table(prepared)))

@@ -109,6 +109,75 @@ def preceding_max(df, keys, order, value: Column, out: str, block: str = BLOCK)
     )
 
 
+def over_earlier_blocks(blocks: DataFrame, keys: Sequence[str], block: str, values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(keys, block, and per name what the earlier blocks of the key hold): a ``sum``, or the ``last`` value that is not null.
+
+    ``blocks`` has one row per key and block. Windows span ``BLOCKS_PER_WINDOW`` blocks at most, then one row for each
+    such stretch, so a key may have any number of blocks.
+    """
+    keys = list(keys)
+    rows = blocks.select(*keys, block, F.floor(F.col(block) / BLOCKS_PER_WINDOW).alias("_far"), *[
+        (v if how == "sum" else F.when(v.isNotNull(), F.struct(F.col(block).alias("b"), v.alias("v")))).alias(n)
+        for n, (how, v) in values.items()
+    ])
+    fold = {n: F.sum(n) if how == "sum" else F.max(n) for n, (how, _) in values.items()}
+
+    def earlier(by, order):
+        return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    far = rows.groupBy(*keys, "_far").agg(*[f.alias(n) for n, f in fold.items()])
+    far = far.select(*keys, "_far", *[f.over(earlier(keys, "_far")).alias(f"_far_{n}") for n, f in fold.items()])
+    near = rows.select(*keys, block, "_far", *[f.over(earlier([*keys, "_far"], block)).alias(n) for n, f in fold.items()])
+    both = near.join(far, [*keys, "_far"])
+    return both.select(*keys, block, *[
+        (F.coalesce(n, F.lit(0)) + F.coalesce(f"_far_{n}", F.lit(0)) if how == "sum" else F.coalesce(n, f"_far_{n}")["v"]).alias(n)
+        for n, (how, _) in values.items()
+    ])
+
+
+#: Functions composed in one row, and levels of that below the last, which takes what is left of a key.
+FUNCTIONS, LEVELS = 512, 2
+
+
+def composed_before(blocks: DataFrame, keys: Sequence[str], block: str, code: str, states: int) -> DataFrame:
+    """(keys, block, code): the composition, in order, of the functions of all earlier blocks of the key.
+
+    A function of ``states`` states is a number, three bits of it per state: that for state s from bit 3 s on. Composing is associative, so
+    blocks are composed in stretches of ``FUNCTIONS``, these again, and each block takes what lies before its stretch.
+    """
+    def then(f: Column, g: Column) -> Column:
+        return sum((
+            F.shiftleft(_image(g, _image(f, F.lit(s))), 3 * s) for s in range(states)
+        ), F.lit(0)).cast("bigint")
+
+    def _image(f: Column, s: Column) -> Column:
+        return F.call_function("shiftright", f, (s * 3).cast("int")).bitwiseAND(F.lit(7).cast("bigint"))
+
+    same = F.lit(sum(s << 3 * s for s in range(states))).cast("bigint")
+
+    def before(rows: DataFrame, depth: int) -> DataFrame:
+        """(keys, _i, _pre) of rows (keys, _i, _f)."""
+        stretch = F.floor(F.col("_i") / FUNCTIONS) if depth else F.lit(0).cast("bigint")
+        held = rows.groupBy(*keys, stretch.alias("_up")).agg(F.sort_array(F.collect_list(F.struct("_i", "_f"))).alias("_l"))
+        # Each row of a stretch with the composition of those before it, and that of the whole stretch.
+        start = F.struct(F.array().cast("array<bigint>").alias("a"), same.alias("f"))
+        run = F.aggregate("_l", start, lambda acc, x: F.struct(
+            F.array_append(acc["a"], acc["f"]).alias("a"), then(acc["f"], x["_f"]).alias("f")
+        ))
+        held = held.withColumn("_run", run)
+        if depth:
+            far = before(held.select(*keys, F.col("_up").alias("_i"), F.col("_run.f").alias("_f")), depth - 1)
+            held = held.join(far.withColumnsRenamed({"_i": "_up", "_pre": "_far"}), [*keys, "_up"])
+        else:
+            held = held.withColumn("_far", same)
+        each = held.select(*keys, "_far", F.explode(F.arrays_zip(F.col("_l._i").alias("i"), F.col("_run.a").alias("p"))).alias("_e"))
+        return each.select(*keys, F.col("_e.i").alias("_i"), then(F.col("_far"), F.col("_e.p")).alias("_pre"))
+
+    keys = list(keys)
+    rows = blocks.select(*keys, F.col(block).cast("bigint").alias("_i"), F.col(code).cast("bigint").alias("_f"))
+    return before(rows, LEVELS).select(*keys, F.col("_i").alias(block), F.col("_pre").alias(code))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """Keep the row with the smallest ``order`` per key; map-side combined, skew-safe."""
     rest = [c for c in df.columns if c not in keys]
