@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema as S
 from ..functions import classify as C, patterns as P, templates as M
-from .scale import running_rank
+from ..session import written
+from .scale import ROWS_PER_BLOCK, ordered_fold, running_rank, running_total, with_block
 
 # Occurrence counts at which a family is shown to the teacher after the first.
 LATER_THRESHOLDS = (32, 256, 2048)
@@ -65,7 +66,7 @@ def learning_thresholds(events: DataFrame, min_samples: int, key: str = "templat
                         clock: str = "ts_s", order: str = "arrival") -> DataFrame:
     """Events at which their family is shown to the teacher, with its occurrence count.
 
-    With one event per batch the limit of two requests per batch cannot bind.
+    With one event per batch the limit of two requests per batch cannot bind; ``learning_requests`` has it.
     """
     if not 2 <= min_samples <= 16:
         raise ValueError("between 2 and 16 samples")
@@ -77,6 +78,106 @@ def learning_thresholds(events: DataFrame, min_samples: int, key: str = "templat
     return ranked.where(F.col("occurrences").isin(min_samples, *LATER_THRESHOLDS))
 
 
+#: Requests that one batch makes at most.
+REQUESTS_PER_BATCH = 2
+#: Touches after a threshold that a family in dispute shows to the fold, for a start.
+_WAIT = 64
+
+
+def batch_touches(events: DataFrame, key: str = "template_key", batch: str = "batch", order: str = "arrival") -> DataFrame:
+    """(key, batch, first, occurrences, total): per family and batch its first eligible event and its count up to the batch's end."""
+    known = M.families(events) if key == "template_key" else events.where(F.col(key).isNotNull())
+    per_batch = known.where(learning_eligible(known)).groupBy(key, batch).agg(
+        F.count(F.lit(1)).alias("n"), F.min(order).alias("first")
+    )
+    totals = per_batch.groupBy(key).agg(F.sum("n").alias("total"))
+    counted = running_total(with_block(per_batch, batch, ROWS_PER_BLOCK), [key], [batch], F.col("n"), "occurrences")
+    return counted.join(totals, key).select(key, batch, "first", "occurrences", "total")
+
+
+def learning_requests(
+    events: DataFrame, min_samples: int, key: str = "template_key", batch: str = "batch", order: str = "arrival",
+    per_batch: int = REQUESTS_PER_BATCH, wait: int = _WAIT,
+) -> DataFrame:
+    """(key, batch, first, occurrences, request): the requests to the teacher, ``per_batch`` at most in each batch.
+
+    A family asks when its count has reached its next threshold (``min_samples``, then ``LATER_THRESHOLDS``), once in a batch; families ask in
+    the order of their first events in the batch. One that is refused asks again in the next batch that has an event of it.
+
+    Where nobody is refused a family's requests follow from its own counts, and these are minima that need no order. Families that are
+    refused, and those that they displace later, are followed in the order of batches by one fold; it reads their touches
+    near the thresholds and the other requests of the same batches, not the events. A family that waits longer than
+    ``wait`` occurrences is followed again with more of its touches.
+    """
+    if not 2 <= min_samples <= 16:
+        raise ValueError("between 2 and 16 samples")
+    levels = [min_samples, *LATER_THRESHOLDS]
+    touches = written(batch_touches(events, key, batch, order).toDF("key", "batch", "first", "occurrences", "total"), "touches")
+    place = F.struct("batch", "first", "occurrences")
+    firsts = touches.groupBy("key").agg(*[F.min(F.when(F.col("occurrences") >= n, place)).alias(f"t{i}") for i, n in enumerate(levels)])
+    # A batch that passes two thresholds at once makes one request.
+    crowded = F.lit(False)
+    for i in range(1, len(levels)):
+        crowded = crowded | F.coalesce(F.col(f"t{i}.batch") == F.col(f"t{i - 1}.batch"), F.lit(False))
+    free = written(firsts.select("key", crowded.alias("crowded"), F.posexplode(F.array(*[f"t{i}" for i in range(len(levels))])).alias("level", "t"))
+                   .where("t IS NOT NULL").select("key", "crowded", "level", "t.*"), "requests")
+    turn = F.row_number().over(Window.partitionBy("batch").orderBy("first"))
+    late = free.withColumn("_n", turn).where((F.col("_n") > per_batch) | F.col("crowded"))
+    disputed = written(late.select("key").distinct(), "disputed")
+    while disputed.limit(1).count():
+        near = F.exists(F.array(*[F.lit(n) for n in levels]), lambda n: F.col("occurrences").between(n, n + wait - 1))
+        theirs = touches.where(near).join(disputed, "key", "left_semi").withColumn("fixed", F.lit(False))
+        others = free.join(disputed, "key", "left_anti").join(theirs.select("batch").distinct(), "batch", "left_semi")
+        rows = theirs.unionByName(others.select("key", "batch", "first", "occurrences", F.lit(0).cast("bigint").alias("total"), F.lit(True).alias("fixed")))
+        # A batch is shared by all families, so its order is one for all; the rows are the disputed ones alone.
+        folded = ordered_fold(rows.withColumn("lane", F.lit(0)), ["lane"], ["batch", "first"], _request_fold(levels, per_batch, wait), _REQUESTS)
+        folded = written(folded, "followed")
+        displaced = folded.where("outcome = 'displaced'").select("key").distinct()
+        starved = folded.where("outcome = 'starved'").limit(1).count()
+        if not starved and not displaced.limit(1).count():
+            asked = folded.where("outcome = 'asked'").select("key", "batch", "first", "occurrences", "level")
+            free = free.join(disputed, "key", "left_anti").select(asked.columns).unionByName(asked)
+            break
+        disputed = written(disputed.unionByName(displaced).distinct(), "disputed")
+        wait = wait * 8 if starved else wait
+    return free.select(F.col("key").alias(key), F.col("batch").alias(batch), "first", "occurrences", (F.col("level") + 1).cast("int").alias("request"))
+
+
+_REQUESTS = "key string, batch bigint, first bigint, occurrences bigint, level int, outcome string"
+
+
+def _request_fold(levels: list[int], per_batch: int, wait: int):
+    """Touches in order to requests: ``asked``, ``displaced`` (a family thought to be undisputed) or ``starved`` (more touches are needed)."""
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        level, total, starved, now, used = {}, {}, set(), None, 0
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.batch != now:
+                    now, used = r.batch, 0
+                if r.fixed:
+                    if used < per_batch:
+                        used += 1
+                    else:
+                        out.append((r.key, r.batch, r.first, r.occurrences, 0, "displaced"))
+                    continue
+                i = level.get(r.key, 0)
+                total[r.key] = r.total
+                if i == len(levels) or r.occurrences < levels[i]:
+                    continue
+                if r.occurrences >= levels[i] + wait:
+                    starved.add(r.key)  # touches between were not shown
+                if used < per_batch:
+                    used += 1
+                    level[r.key] = i + 1
+                    out.append((r.key, r.batch, r.first, r.occurrences, i, "asked"))
+            yield pd.DataFrame(out, columns=["key", "batch", "first", "occurrences", "level", "outcome"])
+        starved |= {k for k, n in total.items() if level.get(k, 0) < len(levels) and n >= levels[level.get(k, 0)] + wait}
+        yield pd.DataFrame([(k, 0, 0, 0, 0, "starved") for k in starved], columns=["key", "batch", "first", "occurrences", "level", "outcome"])
+
+    return fold
+
+
 def _paths_ok(paths: Column) -> Column:
     return (
         (F.size(paths) <= 32) & (F.size(F.array_distinct(paths)) == F.size(paths))

@@ -167,6 +167,26 @@ def learning_thresholds(spark, sf_dir):
     return N.learning_thresholds(keyed_events(spark, sf_dir), 4).select("id", "template_key", "occurrences")
 
 
+# Families are followed batch by batch; ``nxt`` counts the requests that each has made.
+_REQUESTED = """
+met AS (SELECT template_key AS key, arrival // 40 AS b, min(arrival) AS first, count(*) AS n FROM fam WHERE template_key IS NOT NULL GROUP BY 1, 2),
+touched AS (SELECT key, b, first, sum(n) OVER (PARTITION BY key ORDER BY b) AS occ FROM met),
+lane(b, key, nxt, asked, first, occ) AS (
+  SELECT DISTINCT -1::BIGINT, key, 0, false, 0::BIGINT, 0::HUGEINT FROM touched
+  UNION ALL SELECT l.b + 1, l.key, l.nxt + asks::INT, asks, l.tf, l.tocc FROM (
+    SELECT *, ready AND count(*) FILTER (ready) OVER (ORDER BY tf ROWS UNBOUNDED PRECEDING) <= 2 AS asks FROM (
+      SELECT s.b, s.key, s.nxt, t.first AS tf, t.occ AS tocc, coalesce(s.nxt < 4 AND t.occ >= [4, 32, 256, 2048][s.nxt + 1], false) AS ready
+      FROM lane s LEFT JOIN touched t ON t.key = s.key AND t.b = s.b + 1 WHERE s.b < (SELECT max(b) FROM touched))) l)"""
+
+
+@query("learning_requests", O.with_ctes(*GROUPS, _REQUESTED, """
+SELECT key AS template_key, b AS batch, first, occ::BIGINT AS occurrences, nxt AS request FROM lane WHERE asked"""))
+def learning_requests(spark, sf_dir):
+    """Batches of forty events, each with two requests at most; refused families wait for their next batch."""
+    ev = keyed_events(spark, sf_dir).withColumn("batch", F.floor(F.col("arrival") / 40).cast("bigint"))
+    return N.learning_requests(ev, 4)
+
+
 @query("validated_proposals", O.with_ctes(*ALL, """
 SELECT pod AS template_key, name, name = 'ids' AND n >= 2 AND kinds = 1 AS accepted FROM (
   SELECT source.pod AS pod, least(count(DISTINCT doc), 8) AS n, count(DISTINCT k % 10) FILTER (r <= 8) AS kinds FROM (
