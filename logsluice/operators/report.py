@@ -18,20 +18,42 @@ def _n(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
 
-def summary(events: DataFrame, importance: str = "judgment.importance") -> DataFrame:
-    """One row of counts; distinct sources are counted on the source hash."""
+def summary(
+    events: DataFrame, importance: str = "judgment.importance", gaps: DataFrame | None = None, usage: DataFrame | None = None,
+) -> DataFrame:
+    """One row of counts; distinct sources are counted on the source hash.
+
+    With ``gaps`` (source, status) sources that only have gaps count as well, and the gaps are counted. ``usage`` is one of
+    ``usage_rollup``: its requests and their cost in dollars follow.
+    """
     imp = F.col(importance)
     reused = F.col("analysis_reused") if "analysis_reused" in events.columns else F.lit(False)
-    return events.agg(
-        F.count(F.lit(1)).alias("events"),
+    rows = events.select("source_id", "line_count", imp.alias("imp"), reused.alias("reused"), F.lit(True).alias("event"))
+    if gaps is not None:
+        none = F.lit(None)
+        rows = rows.unionByName(gaps.select(
+            X.source_id("source").alias("source_id"), none.cast("bigint").alias("line_count"), none.cast("string").alias("imp"),
+            F.lit(False).alias("reused"), F.lit(False).alias("event"),
+        ))
+    counts = [
+        F.count_if("event").alias("events"),
         F.coalesce(F.sum("line_count"), F.lit(0)).alias("lines"),
         F.countDistinct("source_id").alias("streams"),
-        _n(imp == "important").alias("important"),
-        _n(imp == "routine").alias("routine"),
-        _n(imp == "uncertain").alias("uncertain"),
-        _n(imp == "unknown").alias("unknown"),
-        _n(reused).alias("reused_events"),
+        *[_n(F.col("imp") == name).alias(name) for name in ("important", "routine", "uncertain", "unknown")],
+        _n(F.col("reused")).alias("reused_events"),
+    ]
+    if gaps is not None:
+        counts.append(F.count_if(~F.col("event")).alias("coverage_gaps"))
+    out = rows.agg(*counts)
+    if usage is None:
+        return out
+    used = usage.agg(
+        F.coalesce(F.sum("attempts"), F.lit(0)).alias("api_requests"),
+        F.coalesce(F.sum("cost_nano_usd") / 1e9, F.lit(0.0)).alias("total_estimated_cost_usd"),
+        F.coalesce(F.bool_and("cost_complete"), F.lit(True)).alias("cost_complete"),
     )
+    # Both sides are single aggregate rows.
+    return out.withColumn("_j", F.lit(1)).join(used.withColumn("_j", F.lit(1)), "_j").drop("_j")
 
 
 def loss_counters(events: DataFrame, gaps: DataFrame | None = None, retain: int | None = None,

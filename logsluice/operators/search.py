@@ -6,10 +6,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import tables as T
 from ..functions import classify as C, redact as R
 from ..functions.redact import scrub_value
+from ..session import written
 from .scale import first_per_key
 
 # Words that carry no meaning in a question, and two families of synonyms.
@@ -191,6 +193,35 @@ def cache_entries(results: DataFrame, now: int) -> DataFrame:
     )
 
 
+#: Answers that the cache keeps, the newest first.
+CACHED_ANSWERS = 2048
+_CACHE = "key string, relevance string, confidence double, at bigint"
+
+
+def search_round(
+    groups: DataFrame, query: str, judge: Callable[[str, pd.DataFrame], pd.DataFrame], folder: str, now: int,
+    budget: int = 16, cache_ttl: int = 300, capacity: int = CACHED_ANSWERS,
+) -> DataFrame:
+    """``score_relevance`` with a cache in ``folder`` that is carried from round to round.
+
+    What is older than ``cache_ttl`` is dropped, new answers are added, and the newest ``capacity`` are written as the next
+    version before the results are given. A round that breaks off leaves the version before it in force; rounds follow each
+    other. The judge is asked once per round, as the results are written.
+    """
+    spark = groups.sparkSession
+    done = [int(n) for n in T.children(spark, folder) if T.complete(spark, f"{folder}/{n}")]
+    last = max(done, default=-1)
+    old = spark.read.schema(_CACHE).parquet(f"{folder}/{last:08d}") if done else spark.createDataFrame([], _CACHE)
+    results = written(score_relevance(groups, query, judge, budget, old, now, cache_ttl), "relevance")
+    fresh = old.where(F.lit(now) - F.col("at") < cache_ttl).unionByName(cache_entries(results, now))
+    kept = fresh.groupBy("key").agg(F.max_by(F.struct("relevance", "confidence", "at"), "at").alias("v")).select("key", "v.*")
+    kept.orderBy(F.desc("at"), "key").limit(capacity).write.mode("overwrite").parquet(f"{folder}/{last + 1:08d}")
+    for n in done:
+        if n < last:
+            T.remove(spark, f"{folder}/{n:08d}")
+    return results
+
+
 def result_page(results: DataFrame, offset: int = 0, limit: int = PAGE) -> DataFrame:
     """Matches before possible before unknown, then confidence, count and id.
 

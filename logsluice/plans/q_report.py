@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
-from ..operators import report as R
+from ..operators import report as R, usage as G
 from . import adapters as A, oracle as O
 from .catalog import query
+from .q_reuse import _CALLS, _calls
 
 
 def offline_events(spark, sf_dir):
@@ -41,6 +42,24 @@ def report_summary(spark, sf_dir):
     return R.summary(A.judged_events(spark, sf_dir))
 
 
+@query("run_summary", O.with_ctes(O.EVENTS, O.BASE, O.JUDGED, _CALLS, """
+spent AS (SELECT count(*) AS n, sum(input_tokens * 1000 + output_tokens * 4000) FILTER (finished AND output_tokens IS NOT NULL)::BIGINT AS nano,
+  bool_and(NOT finished OR (output_tokens IS NOT NULL AND input_tokens * 1000 + output_tokens * 4000 <= request_bytes * 1000 + 16384 * 4000)) AS whole FROM calls)""", """
+SELECT count(*) AS events, count(*) AS lines, count(DISTINCT source_id) + (SELECT count(DISTINCT user_id) FROM ev WHERE truncated) AS streams,
+  count(*) FILTER (importance = 'important') AS important, count(*) FILTER (importance = 'routine') AS routine,
+  count(*) FILTER (importance = 'uncertain') AS uncertain, count(*) FILTER (importance = 'unknown') AS unknown, 0::BIGINT AS reused_events,
+  count(*) FILTER (truncated) AS coverage_gaps, any_value(n) AS api_requests, any_value(nano) / 1e9::DOUBLE AS total_estimated_cost_usd,
+  any_value(whole) AS cost_complete FROM judged, spent"""))
+def run_summary(spark, sf_dir):
+    """A run with calls that cost money and sources of which only gaps are known."""
+    lost = A.events_log(spark, sf_dir, with_ids=False).where("truncated").select(
+        A.source_struct(type="file", path=F.concat(F.lit("lost/"), F.col("user_id").cast("string"))).alias("source"),
+        F.lit("file_unavailable").alias("status"),
+    )
+    spent = G.usage_rollup(_calls(spark, sf_dir), G.Prices(input_nano_usd=1000, output_nano_usd=4000))
+    return R.summary(A.judged_events(spark, sf_dir), gaps=lost, usage=spent)
+
+
 def gap_rows(spark, sf_dir):
     """Every truncated event counts as a source whose input was incomplete."""
     ev = A.events_log(spark, sf_dir, with_ids=False)

@@ -1,10 +1,13 @@
 """Queries: search, context windows and merged views."""
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import classify as C, text as X
 from ..operators import context as K, search as Z
+from ..session import shared_dir
 from . import adapters as A, oracle as O
 from .catalog import query
 
@@ -114,6 +117,31 @@ def search_summary(spark, sf_dir):
     return Z.search_summary(_results(spark, sf_dir))
 
 
+_ROUNDS = f"""
+scored AS (SELECT *, {_SCORE} AS score FROM (SELECT *, lower(text || source_json) AS hay FROM grouped)),
+said AS (SELECT *, CASE WHEN length(text) % 2 = 1 OR truncated OR parse_uncertain THEN 'possible'
+  WHEN contains(text, 'status=503') THEN 'match' WHEN text LIKE 'ERROR%' THEN 'possible' ELSE 'unrelated' END AS relevance FROM scored),
+one AS (SELECT * FROM said WHERE first_arrival % 3 <> 0 ORDER BY score DESC, first_arrival LIMIT 256),
+two AS (SELECT * FROM said WHERE search_group NOT IN (SELECT search_group FROM one) ORDER BY score DESC, first_arrival LIMIT 256),
+three AS (SELECT * FROM said WHERE search_group NOT IN (SELECT search_group FROM two) ORDER BY score DESC, first_arrival LIMIT 256)"""
+
+
+@query("search_rounds", O.with_ctes(*ALL, _ROUNDS, """
+SELECT 1 AS round, search_group, false AS cached, relevance FROM one UNION ALL SELECT 2, search_group, true, relevance FROM one
+UNION ALL SELECT 2, search_group, false, relevance FROM two UNION ALL SELECT 3, search_group, true, relevance FROM two
+UNION ALL SELECT 3, search_group, false, relevance FROM three"""))
+def search_rounds(spark, sf_dir):
+    """One question asked three times: before some groups have come, with all, and when the first answers have expired."""
+    g = groups(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/relevance-{uuid.uuid4().hex}"
+    out = None
+    for n, (some, now) in enumerate(((g.where("first_arrival % 3 <> 0"), 1000), (g, 1200), (g, 1400)), 1):
+        r = Z.search_round(some, QUESTION, text_judge, folder, now, budget=32).where("examined")
+        r = r.select(F.lit(n).alias("round"), "search_group", "cached", "relevance")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @query("scoped_search_events", O.with_ctes(O.EVENTS, """
 SELECT id FROM ev WHERE source.namespace = 'ns1' AND source.pod = (SELECT 'pod' || min(user_id) FROM ev WHERE user_id % 3 = 1)"""))
 def scoped_search_events(spark, sf_dir):

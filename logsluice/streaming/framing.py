@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .. import schema as S
 from ..functions import classify as C, patterns as P, redact as R, text as X
 from ..operators import framing as W
+from .ordered import SortedRuns
 
 _STATE = (
     "in_key boolean, go boolean, stack boolean, py boolean, has boolean, source string, "
@@ -66,61 +67,71 @@ class FrameLines(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("frame", _STATE)
+        self.runs = SortedRuns(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         st = dict(zip(_NAMES, self.state.get() if self.state.exists() else _FRESH))
-        # One trigger's share of one source; its size is set by the trigger options.
-        lines = pd.concat(list(rows)).sort_values("line_no", kind="stable")
-        out = []
-        for r in lines.itertuples(index=False):
-            if r.eof:
-                if st["has"] and r.partial:
-                    st["truncated"] = st["uncertain"] = True
-                out += self._close(key, st)
-                continue
-            private = st["in_key"] or r.mark is not None
-            if r.mark is not None:
-                st["in_key"] = r.mark == "BEGIN"
-            if not (r.has_body or private or r.trunc):
-                continue
-            late = False
-            if pd.notna(r.ts_us):
-                late = st["newest"] is not None and r.ts_us < st["newest"]
-                if not late:
-                    st["newest"] = int(r.ts_us)
-            text = P.KEY_BLOCK_TEXT if private else r.safe
-            changed = bool(private or r.changed or r.source_changed)
-            doubt = bool(r.doubt or r.ambiguous)
-            explicit = r.letter in "CGRHP"
-            letter = r.alt if st["py"] else r.letter
-            continues = (
-                letter in "cC" or (letter in "gGrRb" and st["go"]) or (letter in "sb" and st["stack"])
-            )
-            st["py"] = bool(r.py)
-            if continues and st["has"]:
-                joined = st["text"] + "\n" + text
-                st["stack"] = st["stack"] or explicit
-                st["line_end"], st["line_count"] = int(r.line_no), st["line_count"] + 1
-                st["truncated"] = bool(
-                    st["truncated"] or r.trunc or len(joined.encode("utf-8")) > S.MAX_EVENT_BYTES
-                )
-                st["sensitive"], st["uncertain"] = st["sensitive"] or changed, st["uncertain"] or doubt
-                st["text"], st["late"] = _clip(joined, S.MAX_EVENT_BYTES), st["late"] + late
-                continue
-            orphan = continues and not st["has"]
-            out += self._close(key, st)
-            st.update(
-                has=True, source=r.source, ts_raw=r.ts_raw, text=_clip(text, S.MAX_EVENT_BYTES),
-                line_start=int(r.line_no), line_end=int(r.line_no), line_count=1,
-                truncated=bool(r.trunc or len(text.encode("utf-8")) > S.MAX_EVENT_BYTES),
-                sensitive=changed, uncertain=bool(doubt or orphan), late=int(late),
-                stack=explicit, go=letter in "pPrR", py=bool(r.py),
-            )
+        ended = False
+        for lines in self.runs.in_order(rows, ["line_no"]):
+            out = []
+            for r in lines.itertuples(index=False):
+                ended = bool(r.eof)
+                out += self._end(key, st, r) if ended else self._line(key, st, r)
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
         if self.preview and st["has"]:
-            out.append(self._row(key, "pending", st))
-        self.state.update(tuple(st[n] for n in _NAMES))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+            yield pd.DataFrame([self._row(key, "pending", st)], columns=[c.split()[0] for c in _OUT.split(", ")])
+        if ended:  # nothing of a finished source is kept
+            self.state.clear()
+        else:
+            self.state.update(tuple(st[n] for n in _NAMES))
+
+    def _end(self, key, st, r):
+        if st["has"] and r.partial:
+            st["truncated"] = st["uncertain"] = True
+        return self._close(key, st)
+
+    def _line(self, key, st, r):
+        """The event that a line closes, if any."""
+        private = st["in_key"] or r.mark is not None
+        if r.mark is not None:
+            st["in_key"] = r.mark == "BEGIN"
+        if not (r.has_body or private or r.trunc):
+            return []
+        late = False
+        if pd.notna(r.ts_us):
+            late = st["newest"] is not None and r.ts_us < st["newest"]
+            if not late:
+                st["newest"] = int(r.ts_us)
+        text = P.KEY_BLOCK_TEXT if private else r.safe
+        changed = bool(private or r.changed or r.source_changed)
+        doubt = bool(r.doubt or r.ambiguous)
+        explicit = r.letter in "CGRHP"
+        letter = r.alt if st["py"] else r.letter
+        continues = (
+            letter in "cC" or (letter in "gGrRb" and st["go"]) or (letter in "sb" and st["stack"])
+        )
+        st["py"] = bool(r.py)
+        if continues and st["has"]:
+            joined = st["text"] + "\n" + text
+            st["stack"] = st["stack"] or explicit
+            st["line_end"], st["line_count"] = int(r.line_no), st["line_count"] + 1
+            st["truncated"] = bool(
+                st["truncated"] or r.trunc or len(joined.encode("utf-8")) > S.MAX_EVENT_BYTES
+            )
+            st["sensitive"], st["uncertain"] = st["sensitive"] or changed, st["uncertain"] or doubt
+            st["text"], st["late"] = _clip(joined, S.MAX_EVENT_BYTES), st["late"] + late
+            return []
+        orphan = continues and not st["has"]
+        closed = self._close(key, st)
+        st.update(
+            has=True, source=r.source, ts_raw=r.ts_raw, text=_clip(text, S.MAX_EVENT_BYTES),
+            line_start=int(r.line_no), line_end=int(r.line_no), line_count=1,
+            truncated=bool(r.trunc or len(text.encode("utf-8")) > S.MAX_EVENT_BYTES),
+            sensitive=changed, uncertain=bool(doubt or orphan), late=int(late),
+            stack=explicit, go=letter in "pPrR", py=bool(r.py),
+        )
+        return closed
 
     def _row(self, key, kind, st):
         return (
@@ -143,7 +154,7 @@ def frame_stream(lines: DataFrame, with_json: bool = True, preview: bool = False
     """Events (``kind`` event) and, on request, pending previews of a line stream.
 
     An optional ``eof`` column marks the end of a source: it flushes the pending event, which is
-    truncated and uncertain when the end row is ``partial``.
+    truncated and uncertain when the end row is ``partial``, and clears what is kept of the source.
     """
     if "eof" not in lines.columns:
         lines = lines.withColumn("eof", F.lit(False))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..session import ROCKSDB_PROVIDER, in_session, shared_dir
+from ..session import ROCKSDB_PROVIDER, in_session, shared_dir, written
+from .. import tables as T
 
 # Fixed value: how long a micro-batch waits to fill.
 FILL_DEADLINE = "350 milliseconds"
@@ -32,30 +34,80 @@ def table_sink(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+#: Runs of applied ids that are merged into one of the next level.
+FAN = 16
+
+
+class _Seen:
+    """Applied ids in runs ``<level>-<first batch>-<last batch>``, each split by day.
+
+    A batch adds a run; ``FAN`` runs of a level become one of the next, so a batch reads few files however many came before, and an id is
+    rewritten once per level. A run that lies inside another one is left over from a merge and is ignored.
+    """
+
+    def __init__(self, spark, folder: str, day: str):
+        self.spark, self.folder, self.day = spark, folder, day
+
+    def runs(self, before: int) -> list[tuple[int, int, int]]:
+        """Complete runs of the batches below ``before``; what a lost attempt at a later batch left doesn't count."""
+        names = [tuple(map(int, n.split("-"))) for n in T.children(self.spark, self.folder)]
+        done = [r for r in names if r[2] < before and T.complete(self.spark, self._path(r))]
+        return [r for r in done if not any(o != r and o[0] > r[0] and o[1] <= r[1] and r[2] <= o[2] for o in done)]
+
+    def _path(self, run: tuple[int, int, int]) -> str:
+        return f"{self.folder}/{run[0]}-{run[1]}-{run[2]}"
+
+    def ids(self, runs: list[tuple[int, int, int]], days: list | None = None) -> DataFrame:
+        kind = f"occurrence_id string, {self.day} date"
+        out = self.spark.createDataFrame([], kind)
+        for r in runs:
+            some = self.spark.read.schema(kind).parquet(self._path(r))
+            out = out.unionByName(some if days is None else some.where(F.col(self.day).isin(days) | (F.col(self.day).isNull() & F.lit(None in days))))
+        return out
+
+    def add(self, run: tuple[int, int, int], ids: DataFrame) -> None:
+        # As many files per day as its size needs, one if it is small.
+        ids.select("occurrence_id", self.day).hint("rebalance", self.day).write.partitionBy(self.day).mode("overwrite").parquet(self._path(run))
+
+    def merge(self, before: int) -> None:
+        runs = sorted(self.runs(before))
+        for level in sorted({r[0] for r in runs}):
+            own = sorted((r for r in runs if r[0] == level), key=lambda r: r[1])
+            while len(own) >= FAN:
+                some, own = own[:FAN], own[FAN:]
+                new = (level + 1, some[0][1], some[-1][2])
+                self.add(new, self.ids(some))
+                for r in some:
+                    T.remove(self.spark, self._path(r))
+
+
 def once_sink(folder: str, day: str = "day") -> Callable[[DataFrame, int], None]:
-    """Apply every occurrence once, however late a repeat or a first arrival comes.
+    """Apply every occurrence once, however late a repeat or a first arrival comes; ``applied`` reads what was.
 
-    Batches need ``occurrence_id`` and ``day``, a function of the occurrence. What was applied lies under
-    ``folder`` by day and batch, so a batch is only compared with the days it has, and a batch that is run
-    again replaces what it wrote.
+    Batches need ``occurrence_id`` and ``day``, a function of the occurrence. A batch is compared with the ids of the
+    days it has. Its own ids are written first, so that Spark knows their size and can send them to those seen, which are
+    many. A batch that is run again replaces what it wrote. The days of one batch are listed on the driver.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        seen = _Seen(spark, f"{folder}/seen", day)
+        seen.merge(batch_id)  # the batches before this one are done for good
         new = batch.dropDuplicates(["occurrence_id"])
-        if batch_id > 0 and where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            seen = spark.read.schema(f"occurrence_id string, {day} date, batch long").parquet(folder).where(F.col("batch") < batch_id)
-            days = new.select(day).distinct()
-            seen = seen.join(days, seen[day].eqNullSafe(days[day]), "left_semi").select("occurrence_id")
-            new = new.join(seen, "occurrence_id", "left_anti")
+        ids = written(new.select("occurrence_id", day), "batch-ids")
+        days = [r[0] for r in ids.select(day).distinct().collect()]
+        again = written(seen.ids(seen.runs(batch_id), days).join(ids, "occurrence_id", "left_semi").select("occurrence_id").distinct(), "batch-repeats")
         # Only this batch's own part of each day is replaced.
-        new.withColumn("batch", F.lit(batch_id).cast("long")).write.partitionBy(day, "batch").mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).parquet(folder)
+        new.join(again, "occurrence_id", "left_anti").withColumn("batch", F.lit(batch_id).cast("long")).write.partitionBy(day, "batch").mode(
+            "overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/applied")
+        seen.add((0, batch_id, batch_id), ids.join(again, "occurrence_id", "left_anti"))
 
     return write
 
 
+def applied(spark, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/applied")
+
+
 def live_sink(folder: str, retain: int = 2000, order: str = "line_start") -> Callable[[DataFrame, int], None]:
     """Snapshot table of a framed stream: retained events beside the latest pending previews.
 
@@ -97,6 +149,71 @@ def live_counters(view: DataFrame) -> DataFrame:
     )
 
 
+def run_until(query: StreamingQuery, rows: int, timeout_s: float = 600.0) -> int:
+    """Stop a running query when it has taken ``rows`` rows; gives how many it took."""
+    end, taken = time.monotonic() + timeout_s, {}
+    while query.isActive and time.monotonic() < end:
+        taken |= {p["batchId"]: p["numInputRows"] for p in query.recentProgress}
+        if sum(taken.values()) >= rows:
+            break
+        time.sleep(0.05)
+    query.stop()
+    if query.exception():
+        raise query.exception()
+    return sum((taken | {p["batchId"]: p["numInputRows"] for p in query.recentProgress}).values())
+
+
+_PROGRESS = (
+    "query string, batch bigint, at string, rows bigint, rows_per_second double, duration_ms bigint, state_rows bigint"
+)
+
+
+class ProgressLog(StreamingQueryListener):
+    """Feeds a table with one row per trigger of the session's streams; ``progress`` reads it.
+
+    A repeated trigger adds a row, so counts take the last one of a batch. Triggers without rows are left out.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.numInputRows:
+            row = (
+                str(p.id), p.batchId, p.timestamp, p.numInputRows, float(p.processedRowsPerSecond),
+                p.durationMs.get("triggerExecution"), sum(o.numRowsTotal for o in p.stateOperators),
+            )
+            self.spark.createDataFrame([row], _PROGRESS).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def reported(spark: SparkSession, folder: str, queries: Sequence[str], batches: int, timeout_s: float = 60.0) -> None:
+    """Wait until the log has ``batches`` batches of each query; listeners are told a little later than queries end."""
+    end = time.monotonic() + timeout_s
+    while time.monotonic() < end:
+        if T.exists(spark, folder):
+            seen = progress(spark, folder).where(F.col("query").isin(list(queries))).groupBy("query").count().collect()
+            if len(seen) == len(queries) and all(r["count"] >= batches for r in seen):
+                return
+        time.sleep(0.2)
+    raise TimeoutError("triggers without a report")
+
+
+def progress(spark: SparkSession, folder: str) -> DataFrame:
+    """The last report of each query and batch."""
+    rows = spark.read.schema(_PROGRESS).parquet(folder)
+    return rows.groupBy("query", "batch").agg(F.max_by(F.struct("*"), "at").alias("p")).select("p.*")
+
+
 def rates(query: StreamingQuery) -> dict:
     """Rows and rows per second of the latest progress report."""
     p = query.lastProgress or {}
@@ -119,6 +236,32 @@ def drain_into(df: DataFrame, sink: Callable[[DataFrame, int], None]) -> None:
     start(df, sink, f"{folder}/checkpoint", trigger=None).awaitTermination()
 
 
+def drain_parts(
+    parts: Sequence[DataFrame], make: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], state_partitions: int | None = None,
+    listener: StreamingQueryListener | None = None,
+) -> list[StreamingQuery]:
+    """Run ``make(stream)`` into ``sink`` with one trigger for each of ``parts``; the query is stopped and started between them.
+
+    A part is a folder of as many files as it needs, all of which its trigger takes up. The queries run in a session of their own, which
+    ``listener`` hears.
+    """
+    spark = parts[0].sparkSession
+    folder = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    own = spark.newSession()
+    if state_partitions:
+        own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    if listener is not None:
+        own.streams.addListener(listener)
+    queries = []
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{folder}/in/{k}")
+        stream = own.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        queries.append(start(make(stream), sink, f"{folder}/checkpoint", trigger=None))
+        queries[-1].awaitTermination()
+    return queries
+
+
 def drain(df: DataFrame, state_partitions: int | None = None) -> DataFrame:
     """Run a stream over everything available and read back its result table.
 
