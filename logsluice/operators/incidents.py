@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import schema as S
 from ..functions import classify as C
 from ..functions.classify import Policy
-from .scale import first_per_key, ordered_fold
+from .scale import ROWS_PER_BLOCK, first_per_key, ordered_fold, preceding_max, running_rank, split_wide, with_block
 
 MAX_ATTEMPTS = 8
 LEASE_SECONDS = 30
@@ -39,7 +39,7 @@ def unseen(events: DataFrame, seen: DataFrame | None = None, order: str = "arriv
     return fresh.join(seen.select("occurrence_id"), "occurrence_id", "left_anti")
 
 
-_WINDOW_SCHEMA = "incident_key string, ts_s bigint, anchor bigint, before bigint"
+_WINDOW_SCHEMA = "incident_key string, ts_s bigint, n bigint, anchor bigint, before bigint"
 
 
 def _window_fold(span: int):
@@ -60,7 +60,7 @@ def _window_fold(span: int):
                     anchor, count = now, 0
                 anchors[i], before[i] = anchor, count
                 count += int(ns[i])
-            yield pd.DataFrame({"incident_key": keys, "ts_s": secs, "anchor": anchors, "before": before})
+            yield pd.DataFrame({"incident_key": keys, "ts_s": secs, "n": ns, "anchor": anchors, "before": before})
 
     return fold
 
@@ -98,6 +98,24 @@ def _send_fold(policy: Policy):
     return fold
 
 
+def _placed(act: DataFrame) -> DataFrame:
+    """Add ``_rn``, the place inside (incident, second), and ``_notified``, that of the last notify before the event.
+
+    Seconds with more events than a window should take, as those without a clock may be, go block by block.
+    """
+    keys, notify = ["incident_key", "ts_s"], F.col("decision") == "notify"
+    small, large = split_wide(act, keys)
+    w = Window.partitionBy(*keys).orderBy("ord")
+    out = small.withColumn("_rn", F.row_number().over(w).cast("bigint")).withColumn(
+        "_notified", F.max(F.when(notify, F.col("_rn"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    )
+    if large is None:
+        return out
+    some = running_rank(with_block(large, "ord", ROWS_PER_BLOCK), keys, ["ord"], "_rn")
+    some = preceding_max(some, keys, ["ord"], F.when(notify, F.col("_rn")), "_notified")
+    return out.unionByName(some.select(out.columns))
+
+
 def fold_incidents(events: DataFrame, policy: Policy = Policy(), order: str = "arrival") -> DataFrame:
     """Recurrence state after every event that can change it.
 
@@ -114,24 +132,17 @@ def fold_incidents(events: DataFrame, policy: Policy = Policy(), order: str = "a
     windows = ordered_fold(
         per_second, ["incident_key"], ["ts_s"], _window_fold(policy.window), _WINDOW_SCHEMA
     )
-    in_second = Window.partitionBy("incident_key", "ts_s").orderBy("ord")
-    up_to = in_second.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = act.withColumn("_rn", F.row_number().over(in_second)).withColumn(
-        "_last", F.lead(F.lit(1)).over(in_second).isNull()
-    ).join(windows, ["incident_key", "ts_s"])
-    d = d.withColumn("count", F.col("before") + F.col("_rn"))
+    d = _placed(act).join(windows, ["incident_key", "ts_s"]).withColumn("count", F.col("before") + F.col("_rn"))
     step = (F.col("count") % policy.recurrence == 0) & (
         F.col("count") <= policy.recurrence * policy.max_escalation
     )
-    d = d.withColumn("_lead", (F.col("_rn") == 1) | step)
-    d = d.withColumn("_part", F.sum(F.col("_lead").cast("int")).over(up_to))
-    in_part = Window.partitionBy("incident_key", "ts_s", "_part").orderBy("ord")
-    notify = F.col("decision") == "notify"
-    d = d.withColumn(
-        "_nth_notify", F.sum(notify.cast("int")).over(in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
-    cand = d.where(F.col("_lead") | (notify & (F.col("_nth_notify") == 1)) | F.col("_last")).select(
-        "incident_key", "ts_s", "ord", "anchor", "count", "decision", F.col("_last").alias("final")
+    # The last event up to this one that reached a step, or the first of its second.
+    reached = F.least(F.floor(F.col("count") / policy.recurrence), F.lit(policy.max_escalation)) * policy.recurrence
+    lead = F.greatest(reached - F.col("before"), F.lit(1))
+    first_notify = (F.col("decision") == "notify") & F.coalesce(F.col("_notified") < lead, F.lit(True))
+    last = F.col("_rn") == F.col("n")
+    cand = d.where((F.col("_rn") == 1) | step | first_notify | last).select(
+        "incident_key", "ts_s", "ord", "anchor", "count", "decision", last.alias("final")
     )
     return ordered_fold(cand, ["incident_key"], ["ts_s", "ord"], _send_fold(policy), _SEND_SCHEMA)
 

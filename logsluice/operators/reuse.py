@@ -2,8 +2,9 @@
 
 Clocks are whole unix seconds. One event per batch: an event sees every earlier verdict of its
 family. A family that owns a large share of the input is first reduced to one row per second: how
-many events it had and at which of them the kind of verdict changes. The sequential part jumps over
-certain hits, so its rows are bounded by time and its steps by the number of judge calls.
+many events it had, at which of them the kind of verdict changes, and the stretches of events whose clock ran backwards. The
+sequential part jumps over certain hits and takes such a stretch as one, so its rows are bounded by time and its steps by the
+number of judge calls and changes, also when one clock far in the future makes all later ones run backwards.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify as C
 from ..functions.templates import families, outside_families
 from ..session import cut_lineage
-from .scale import ROWS_PER_BLOCK, ordered_fold, preceding_max, running_rank, with_block
+from .scale import ROWS_PER_BLOCK, numbered, ordered_fold, preceding_max, running_rank, with_block
 
 
 def clock_rollback(events: DataFrame, order: str = "arrival", clock: str = "ts_s") -> DataFrame:
@@ -71,6 +72,17 @@ _FOLD_SCHEMA = (
 )
 
 
+def _stretches(a: int, b: int, seeds: bool, seed_flips: list[int], routine: bool, routine_flips: list[int]) -> Iterator[tuple[int, bool, bool]]:
+    """(events, seeds, routine) of the parts of a..b in which neither changes."""
+    k, m = bisect_right(seed_flips, a), bisect_right(routine_flips, a)
+    while a <= b:
+        end = min(seed_flips[k] if k < len(seed_flips) else b + 1, routine_flips[m] if m < len(routine_flips) else b + 1, b + 1)
+        yield end - a, seeds != (k % 2 == 1), routine != (m % 2 == 1)
+        a = end
+        k += k < len(seed_flips) and seed_flips[k] == a
+        m += m < len(routine_flips) and routine_flips[m] == a
+
+
 def _reuse_fold(ttl: int, adaptive: bool, max_interval: int):
     """One row per (family, second) to the judged stretches of that second and the verdict held on entry.
 
@@ -88,30 +100,39 @@ def _reuse_fold(ttl: int, adaptive: bool, max_interval: int):
                     expires, seen, audit_at, step, rep = 0, 0, 0, 16, (None, None)
                 entry = rep if held else (None, None)
                 now, seed_flips, routine_flips = int(r.lane_s), list(r.seed_flips), list(r.routine_flips)
-                back = [(int(x["n"]), int(x["s"])) for x in r.back] + [(r.n + 1, 0)]
+                back = [(int(a), int(x["n"]), int(x["s"])) for a, x in zip(r.back_from, r.back_to)] + [(r.n + 1, 0, 0)]
                 found, i = [], 1
                 while i <= r.n:
                     stop = back[0][0]
                     if i == stop:
-                        clock, reason, after, until = back.pop(0)[1], "clock_rollback", "clock_rollback", i
-                        held, stale = False, True
+                        # All of a stretch is judged; what is held behind it is the last one's verdict.
+                        _, last, clock = back.pop(0)
+                        for some, seeds_, routine_ in _stretches(i, last, bool(r.seeds), seed_flips, bool(r.routine), routine_flips):
+                            if seeds_:
+                                step = min(max_interval, step << min(some, 16)) if routine_ else 32
+                            held, stale = seeds_, not seeds_
+                        found.append({"a": i, "b": last, "first": "clock_rollback", "rest": "clock_rollback", "seeded": held})
+                        seen += last - i + 1
+                        i = last + 1
+                        if held:
+                            expires, rep, audit_at = clock + ttl, (now, last), seen + step
+                        continue
+                    until = stop - 1
+                    if held and now < expires:
+                        # Jump over the events that are certain hits.
+                        hits = until - i + 1
+                        if adaptive:
+                            hits = min(hits, max(0, audit_at - seen - 1))
+                        if hits:
+                            seen += hits
+                            i += hits
+                            continue
+                        reason = "stable_audit"
                     else:
-                        clock, until = now, stop - 1
-                        if held and now < expires:
-                            # Jump over the events that are certain hits.
-                            hits = until - i + 1
-                            if adaptive:
-                                hits = min(hits, max(0, audit_at - seen - 1))
-                            if hits:
-                                seen += hits
-                                i += hits
-                                continue
-                            reason = "stable_audit"
-                        else:
-                            # An expired family stays marked until a reusable verdict replaces it.
-                            stale = stale or held
-                            reason = "cache_expired" if stale else "new_or_expired"
-                        after = "cache_expired" if stale else "new_or_expired"
+                        # An expired family stays marked until a reusable verdict replaces it.
+                        stale = stale or held
+                        reason = "cache_expired" if stale else "new_or_expired"
+                    after = "cache_expired" if stale else "new_or_expired"
                     # Judged one by one up to the first reusable verdict.
                     k = bisect_right(seed_flips, i)
                     seeded, last = True, i
@@ -125,7 +146,7 @@ def _reuse_fold(ttl: int, adaptive: bool, max_interval: int):
                     held = seeded
                     if seeded:
                         routine = bool(r.routine) != (bisect_right(routine_flips, last) % 2 == 1)
-                        stale, expires, rep = False, clock + ttl, (now, last)
+                        stale, expires, rep = False, now + ttl, (now, last)
                         step = min(max_interval, max(32, step * 2)) if routine else 32
                         audit_at = seen + step
                 out.append((key, now, found, *entry))
@@ -138,22 +159,28 @@ def _reuse_fold(ttl: int, adaptive: bool, max_interval: int):
 
 def seconds_of(fam: DataFrame, adaptive: bool, order: str) -> tuple[DataFrame, DataFrame]:
     """(events numbered ``_n`` inside (family, second), one row per (family, second) for the fold)."""
-    second = Window.partitionBy("template_key", "lane_s").orderBy(order)
+    keys = ["template_key", "lane_s"]
+    fam = numbered(fam, keys, order, ["_seeds", "_routine", "clock_rollback", "ts_s"])
+    fell, rose = F.col("_prev.clock_rollback"), F.col("clock_rollback")
     fam = fam.withColumns({
-        "_n": F.row_number().over(second).cast("bigint"),
-        "_sf": F.coalesce(F.lag("_seeds").over(second) != F.col("_seeds"), F.lit(False)),
-        "_rf": F.coalesce(F.lag("_routine").over(second) != F.col("_routine"), F.lit(False)) & F.lit(adaptive),
+        "_sf": F.coalesce(F.col("_prev._seeds") != F.col("_seeds"), F.lit(False)),
+        "_rf": F.coalesce(F.col("_prev._routine") != F.col("_routine"), F.lit(False)) & F.lit(adaptive),
     })
 
-    def places(flag: str):
-        return F.sort_array(F.collect_list(F.when(F.col(flag), F.col("_n"))))
+    def places(flag: Column, value: Column = F.col("_n")):
+        return F.sort_array(F.collect_list(F.when(flag, value)))
 
-    rows = fam.groupBy("template_key", "lane_s").agg(
+    # A stretch of clocks that ran backwards ends with the row before, or with the second.
+    ends = places(fell & ~rose, F.struct((F.col("_n") - 1).alias("n"), F.col("_prev.ts_s").alias("s")))
+    last = F.max(F.struct(F.col("_n").alias("n"), F.col("ts_s").alias("s"), rose.alias("back")))
+    rows = fam.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min_by("_seeds", "_n").alias("seeds"), F.min_by("_routine", "_n").alias("routine"),
-        places("_sf").alias("seed_flips"), places("_rf").alias("routine_flips"),
-        F.sort_array(F.collect_list(F.when(F.col("clock_rollback"), F.struct(F.col("_n").alias("n"), F.col("ts_s").alias("s"))))).alias("back"),
+        places(F.col("_sf")).alias("seed_flips"), places(F.col("_rf")).alias("routine_flips"),
+        places(rose & ~F.coalesce(fell, F.lit(False))).alias("back_from"), ends.alias("_ends"), last.alias("_last"),
     )
-    return fam.drop("_sf", "_rf"), rows
+    end = F.array(F.struct(F.col("_last.n").alias("n"), F.col("_last.s").alias("s")))
+    rows = rows.withColumn("back_to", F.when(F.col("_last.back"), F.concat("_ends", end)).otherwise(F.col("_ends"))).drop("_ends", "_last")
+    return fam.drop("_sf", "_rf", "_prev"), rows
 
 
 def reuse_verdicts(

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
+
 BLOCK = "_block"
 LINES_PER_BLOCK = 8192
 ROWS_PER_BLOCK = 65536
@@ -135,6 +137,42 @@ def over_earlier_blocks(blocks: DataFrame, keys: Sequence[str], block: str, valu
     ])
 
 
+#: Rows of a group up to which one window takes it whole.
+WIDE = ROWS_PER_BLOCK
+
+
+def split_wide(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups that a window can take, rows of larger groups; None if there are none). Keys must not be null.
+
+    Groups are counted, and only the keys of large ones are written.
+    """
+    large = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > WIDE).select(*keys), "wide-groups")
+    if not large.limit(1).count():
+        return df, None
+    return df.join(large, list(keys), "left_anti"), df.join(large, list(keys), "left_semi")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: str, carry: Sequence[str]) -> DataFrame:
+    """Add ``_n``, the place of a row in its group from 1, and ``_prev``, a struct of the columns ``carry`` of the row before it.
+
+    Groups that are too large for a window are taken block by block.
+    """
+    def inside(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(order)
+        return rows.withColumns({"_n": F.row_number().over(w).cast("bigint"), "_prev": F.lag(F.struct(*carry)).over(w)})
+
+    small, large = split_wide(df, keys)
+    out = inside(small, keys)
+    if large is None:
+        return out
+    by = [*keys, BLOCK]
+    some = inside(with_block(large, order, WIDE), by)
+    blocks = some.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"), F.max_by(F.struct(*carry), order).alias("_l"))
+    before = over_earlier_blocks(blocks, keys, BLOCK, {"_before": ("sum", F.col("_c")), "_carried": ("last", F.col("_l"))})
+    some = some.join(before, by).withColumns({"_n": F.col("_n") + F.col("_before"), "_prev": F.coalesce("_prev", "_carried")})
+    return out.unionByName(some.select(out.columns))
+
+
 #: Functions composed in one row, and levels of that below the last, which takes what is left of a key.
 FUNCTIONS, LEVELS = 512, 2
 

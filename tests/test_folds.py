@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logsluice.functions import classify as C
 from logsluice.functions.classify import Policy
-from logsluice.operators import incidents as I, reuse as U, usage as G
+from logsluice.operators import incidents as I, reuse as U, scale, usage as G
 
 
 def fold_reuse(rows, ttl, adaptive, cap):
@@ -72,6 +72,21 @@ def test_fold_rows_follow_seconds_not_changes(spark):
     assert {r.reason: r["count"] for r in got} == {"new_or_expired": 1, "cached": 19_999}
 
 
+def test_one_clock_far_in_the_future(spark, monkeypatch):
+    """All later events ran backwards: a stretch is one entry, whatever its length, and is placed block by block."""
+    rng = random.Random(11)
+    rows = [(rng.choice("aab"), 10 ** 10 if i == 40 else i // 10, i, rng.random() < 0.8, rng.random() < 0.6) for i in range(4000)]
+    df = U.lane_clock(reuse_frame(spark, rows)).withColumns({
+        "_seeds": F.lit(True), "_routine": F.col("judgment.importance") == "routine"})
+    for wide in (scale.WIDE, 100):
+        monkeypatch.setattr(scale, "WIDE", wide)
+        folded = U.seconds_of(df, False, "arrival")[1].collect()
+        assert max(len(r.back_from) for r in folded) <= 2 and max(r.n for r in folded) > 1000
+        for adaptive, cap in ((False, 1024), (True, 64)):
+            got = {r.arrival: (r.reason, r.representative_id) for r in U.reuse_verdicts(reuse_frame(spark, rows), 20, adaptive, cap).collect()}
+            assert got == fold_reuse(rows, 20, adaptive, cap)
+
+
 def test_thousand_events_one_call(spark):
     rows = [("t", i // 20, i, True, True) for i in range(1000)]
     got = U.reuse_verdicts(reuse_frame(spark, rows), 60).groupBy("reason").count().collect()
@@ -146,6 +161,19 @@ def test_incidents_match_sequential(spark, seed):
     assert got == fold_incidents(rows, p)
 
 
+@pytest.mark.parametrize("wide", (scale.WIDE, 50))
+def test_incidents_without_clocks(spark, monkeypatch, wide):
+    """A third of the events has no clock: they are second 0 of their incident, however many they are."""
+    monkeypatch.setattr(scale, "WIDE", wide)
+    monkeypatch.setattr(I, "ROWS_PER_BLOCK", 64)
+    rng = random.Random(wide)
+    p = Policy(window=90, cooldown=7, recurrence=3, max_escalation=5)
+    rows = [(rng.choice("aab"), None if rng.random() < 0.4 else 1000 + i // 30, i, rng.choice(["notify", "review", "review"])) for i in range(2500)]
+    df = spark.createDataFrame(rows, "incident_key string, ts_s long, arrival long, decision string")
+    got = {(r.incident_key, r.ord, r["count"], r.seq, r.level) for r in I.fold_incidents(df, p).where("enqueued").collect()}
+    assert got == fold_incidents([(k, s or 0, a, d) for k, s, a, d in rows], p)
+
+
 def test_outbox_lifecycle(spark):
     box = spark.createDataFrame(
         [("n1", "i1", "{}", "pending", 0, 100, 100)],
