@@ -148,14 +148,31 @@ def unseen_occurrences(spark, sf_dir):
 
 
 @query("incident_violations", O.with_ctes(*ALL, """
-SELECT incident_key, 'bad_decision' AS reason FROM seq WHERE ord % 7 = 0"""))
+SELECT CASE WHEN ord % 7 = 4 THEN left(incident_key, 63) ELSE incident_key END AS incident_key,
+  CASE ord % 7 WHEN 0 THEN 'bad_decision' WHEN 1 THEN 'bad_count' WHEN 2 THEN 'bad_level' WHEN 3 THEN 'bad_sequence' ELSE 'bad_id' END AS reason
+FROM fold WHERE n > 0 AND ord % 7 < 5"""))
 def incident_violations(spark, sf_dir):
-    ev = decided_events(spark, sf_dir).where("decision IN ('notify', 'review')")
-    rows = ev.select(
-        "incident_key", F.lit(1).alias("count"), F.lit(0).alias("level"), F.lit(1).alias("seq"),
-        F.when(F.col("arrival") % 7 == 0, "ignore").otherwise(F.col("decision")).alias("last_decision"),
+    """The state at every event that counts, broken in five ways by its place."""
+    rows = folded_rows(spark, sf_dir)
+    kind = F.col("ord") % 7
+
+    def broken(which, to, c):
+        return F.when(kind == which, F.lit(to)).otherwise(F.col(c)).alias(c)
+
+    return I.incident_violations(rows.select(
+        F.when(kind == 4, F.left("incident_key", F.lit(63))).otherwise(F.col("incident_key")).alias("incident_key"),
+        broken(1, -1, "count"), broken(2, 99, "level"), broken(3, -1, "seq"), broken(0, "ignore", "last_decision"),
+    ))
+
+
+def folded_rows(spark, sf_dir):
+    """One row per event that counts, with the incident's state where the fold has it."""
+    ev = decided_events(spark, sf_dir).where("decision IN ('notify', 'review')").select("incident_key", F.col("arrival").alias("ord"), "decision")
+    known = ev.join(folded(spark, sf_dir).select("incident_key", "ord", "count", "level", "seq", "last_decision"), ["incident_key", "ord"], "left")
+    return known.select(
+        "incident_key", "ord", F.coalesce("count", F.lit(1)).alias("count"), F.coalesce("level", F.lit(0)).alias("level"),
+        F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("last_decision", "decision").alias("last_decision"),
     )
-    return I.incident_violations(rows)
 
 
 @query("upgraded_payloads", O.with_ctes(O.EVENTS, O.BASE, O.JUDGED, O.DECIDED, """

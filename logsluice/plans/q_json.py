@@ -1,9 +1,12 @@
 """Queries: structured messages, template rules and learning."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import redact as R, templates as M
 from ..operators import learning as N, rules as TR
+from ..session import shared_dir
 from ..sources import rulesets as RS
 from . import adapters as A, oracle as O
 from .catalog import query
@@ -188,14 +191,12 @@ def learning_requests(spark, sf_dir):
 
 
 @query("validated_proposals", O.with_ctes(*ALL, """
-SELECT pod AS template_key, name, name = 'ids' AND n >= 2 AND kinds = 1 AS accepted FROM (
-  SELECT source.pod AS pod, least(count(DISTINCT doc), 8) AS n, count(DISTINCT k % 10) FILTER (r <= 8) AS kinds FROM (
-    SELECT *, row_number() OVER (PARTITION BY source.pod ORDER BY arrival) AS r FROM docs WHERE k % 10 IN (3, 4)) GROUP BY 1),
-  (VALUES ('ids'), ('status')) AS t(name)"""))
+SELECT source.pod || '/' || (k % 10) AS template_key, name, name = 'ids' AND k % 10 IN (3, 4) AND count(DISTINCT doc) >= 2 AS accepted
+FROM docs, (VALUES ('ids'), ('status')) AS t(name) GROUP BY source.pod, k % 10, name"""))
 def validated_proposals(spark, sf_dir):
-    """Two proposals per pod: one masks the request id, one the protected status."""
-    ev = documents(spark, sf_dir).where("k % 10 IN (3, 4)").withColumn("text", F.col("doc")).withColumn(
-        "template_key", F.col("source.pod")
+    """Two proposals per pod and kind of message: one masks the request id, one the protected status. Messages of other kinds lack the paths."""
+    ev = documents(spark, sf_dir).withColumn("text", F.col("doc")).withColumn(
+        "template_key", F.concat_ws("/", "source.pod", (F.col("k") % 10).cast("string"))
     )
     evidence = N.template_evidence(ev)
     path = F.when(F.col("name") == "ids", "/request_id").otherwise("/status")
@@ -209,6 +210,31 @@ def validated_proposals(spark, sf_dir):
     return N.validate_proposals(evidence, proposals, 0.5).select("template_key", "name", "accepted")
 
 
+@query("template_rule_file", """
+SELECT row_number() OVER (ORDER BY n) - 1 AS pos, 'rule-ns' || n AS id, '"ns' || n || '"' AS namespace, '"click"' AS kind, 4::BIGINT AS paths
+FROM (SELECT DISTINCT user_id % 3 AS n FROM events)""")
+def template_rule_file(spark, sf_dir):
+    """An artifact with one reviewed rule per namespace, written and read back."""
+    ns = A.load(spark, sf_dir, "events", [(F.col("user_id") % 3).alias("n")]).distinct()
+    name = F.concat(F.lit("ns"), F.col("n").cast("string"))
+    shape = F.create_map(*[F.lit(x) for x in ("", "object", "/kind", "string", "/request_id", "string", "/status", "number")])
+    rule = F.struct(
+        F.concat(F.lit("rule-"), name).alias("id"), F.lit(1).alias("version"), F.lit(2000000000).cast("bigint").alias("expires_at"),
+        F.concat(F.lit('{"type":"kubernetes","namespace":"'), name, F.lit('"}')).alias("source_scope"), shape.alias("shape"),
+        F.lit('{"/kind":"click"}').alias("required_literals"), F.array(F.lit("/request_id")).alias("normalize_paths"),
+    )
+    doc = ns.agg(F.to_json(F.struct(
+        F.lit(2).alias("artifact_version"), F.lit(1).alias("schema_version"), F.sort_array(F.collect_list(rule.dropFields("shape"))).alias("rules"),
+    )).alias("value"))
+    doc = doc.select(F.replace("value", F.lit('"normalize_paths"'), F.concat(F.lit('"shape":'), F.to_json(shape), F.lit(',"normalize_paths"'))).alias("value"))
+    folder = f"{shared_dir(spark)}/artifact-{uuid.uuid4().hex}"
+    doc.write.text(folder)
+    return RS.read_template_rules(spark, folder).select(
+        F.col("pos").cast("bigint").alias("pos"), "id", F.col("scope")["namespace"].alias("namespace"), F.col("required")["/kind"].alias("kind"),
+        F.size("shape").cast("bigint").alias("paths"),
+    )
+
+
 @query("escalated_events", O.with_ctes(*GROUPS, """
 cur AS (SELECT template_key, max_by(importance, arrival) AS cur, count(*) AS n FROM fam WHERE template_key IS NOT NULL GROUP BY 1),
 act AS (SELECT template_key FROM cur WHERE cur <> 'important' AND n % 2 = 0)""", """

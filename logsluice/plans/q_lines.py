@@ -41,6 +41,22 @@ def framed_documents(spark, sf_dir):
     )
 
 
+@query("framed_secrets", O.with_ctes(O.EVENTS, """
+lines AS (SELECT user_id, arrival, unnest(range(1, 6)) AS n, text FROM ev)""", """
+SELECT 'svc-' || user_id || ' token="[REDACTED]"' AS pod, arrival * 5 + n AS line_start,
+  CASE WHEN n IN (1, 5) THEN text ELSE '[REDACTED PRIVATE KEY]' END AS text, true AS sensitive FROM lines"""))
+def framed_secrets(spark, sf_dir):
+    """Coloured messages around a private key, from sources whose names hold a token."""
+    ev = A.events_log(spark, sf_dir, with_ids=False).select("user_id", "arrival", "text")
+    pod = F.concat(F.lit("svc-"), F.col("user_id").cast("string"), F.lit(" token=t0ps3cret"))
+    coloured = F.concat(F.lit("\x1b[31m"), "text", F.lit("\x1b[0m"))
+    raws = F.array(coloured, F.lit("-----BEGIN PRIVATE KEY-----"), F.lit("MIIEvQ"), F.lit("-----END PRIVATE KEY-----"), F.col("text"))
+    lines = ev.select(A.source_struct(type="file", pod=pod).alias("source"), "arrival", F.posexplode(raws).alias("n", "raw")).select(
+        "source", (F.col("arrival") * 5 + F.col("n") + 1).alias("line_no"), "raw"
+    )
+    return W.frame_events(lines, with_json=False).select(F.col("source.pod").alias("pod"), "line_start", "text", "sensitive")
+
+
 def _doc_lines(spark, sf_dir):
     return A.doc_lines(spark, sf_dir).withColumn("source_id", X.source_id("source"))
 

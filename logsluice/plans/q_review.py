@@ -156,3 +156,11 @@ def human_rule_violations(spark, sf_dir):
         "match", F.when(F.col("id").startswith("e"), "regex").otherwise(F.col("match"))
     ).withColumn("pattern", F.when(F.col("id").startswith("v"), "a\tb").otherwise(F.col("pattern")))
     return RS.human_rule_violations(bad)
+
+
+@query("toggled_rules", O.with_ctes(O.EVENTS, _RULES, "SELECT id, CASE WHEN id = (SELECT min(id) FROM rules) THEN NOT enabled ELSE enabled END AS enabled FROM rules"))
+def toggled_rules(spark, sf_dir):
+    """The first rule by id switched over."""
+    rules = _rules(spark, sf_dir)
+    first = rules.orderBy("id").first()
+    return V.toggle_rule(rules, first.id, not first.enabled).select("id", "enabled")
