@@ -27,14 +27,14 @@ def query(oracle: str | None = None) -> Callable:
     return add
 
 
-def _scored(spark, sf_dir, model, label: str, parts: int, held_out: int) -> DataFrame:
+def _scored(spark, sf_dir, model, label: str, parts: int, held_out: int, *more: str, **options) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     labels = read_table(spark, sf_dir, "labels", "doc_id", label)
     sample = labelled_sample(docs, labels, label, parts, held_out, model.TRAIN_ROWS, model.TRAIN_BYTES)
-    out = model.score_documents(docs, model.fit(sample))
+    out = model.score_documents(docs, model.fit(sample), **options)
     return out.select(
         "doc_id", F.coalesce(fold_of(F.col("doc_id"), parts) == held_out, F.lit(False)).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), *more,
     )
 
 
@@ -159,7 +159,7 @@ def op5_url_filter(spark, sf_dir):
 
 @query()
 def op6_toxicity(spark, sf_dir):
-    return _scored(spark, sf_dir, toxicity, "toxic", 5, 0)
+    return _scored(spark, sf_dir, toxicity, "toxic", 5, 0, "sentences", with_sentences=True)
 
 
 @query()

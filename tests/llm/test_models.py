@@ -27,6 +27,9 @@ def test_accuracy_on_the_held_out_fold(spark, query, label, accuracy):
     score, predicted, y = held_out(spark, query, label)
     assert len(y) > 500 and (predicted == y).mean() >= accuracy
     assert score[y == 1].mean() - score[y == 0].mean() > 0.6
+    if label == "toxic":
+        toxic = QUERIES[query](spark, SF).where("predicted = 1").select("sentences").collect()
+        assert sum(len(r.sentences) > 0 for r in toxic) > 0.8 * len(toxic) > 0
 
 
 TRAIN = [(f"A calm text number {k} about rivers. It goes on.", 0) for k in range(60)] + [
@@ -48,6 +51,44 @@ def test_noisy_or_of_sentences():
     assert m.score("bad") == pytest.approx(0.5) and m.score("bad. bad\nBAD!") == pytest.approx(0.875) and m.score("good") < 1e-9
 
 
+def test_toxicity_against_a_plain_noisy_or(spark, sf):
+    """Sentence scores from features one by one, over the whole corpus, and the sentences that the query names."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    m = toxicity.fit([(t, labels[i]) for i, t in docs if labels.get(i) in (0, 1) and t is not None])
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.longdouble(z)))
+    for _, t in docs:
+        clean, named = 1 - sigmoid(m.leak), []
+        for s in toxicity.sentences(t):
+            ws = [m.weights[f] for w in s.split() for f in toxicity.word_features(w) if f in m.weights]
+            if any(ws):
+                p = sigmoid(m.bias + sum(ws))
+                clean *= 1 - p
+                named += [s] if p >= toxicity.OFFENDS else []
+        assert m.score(t) == pytest.approx(float(1 - clean), abs=1e-9) and m.offending(t) == named
+    rows = QUERIES["op6_toxicity"](spark, sf).collect()
+    assert all(r.predicted for r in rows if len(r.sentences) > 0)
+
+
+def test_quality_against_a_plain_convolution(spark, sf):
+    """Every window of every whole text multiplied out, its greatest response taken per filter."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    m = quality_model.fit([(t, k % 2) for k, (_, t) in enumerate(docs[:40]) if t])
+    texts = [t for _, t in docs] + [None, "", "é", "x" * 70_000]
+    got = m.scores(texts)
+    for k, t in enumerate(texts):
+        data = np.frombuffer((t or "").encode() or b"\0", np.uint8)
+        x = m.bytes_[np.concatenate([data, np.zeros(quality_model.WIDTH - 1, np.uint8)])]
+        top = np.full(m.filters.shape[1], -np.inf)
+        for lo in range(0, len(data), 4096):
+            some = x[lo:lo + 4096 + quality_model.WIDTH - 1]
+            n = min(4096, len(data) - lo)
+            flat = np.concatenate([some[w:w + n] for w in range(quality_model.WIDTH)], axis=1)
+            top = np.maximum(top, (flat @ m.filters).max(axis=0))
+        h = np.maximum(np.maximum(top + m.bias, 0) @ m.hidden + m.hidden_bias, 0)
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(h @ m.out + m.out_bias)[()])), abs=1e-4)
+
+
 def test_pooling_reads_whole_texts(monkeypatch):
     m = quality_model.fit([("good words here " * 5, 1), ("%%%% ### " * 9, 0)] * 20)
     texts = ["x" * 700 + "%%%% ### " + "y" * 900, "", None, "short", "good words here " * 40, "%%%% ### "]
