@@ -17,7 +17,8 @@ from .common import drop_shared, write_shared
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with an edge to another; component is the least node reached.
 
-    Direction, repetition and self-loops of edges don't matter; edges with a null end are ignored.
+    Direction, repetition and self-loops of edges don't matter; edges with a null end are ignored. ``drop_shared`` deletes
+    the table that the result reads.
     """
     x, y = F.col(a), F.col(b)
     cur = write_shared(
@@ -39,7 +40,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if done:
             break
     roots = cur.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out.shared_path = cur.shared_path
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:

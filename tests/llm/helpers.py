@@ -68,6 +68,19 @@ def near_components(prints, radius=3):
     return union_find(len(f), zip(i.tolist(), j.tolist()))
 
 
+def similar_texts(texts):
+    """Components of the texts that share four fifths of their five-word shingles."""
+    sets = []
+    for t in texts:
+        ws = tuple(words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")))
+        sets.append({ws[k:k + 5] for k in range(max(1, len(ws) - 4))} if ws else set())
+    pairs = [
+        (i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])
+        if a == b or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)
+    ]
+    return union_find(len(sets), pairs)
+
+
 def rows_of(df):
     """Rows as sorted tuples; nulls sort like text."""
     return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -3,20 +3,7 @@ import random
 import corpus_pipeline as P
 from logsluice.llm import near_copies as N, simhash as S
 from logsluice.llm.common import read_table
-from helpers import near_components, simhash, union_find, words
-
-
-def brute_force(texts):
-    """Components of the texts that share four fifths of their five-word shingles."""
-    sets = []
-    for t in texts:
-        ws = tuple(words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")))
-        sets.append({ws[k:k + 5] for k in range(max(1, len(ws) - 4))} if ws else set())
-    pairs = [
-        (i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])
-        if a == b or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)
-    ]
-    return union_find(len(sets), pairs)
+from helpers import near_components, simhash, similar_texts, union_find
 
 
 def corpus(seed=3):
@@ -34,10 +21,10 @@ def corpus(seed=3):
     return texts
 
 
-def test_stage_against_brute_force(spark):
+def test_stage_against_similar_texts(spark):
     texts = corpus()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    want = brute_force(texts)
+    want = similar_texts(texts)
     assert want != near_components([simhash(t) for t in texts])
     assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, df, "").collect()) == sorted(set(want))
 
@@ -46,8 +33,8 @@ def test_small_tiles_and_parts_find_the_same(spark):
     texts = corpus(8)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     old = N.TILE_ROWS, N.PARTS, N.INDEXED
-    marks = N._marks(df, "doc_id", "text").withColumnRenamed("doc_id", "first").dropDuplicates(["cls"])
-    classes = {r.cls: r.first for r in marks.collect()}
+    marks = N.classes_of(N._marks(df, "doc_id", "text"))
+    classes = {r.cls: r["first"] for r in marks.collect()}
     assert old[0][0] > len(classes)
     found = []
     for rows in (old[0], (1, 3)):
@@ -55,8 +42,8 @@ def test_small_tiles_and_parts_find_the_same(spark):
         at = {c: k for k, c in enumerate(sorted(classes))}
         found.append(union_find(len(at), [(at[e.a], at[e.b]) for e in edges]))
     assert found[0] == found[1]
-    members = marks.where("n > 0").selectExpr("0L AS component", "cls", "n", "first")
-    want = {min(c) for c in _groups(brute_force(texts)).values()}
+    members = marks.where("n > 0").selectExpr("0L AS component", "cls", "digest", "n", "first")
+    want = {min(c) for c in _groups(similar_texts(texts)).values()}
     for indexed in (old[2], 500):
         edges = N.similar_edges(df, members, indexed).collect()
         ids = {c: i for c, i in classes.items()}
@@ -84,7 +71,7 @@ def test_a_similar_pair_beyond_three_bits_is_one(spark):
 def test_corpus_tables(spark, sf):
     docs = read_table(spark, sf, "documents")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    want = {rows[k][0] for k in brute_force([t for _, t in rows])}
+    want = {rows[k][0] for k in similar_texts([t for _, t in rows])}
     assert {r.doc_id for r in N.keep_one(docs).collect()} == want
 
 
@@ -93,3 +80,12 @@ def test_odd_rows(spark):
     got = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(repr, ((r.doc_id, (r.text or "").strip()) for r in got))) == sorted(map(repr, [(4, "a b c d e f"), (2, ""), (7, "x"), (7, "y"), (None, "only null")]))
     assert N.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_names_that_the_stage_uses(spark):
+    rows = [(1, "a b c d e f", 7), (2, "a b c d e f", 8), (3, "other", 9), (3, "other", 9), (3, "third", 5)]
+    names = ("_own", "_n", "_id", "_cls", "row", "first", "digest", "own", "place", "many", "cls", "component")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").selectExpr("*", *[f"n * {k} AS {c}" for k, c in enumerate(names)])
+    got = N.keep_one(df).collect()
+    assert sorted((r.doc_id, r.text, r.n) for r in got) == [(1, "a b c d e f", 7), (3, "other", 9), (3, "third", 5)]
+    assert all(r[c] == r.n * k for r in got for k, c in enumerate(names))

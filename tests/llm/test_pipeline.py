@@ -6,7 +6,7 @@ import corpus_pipeline as P
 from logsluice.llm import mixing, toxicity
 from logsluice.llm.common import labelled_sample, read_table, write_shared
 from logsluice.llm.queries import QUERIES
-from helpers import near_components, removed_words, simhash, words
+from helpers import removed_words, similar_texts, words
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +39,7 @@ def test_toxic_documents_go(spark, sf, stages):
 def test_one_of_each_group_stays(stages):
     before, after = stages[1]
     docs = sorted(rows(before), key=lambda r: r["doc_id"])
-    component = near_components([simhash(r["text"]) for r in docs])
+    component = similar_texts([r["text"] for r in docs])
     assert sorted(rows(after), key=lambda r: r["doc_id"]) == [docs[k] for k in sorted(set(component))]
 
 
@@ -97,5 +97,5 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "passages", "mixing", "packing"]
