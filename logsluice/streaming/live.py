@@ -108,35 +108,74 @@ def applied(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/applied")
 
 
+def _batches(spark: SparkSession, folder: str, below: int | None = None) -> list[int]:
+    named = [int(n.removeprefix("batch=")) for n in T.children(spark, folder) if T.complete(spark, f"{folder}/{n}")]
+    return sorted(n for n in named if below is None or n < below)
+
+
+def _kept(spark: SparkSession, folder: str) -> int:
+    """The last batch that was cut down to what is retained, -1 before the first."""
+    done = [int(n) for n in T.children(spark, f"{folder}/kept") if all(T.complete(spark, f"{folder}/{k}/{n}") for k in ("kept", "waiting"))]
+    return max(done, default=-1)
+
+
+def _live_rows(spark: SparkSession, folder: str, kind: str, kept: str, below: int | None = None) -> DataFrame | None:
+    """Retained rows and those of later batches, with their ``batch``."""
+    last = _kept(spark, folder)
+    parts = [spark.read.parquet(f"{folder}/{kept}/{last:08d}")] if last >= 0 else []
+    for n in _batches(spark, f"{folder}/{kind}", below):
+        if n > last:
+            parts.append(spark.read.parquet(f"{folder}/{kind}/batch={n}").withColumn("batch", F.lit(n).cast("bigint")))
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def _newest(events: DataFrame, retain: int, order: str) -> DataFrame:
+    return events.orderBy(F.desc("batch"), F.desc(order), "source_id").limit(retain)
+
+
+def _latest_preview(pending: DataFrame) -> DataFrame:
+    return pending.groupBy("source_id").agg(F.max_by(F.struct("*"), F.struct("batch", "line_start", "line_end")).alias("p")).select("p.*")
+
+
 def live_sink(folder: str, retain: int = 2000, order: str = "line_start") -> Callable[[DataFrame, int], None]:
-    """Snapshot table of a framed stream: retained events beside the latest pending previews.
+    """Snapshot table of a framed stream: the newest ``retain`` events beside the latest pending previews.
 
-    Events are appended per batch; ``live_view`` reads the newest ones.
+    Each batch is a folder of its own, so one that is run again replaces itself. When ``FAN`` finished batches lie there, they are
+    cut down to what is retained and go; ``live_view`` reads what is kept and the batches since.
     """
-
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done = _batches(spark, f"{folder}/events", batch_id)
+        if len(done) >= FAN:
+            last = done[-1]
+            _newest(_live_rows(spark, folder, "events", "kept", batch_id), retain, order).write.mode("overwrite").parquet(f"{folder}/kept/{last:08d}")
+            _latest_preview(_live_rows(spark, folder, "pending", "waiting", batch_id)).write.mode("overwrite").parquet(f"{folder}/waiting/{last:08d}")
+            for kind in ("events", "pending"):
+                for n in done:
+                    T.remove(spark, f"{folder}/{kind}/batch={n}")
+            for kind in ("kept", "waiting"):
+                for n in T.children(spark, f"{folder}/{kind}"):
+                    if int(n) < last:
+                        T.remove(spark, f"{folder}/{kind}/{n}")
         batch = batch.persist()
         try:
-            batch.where("kind = 'event'").write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
             batch.where("kind = 'pending'").write.mode("overwrite").parquet(f"{folder}/pending/batch={batch_id}")
+            batch.where("kind = 'event'").write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
         finally:
             batch.unpersist()
 
     return write
 
 
-def live_view(spark, folder: str, retain: int = 2000) -> DataFrame:
+def live_view(spark, folder: str, retain: int = 2000, order: str = "line_start") -> DataFrame:
     """Newest events, plus pending previews whose event has not closed yet."""
-    events = spark.read.parquet(f"{folder}/events")
-    latest = (
-        spark.read.parquet(f"{folder}/pending").groupBy("source_id")
-        .agg(F.max_by(F.struct("*"), F.struct("batch", "line_start", "line_end")).alias("p")).select("p.*")
-    )
-    closed = events.select("source_id", "line_start")
-    waiting = latest.join(closed, ["source_id", "line_start"], "left_anti")
-    return (
-        events.unionByName(waiting).orderBy(F.desc("batch"), F.desc("line_start")).limit(retain)
-    )
+    events = _live_rows(spark, folder, "events", "kept")
+    latest = _latest_preview(_live_rows(spark, folder, "pending", "waiting"))
+    waiting = latest.join(events.select("source_id", "line_start"), ["source_id", "line_start"], "left_anti")
+    return _newest(events.unionByName(waiting), retain, order)
 
 
 def live_counters(view: DataFrame) -> DataFrame:

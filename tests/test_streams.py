@@ -166,3 +166,22 @@ def test_a_round_asks_for_new_groups_only(spark):
     # Twelve, the eight new ones, twenty with another count, and those of the first question that have expired or gone.
     assert seen[:3] == [(12, 0, 12), (20, 12, 20), (40, 0, 20)]
     assert seen[3][0] > 40 and seen[3][2] == 20 and len(T.children(spark, folder)) <= 3
+
+
+def test_live_table_keeps_what_it_retains(spark, monkeypatch):
+    """Nine batches cut down by threes: the newest ten events and the last preview of each source that is still open."""
+    monkeypatch.setattr(L, "FAN", 3)
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/live-{random.random()}"
+    sink, events, previews = L.live_sink(folder, retain=10), [], {}
+    for n in range(9):
+        rows = [("event", f"s{k}", 10 * n + k, 10 * n + k) for k in range(4)] + [("pending", f"s{n % 3}", 10 * n + 7, 10 * n + 8)]
+        events += [(n, *r[1:3]) for r in rows[:4]]
+        previews[f"s{n % 3}"] = 10 * n + 7
+        df = spark.createDataFrame(rows, "kind string, source_id string, line_start long, line_end long")
+        for _ in range(2 if n in (3, 4) else 1):
+            sink(df, n)
+        assert len(T.children(spark, f"{folder}/events")) <= 4 and len(T.children(spark, f"{folder}/kept")) <= 1
+    got = [(r.kind, r.source_id, r.line_start) for r in L.live_view(spark, folder, 10).collect()]
+    both = [(b, at, "event", s) for b, s, at in events] + [(n, previews[f"s{n % 3}"], "pending", f"s{n % 3}") for n in (6, 7, 8)]
+    assert sorted(got) == sorted((k, s, at) for b, at, k, s in sorted(both, reverse=True)[:10])
+    assert [k for k, *_ in got].count("pending") >= 2
