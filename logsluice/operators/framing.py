@@ -9,8 +9,6 @@ five possible entry states. Such functions compose, so all blocks learn their en
 of compositions, however long a stretch without a header is. What else crosses blocks are sums and last
 values; windows carry these alone, never the letters.
 
-Lines are cleaned, redacted and given their letter once and written; letters and texts are then read apart.
-
 Letter of a line = what happens to it:
   ``h``/``H`` starts an event (H: and opens stack context);  ``p``/``P`` the same for a Go start
   ``c``/``C`` continues any event (C: explicit stack marker)
@@ -175,35 +173,30 @@ def _private_flags(entered: Column) -> Column:
     )
 
 
-def prepare(lines: DataFrame, with_json: bool = True) -> DataFrame:
-    """Lines with their block, letter, key marker and redacted text, written once."""
-    d = line_letters(stamp_lines(with_block(identify(lines), "line_no", LINES_PER_BLOCK)))
-    blank = F.col("body") == ""
-    d = d.withColumn("letter", F.when(blank & ~F.col("trunc"), ".").when(
+def letter_rows(stamped: DataFrame) -> DataFrame:
+    """(source_id, block, line_no, letter, mark) of each line."""
+    d = line_letters(stamped)
+    letter = F.when((F.col("body") == "") & ~F.col("trunc"), ".").when(
         F.col("py"), F.translate("letter", "CcHh", "YYZZ")
-    ).when(F.col("alt") != F.col("letter"), F.translate("letter", "hsgb", "ijkl")).otherwise(F.col("letter")))
-    d = d.withColumns({"blank": blank, "mark": F.substring(key_mark(), 1, 1)}).drop("alt", "py")
-    d = R.with_redaction(d, "body", with_json)
-    return written(d.select(
-        "source_id", BLOCK, "line_no", "letter", "mark", "blank", "source", "ts_raw", "safe", "trunc", "doubt", "changed",
-        "ambiguous", "source_changed",
-    ), "framed-lines")
+    ).when(F.col("alt") != F.col("letter"), F.translate("letter", "hsgb", "ijkl")).otherwise(F.col("letter"))
+    return d.select("source_id", BLOCK, "line_no", letter.alias("letter"), F.substring(key_mark(), 1, 1).alias("mark"))
 
 
-def block_table(prepared: DataFrame) -> DataFrame:
+def block_table(letters: DataFrame) -> DataFrame:
     """One row per block: where its events start and what it inherits from earlier blocks.
 
     ``flags`` has '1' where an event starts and ``private`` (NULL in blocks untouched by key
     material) '1' on private lines; both are aligned with the lines of the block.
     """
     by = ["source_id", BLOCK]
-    d = prepared.groupBy(*by).agg(
+    d = letters.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct("line_no", "letter", "mark"))).alias("_l"),
         F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("line_no"))).alias("_mark"),
     )
     d = written(d.select(*by, "_mark", F.array_join(F.col("_l.letter"), "").alias("_plain"), F.when(
         F.col("_mark").isNotNull(), F.array_join(F.transform("_l", lambda x: F.coalesce(x["mark"], F.lit("-"))), "")
     ).alias("_marks")), "frame-letters")
+    last_block = d.agg(F.max(BLOCK)).first()[0] or 0
     d = d.join(over_earlier_blocks(d, ["source_id"], BLOCK, {"_earlier": ("last", F.col("_mark"))}), by)
     d = d.withColumn("_entered", F.coalesce(F.col("_earlier") == "B", F.lit(False)))
     touched = F.col("_entered") | F.col("_mark").isNotNull()
@@ -219,11 +212,11 @@ def block_table(prepared: DataFrame) -> DataFrame:
     d = d.join(over_earlier_blocks(d, ["source_id"], BLOCK, {"_py": ("last", F.when(~hollow, ends_py))}), by)
     d = d.withColumn("_s", F.when(
         F.coalesce("_py", F.lit(False)), F.regexp_replace("_s", r"^(\.*)[ijkl]", "$1c")).otherwise(F.col("_s")))
-    d = written(d.select(*by, "private", F.translate(
-        F.regexp_replace("_s", r"([YZ]\.*)[ijkl]", "$1c"), "ijklYZ", "hsgbCH").alias("letters")), "frame-letters")
+    d = d.select(*by, "private", F.translate(
+        F.regexp_replace("_s", r"([YZ]\.*)[ijkl]", "$1c"), "ijklYZ", "hsgbCH").alias("letters"))
     # The state that a source begins in, 4, led through all blocks before.
     entry = F.shiftright("code", 12).bitwiseAND(7).cast("int")
-    d = d.join(composed_before(_exit_code(d), ["source_id"], BLOCK, "code", 5), by).withColumn("entry", entry).drop("code")
+    d = d.join(composed_before(_exit_code(d), ["source_id"], BLOCK, "code", 5, last_block), by).withColumn("entry", entry).drop("code")
     lead = F.expr("CAST(0 AS INT)")
     for state in range(5):
         lead = F.when(
@@ -257,16 +250,16 @@ def block_table(prepared: DataFrame) -> DataFrame:
     )
 
 
-def mark_events(prepared: DataFrame, blocks: DataFrame) -> DataFrame:
+def mark_events(clean: DataFrame, blocks: DataFrame) -> DataFrame:
     """Add the event key of every line that stays: block and position of its event's first line."""
     by = Window.partitionBy("source_id", BLOCK).orderBy("line_no")
     running = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = (
-        prepared.withColumn("_idx", F.row_number().over(by))
+        clean.withColumn("_idx", F.row_number().over(by))
         .join(blocks, ["source_id", BLOCK])
         .withColumn("is_private", F.coalesce(F.expr("substr(private, _idx, 1) = '1'"), F.lit(False)))
         .withColumn("text", F.when(F.col("is_private"), P.KEY_BLOCK_TEXT).otherwise(F.col("safe")))
-        .where(~F.col("blank") | F.col("is_private") | F.col("trunc"))
+        .where((F.col("body") != "") | F.col("is_private") | F.col("trunc"))
         .withColumn("_start", F.expr("substr(flags, _idx, 1) = '1'"))
         .withColumn("size", (F.octet_length("text") + 1).cast("bigint"))
     )
@@ -328,8 +321,9 @@ def assemble(marked: DataFrame) -> DataFrame:
 def frame_events(lines: DataFrame, with_json: bool = True) -> DataFrame:
     """Lines (``source, line_no, raw`` [, ``partial``]) to framed, redacted events.
 
-    Two passes over the prepared lines: one letter per line for the block table, and the text itself,
+    Two passes over the lines: one letter per line for the block table, and the text itself,
     which is shuffled by block and then by event.
     """
-    prepared = prepare(lines, with_json)
-    return assemble(mark_events(prepared, block_table(prepared)))
+    stamped = stamp_lines(with_block(identify(lines), "line_no", LINES_PER_BLOCK))
+    clean = R.with_redaction(stamped, "body", with_json).drop("raw", "partial")
+    return assemble(mark_events(clean, block_table(letter_rows(stamped))))

@@ -173,15 +173,16 @@ def numbered(df: DataFrame, keys: Sequence[str], order: str, carry: Sequence[str
     return out.unionByName(some.select(out.columns))
 
 
-#: Functions composed in one row, and levels of that below the last, which takes what is left of a key.
-FUNCTIONS, LEVELS = 512, 2
+#: Functions composed in one row.
+FUNCTIONS = 512
 
 
-def composed_before(blocks: DataFrame, keys: Sequence[str], block: str, code: str, states: int) -> DataFrame:
+def composed_before(blocks: DataFrame, keys: Sequence[str], block: str, code: str, states: int, last: int | None = None) -> DataFrame:
     """(keys, block, code): the composition, in order, of the functions of all earlier blocks of the key.
 
     A function of ``states`` states is a number, three bits of it per state: that for state s from bit 3 s on. Composing is associative, so
-    blocks are composed in stretches of ``FUNCTIONS``, these again, and each block takes what lies before its stretch.
+    blocks are composed in stretches of ``FUNCTIONS``, these again, until a key is one stretch, and each block takes what lies before
+    its stretch. The number of the ``last`` block, found if not given, says how often that is.
     """
     def then(f: Column, g: Column) -> Column:
         return sum((
@@ -212,8 +213,13 @@ def composed_before(blocks: DataFrame, keys: Sequence[str], block: str, code: st
         return each.select(*keys, F.col("_e.i").alias("_i"), then(F.col("_far"), F.col("_e.p")).alias("_pre"))
 
     keys = list(keys)
+    levels = 0
+    if last is None:
+        last = blocks.agg(F.max(block)).first()[0] or 0
+    while last >= FUNCTIONS:
+        last, levels = last // FUNCTIONS, levels + 1
     rows = blocks.select(*keys, F.col(block).cast("bigint").alias("_i"), F.col(code).cast("bigint").alias("_f"))
-    return before(rows, LEVELS).select(*keys, F.col("_i").alias(block), F.col("_pre").alias(code))
+    return before(rows, levels).select(*keys, F.col("_i").alias(block), F.col("_pre").alias(code))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
