@@ -87,17 +87,21 @@ class Model:
         return total if found else -math.inf
 
     def score(self, text: str | None) -> float:
-        """The noisy-or of the leak and the sentences' scores."""
-        log_clean = -_softplus(self.leak)
+        return self.judge(text)[0]
+
+    def judge(self, text: str | None, at: float = OFFENDS) -> tuple[float, list[str]]:
+        """The noisy-or of the leak and the sentences' scores, and the sentences that score ``at`` or more."""
+        log_clean, limit, found = -_softplus(self.leak), math.log(at / (1 - at)), []
         for s in sentences(text):
             z = self.logit(s)
             if z > -math.inf:
                 log_clean -= _softplus(z)
-        return -math.expm1(log_clean)
+                if z >= limit:
+                    found.append(s)
+        return -math.expm1(log_clean), found
 
     def offending(self, text: str | None, at: float = OFFENDS) -> list[str]:
-        limit = math.log(at / (1 - at))
-        return [s for s in sentences(text) if self.logit(s) >= limit]
+        return self.judge(text, at)[1]
 
 
 def _softplus(z: float) -> float:
@@ -159,9 +163,15 @@ def score_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0)  # taken one at a time, as a batch of texts is large
-            columns = b.columns[1:] + [pa.array((model.score(t.as_py()) for t in texts), pa.float64())]
+            scores, found = [], []
+            for t in texts:
+                score, some = model.judge(t.as_py())
+                scores.append(score)
+                if with_sentences:
+                    found.append(some)
+            columns = b.columns[1:] + [pa.array(scores, pa.float64())]
             if with_sentences:
-                columns.append(pa.array((model.offending(t.as_py()) for t in texts), pa.list_(pa.string())))
+                columns.append(pa.array(found, pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays(columns, out.fieldNames())
 
     kept = documents.select([c for c in keep if c not in ("score", "sentences")])
