@@ -184,15 +184,16 @@ def with_redaction(df: DataFrame, text: str, with_json: bool = True) -> DataFram
 def safe_source(source) -> Column:
     """The source record with secret-looking values scrubbed, field by field.
 
-    Sources are short and nearly always clean, so one test over all fields guards the rewrite.
+    Sources are short and nearly always clean, so one test over all fields guards the rewrite. The scrubbed
+    fields are bound to a name: an expression used by each field would scrub all of them again for each.
     """
     source = _col(source)
     texts = [f.name for f in SOURCE.fields if f.dataType.simpleString() == "string"]
     scrubbed = F.transform(F.array(*[source[n] for n in texts]), scrub_secrets)
-    rebuilt = F.struct(*[
-        (scrubbed[texts.index(f.name)] if f.name in texts else source[f.name]).alias(f.name)
+    rebuilt = F.element_at(F.transform(F.array(scrubbed), lambda done: F.struct(*[
+        (done[texts.index(f.name)] if f.name in texts else source[f.name]).alias(f.name)
         for f in SOURCE.fields
-    ])
+    ])), 1)
     suspect = F.concat_ws("\n", *[source[n] for n in texts]).rlike(_CANDIDATE)
     return F.when(suspect, rebuilt).otherwise(source)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logsluice.functions import classify as C, redact as R, templates as M, text as X
-from logsluice.plans.adapters import source_struct
+from logsluice.plans.adapters import source_struct, spread
 
 
 def redact(spark, *texts):
@@ -158,3 +158,18 @@ def test_classic_runs_and_protected_neighbours(spark):
         "=<value> a==5 a=b=5 404 <value> <value>", "HTTP/2 7 HTTP/2 200",
         "retry-count=3 Re.Sult:9 12 done <value> <value> <value>", "Completed 7 then <value> status=200 500 <value>",
     ]
+
+
+def test_a_source_is_scrubbed_once(spark):
+    """Ten fields, one rewrite of four replacements: each field's own copy of it would do the work ten times over."""
+    df = spark.range(3).select(source_struct(type="file", pod="svc token=t0ps3cret").alias("source"))
+    safe = df.select(R.safe_source("source").alias("s"))
+    assert safe._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 4
+    assert {r.s.pod for r in safe.collect()} == {'svc token="[REDACTED]"'}
+
+
+def test_spread_keeps_rows_that_come_twice(spark):
+    df = spark.createDataFrame([(1,), (1,), (None,)] * 50, "x long").coalesce(1)
+    wide = spread(df)
+    assert wide.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and spread(wide) is wide
+    assert sorted(map(repr, wide.collect())) == sorted(map(repr, df.collect()))
