@@ -40,10 +40,14 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: documents are left out or repeated, a source's last one cut."""
-    mixed = mixing.mix(mixing.with_size(docs).drop("source_size")).withColumnRenamed("text", "_before")
-    each = mixing.mixed_texts(mixed.withColumn("text", F.col("_before")))
-    return _with_text(each, F.col("text"), F.col("text") != F.col("_before"), docs.columns)
+    """Sources at their target weights, in the order of the schedule: documents are left out or repeated, a source's last one cut.
+
+    What a document gives is what the scheduled blocks of its source hold of it; it comes where the first of them does.
+    """
+    mixed, slots = mixing.scheduled(mixing.with_size(docs).drop("source_size"))
+    each = mixing.mixed_texts(mixed.withColumnRenamed("text", "_before").withColumn("text", F.col("_before")))
+    changed = _with_text(each, F.col("text"), F.col("text") != F.col("_before"), [*docs.columns, "slot"])
+    return mixing.in_slot_order(changed, slots).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

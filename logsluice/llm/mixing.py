@@ -180,19 +180,27 @@ def _part(words_: Column, copy: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.col("size"), words_ - copy * F.col("size"))).cast("long")
 
 
+def _scheduled_places(laid: _Layout, slots: int | None) -> DataFrame:
+    """Per place and pass e the words that its blocks have of it, ``_p{e}``, and the first slot with one of these, ``_s{e}``."""
+    passes = range(laid.max_repeat)
+    got = laid.pieces(slots or slots_for(laid.targets)).groupBy(*_PLACE).pivot("pass", list(passes)).agg(
+        F.sum("words").alias("p"), F.min("slot").alias("s")
+    )
+    got = got.toDF(*[f"_x{c}" for c in _PLACE], *[f"_{n}{e}" for e in passes for n in "ps"])
+    met = [laid.places[c].eqNullSafe(got[f"_x{c}"]) for c in _PLACE]
+    return write_shared(laid.places.join(got, met[0] & met[1] & met[2] & met[3], "left").select(
+        *_PLACE, "many", "source_size", "target", *[F.coalesce(f"_p{e}", F.lit(0).cast("long")).alias(f"_p{e}") for e in passes],
+        *[f"_s{e}" for e in passes],
+    ), "mix-taken")
+
+
 def taken_words(
     sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2, slots: int | None = None, seed: str = "mix",
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) per row of ``sized`` (doc_id, source, size): the words of its blocks."""
     laid = _Layout(sized, weights, share, max_repeat, seed)
-    got = laid.pieces(slots or slots_for(laid.targets)).groupBy(*_PLACE).pivot("pass", list(range(max_repeat))).agg(F.sum("words"))
     names = [f"_p{e}" for e in range(max_repeat)]
-    got = got.toDF(*[f"_x{c}" for c in _PLACE], *names)
-    met = [laid.places[c].eqNullSafe(got[f"_x{c}"]) for c in _PLACE]
-    places = laid.places.join(got, met[0] & met[1] & met[2] & met[3], "left").select(
-        *_PLACE, "many", "source_size", "target", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in names]
-    )
-    places = write_shared(places, "mix-taken")
+    places = _scheduled_places(laid, slots).drop(*[f"_s{e}" for e in range(max_repeat)])
     several = places.where("many > 1")
     sides = several.select(*[F.col(c).alias(f"_x{c}") for c in _PLACE], "source_size", "target", *names)
     copies = laid.rows.join(sides, [laid.rows[c].eqNullSafe(sides[f"_x{c}"]) for c in _PLACE]).drop(*[f"_x{c}" for c in _PLACE])
@@ -245,13 +253,55 @@ def mix(
     return passes.select(*[F.col("_row").getField(c).alias(c) for c in given], "source_size", "target", F.col("_passes").alias("passes"), total.alias("taken"))
 
 
+def scheduled(
+    sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_repeat: int = 2, slots: int | None = None, seed: str = "mix",
+) -> tuple[DataFrame, int]:
+    """(What ``mix`` returns, by the schedule, and the schedule's number of slots.)
+
+    The words of a row are those of the blocks that slots were joined to. ``slots`` has for each pass the first slot with one of them, null
+    where the pass takes none; ``in_slot_order`` orders by it.
+    """
+    laid = _Layout(sized, weights, share, max_repeat, seed)
+    slots = slots or slots_for(laid.targets)
+    places = _scheduled_places(laid, slots)
+    names = [f"_p{e}" for e in range(max_repeat)]
+    rows = sized.select(F.struct("*").alias("_row"), source_key(F.col("source")).alias("_src"), _key(seed).alias("_key"), "doc_id", F.col("size").cast("long").alias("size"))
+    sides = places.withColumnsRenamed({c: f"_x{c}" for c in _PLACE})
+    met = [rows[c].eqNullSafe(sides[f"_x{c}"]) for c in _PLACE]
+    rows = rows.join(sides, met[0] & met[1] & met[2] & met[3]).drop(*[f"_x{c}" for c in _PLACE])
+    # Only where a pass takes some of equal rows and not all does it matter which.
+    whole = F.col("size") * F.col("many")
+    apart = (F.col("many") > 1) & F.exists(F.array(*names), lambda n: (n > 0) & (n < whole))
+    none = F.lit(0).cast("long")
+    if places.where(apart).limit(1).count():
+        rows = rows.where(~apart).withColumn("_copy", none).unionByName(_numbered(rows.where(apart)))
+    else:
+        rows = rows.withColumn("_copy", none)
+    passes = F.array(*[F.when(F.col(n) < whole, _part(F.col(n), F.col("_copy"))).otherwise(F.col("size")) for n in names])
+    rows = rows.withColumn("_passes", passes)
+    first = F.array(*[F.when(F.col("_passes")[e] > 0, F.col(f"_s{e}")) for e in range(max_repeat)])
+    total = F.aggregate("_passes", none, lambda a, x: a + x)
+    given = [c for c in sized.columns if c not in ("source_size", "target", "taken", "passes", "slots")]
+    return rows.select(
+        *[F.col("_row").getField(c).alias(c) for c in given], "source_size", "target", F.col("_passes").alias("passes"), total.alias("taken"), first.alias("slots")
+    ), slots
+
+
+def in_slot_order(each: DataFrame, slots: int) -> DataFrame:
+    """``each`` sorted by ``slot``: from partition to partition, and inside them. Slots are alike in words, so partitions are too."""
+    wide = min(4096, max(512, slots // 1024))
+    return each.repartitionById(slots // wide + 1, F.floor(F.col("slot") / wide).cast("int")).sortWithinPartitions("slot")
+
+
 def mixed_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each pass in which ``mix`` takes words of a document, its text cut to those words.
+    """A row for each pass in which ``mix`` or ``scheduled`` takes words of a document, its text cut to those words; the latter's with their ``slot``.
 
     All but the last document of a source are taken whole and keep their text as it is.
     """
-    rest = [c for c in mixed.columns if c not in (text, "passes")]
-    each = mixed.select(*rest, text, F.explode("passes").alias("_n")).where("_n > 0")
+    rest = [c for c in mixed.columns if c not in (text, "passes", "slots")]
+    if "slots" in mixed.columns:
+        rest.append(F.element_at("slots", F.col("_e") + 1).alias("slot"))
+    each = mixed.select("*", F.posexplode("passes").alias("_e", "_n")).select(*rest, text, "_n").where("_n > 0")
     some = F.array_join(F.slice(words(F.col(text)), 1, F.col("_n").cast("int")), " ")
     return each.withColumn(text, F.when(F.col("_n") < F.col("size"), some).otherwise(F.col(text))).drop("_n")
 

@@ -139,3 +139,39 @@ def test_grid_is_one_rule(spark):
         sized = spark.createDataFrame([(1, "a", words_)], "doc_id long, source string, size long")
         targets = M.source_targets(sized, share=1.0)
         assert M.slots_for(targets) == slots
+
+
+def test_scheduled_rows_are_the_mix_in_slot_order(spark):
+    """Words by the blocks of the schedule are those of the hash order, and rows come where the first of their blocks does."""
+    _, df = corpus(spark)
+    copies = spark.createDataFrame([(5, "copies", f"one two {k}", "x", 1) for k in range(400)], "doc_id long, source string, text string, target string, _x int")
+    sized = M.with_size(df.unionByName(copies))
+    mixed, slots = M.scheduled(sized, slots=1 << 6)
+    assert slots == 1 << 6
+    pick = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    assert sorted(map(repr, mixed.select(pick).collect())) == sorted(map(repr, M.mix(sized).select(pick).collect()))
+    first = {}
+    for p in M.training_order(sized, slots=1 << 6).collect():
+        at = (p.doc_id, p.source)
+        first[at] = min(first.get(at, p.slot), p.slot)
+    found = M.in_slot_order(M.mixed_texts(mixed), slots).collect()
+    assert [r.slot for r in found] == sorted(r.slot for r in found)
+    least = {}
+    for r in found:
+        least[r.doc_id, r.source] = min(least.get((r.doc_id, r.source), r.slot), r.slot)
+    assert least == first
+    assert sum(len(words(r.text)) for r in found) == sum(r.taken for r in mixed.collect())
+
+
+def test_the_pipeline_mixes_by_the_schedule(spark):
+    import corpus_pipeline as P
+
+    rows = [(k, "w " * (40 + k), "en", "abc"[k % 3], 80 + 2 * k) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in P.mix_sources(spark, docs, "").collect()]
+    want = [r.doc_id for r in M.in_slot_order(M.mixed_texts(M.scheduled(M.with_size(docs))[0]), M.scheduled(M.with_size(docs))[1]).collect()]
+    starts = {}
+    for p in M.training_order(M.with_size(docs)).collect():
+        starts[p.doc_id] = min(starts.get(p.doc_id, p.slot), p.slot)
+    firsts = [starts[i] for k, i in enumerate(got) if i not in got[:k]]
+    assert sorted(got) == sorted(want) and firsts == sorted(firsts)
