@@ -70,7 +70,8 @@ class FrameLines(StatefulProcessor):
         self.runs = SortedRuns(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        st = dict(zip(_NAMES, self.state.get() if self.state.exists() else _FRESH))
+        known = self.state.exists()
+        st = dict(zip(_NAMES, self.state.get() if known else _FRESH))
         ended = False
         for lines in self.runs.in_order(rows, ["line_no"]):
             out = []
@@ -82,7 +83,8 @@ class FrameLines(StatefulProcessor):
         if self.preview and st["has"]:
             yield pd.DataFrame([self._row(key, "pending", st)], columns=[c.split()[0] for c in _OUT.split(", ")])
         if ended:  # nothing of a finished source is kept
-            self.state.clear()
+            if known:
+                self.state.clear()
         else:
             self.state.update(tuple(st[n] for n in _NAMES))
 

@@ -1,7 +1,8 @@
 """A trigger's rows of one key in order, however many there are.
 
-Spark hands them over in frames without an order. One frame is sorted where it is. More than one become sorted runs in the state store, cut
-into chunks, and are merged chunk by chunk; nothing is left in the store when the trigger ends.
+Spark hands them over in frames without an order. Frames are put together up to a bound on rows and bytes; what that holds is sorted where it is. More
+than that become sorted runs in the state store, cut into chunks, and are merged chunk by chunk, so many at a time: with more runs some are first
+merged into longer ones. Each row is then written and read as often as there are levels; nothing is left in the store when the trigger ends.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessorHandle
 
-#: Rows of a chunk; a merge holds one chunk of each run.
-CHUNK = 512
+#: Rows of a chunk at most, and about how many bytes; a merge holds one chunk of each run.
+CHUNK, CHUNK_BYTES = 2048, 1 << 19
+#: Rows and bytes that are sorted at once.
+RUN_ROWS, RUN_BYTES = 1 << 16, 1 << 25
+#: Runs that are merged at once.
+FAN_IN = 64
 
 
 def _pack(frame: pd.DataFrame) -> bytes:
@@ -30,47 +35,82 @@ def _unpack(data: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(data).read_all().to_pandas()
 
 
+def _size(frame: pd.DataFrame) -> int:
+    """About the bytes that a frame takes."""
+    return pa.Table.from_pandas(frame, preserve_index=False).nbytes
+
+
 class SortedRuns:
-    def __init__(self, handle: StatefulProcessorHandle, chunk: int = CHUNK):
+    def __init__(self, handle: StatefulProcessorHandle, chunk: int = CHUNK, run_rows: int = RUN_ROWS, fan_in: int = FAN_IN):
         self.map = handle.getMapState("runs", "run int, chunk int", "rows binary")
-        self.chunk = chunk
+        self.chunk, self.run_rows, self.fan_in = chunk, run_rows, fan_in
 
     def in_order(self, rows: Iterator[pd.DataFrame], order: Sequence[str]) -> Iterator[pd.DataFrame]:
         """Frames that follow each other in ``order``; rows that tie keep the order in which they came."""
         order = list(order)
-        frames = (f for f in rows if len(f))
-        ahead = [f for _, f in zip(range(2), frames)]
+        held = self._held(f for f in rows if len(f))
+        ahead = [f for _, f in zip(range(2), held)]
         if len(ahead) < 2:
-            yield from (f.sort_values(order, kind="stable") for f in ahead)
+            yield from (f if len(f) == 1 else f.sort_values(order, kind="stable") for f in ahead)
             return
-        sizes = []
-        for run, frame in enumerate(chain(ahead, frames)):
-            frame = frame.sort_values(order, kind="stable")
-            cuts = range(0, len(frame), self.chunk)
-            for k, lo in enumerate(cuts):
-                self.map.updateValue((run, k), (_pack(frame.iloc[lo:lo + self.chunk]),))
-            sizes.append(len(cuts))
+        # Runs as (number, chunks), in the order in which their rows came.
+        runs = [(n, self._store(n, [f.sort_values(order, kind="stable")])) for n, f in enumerate(chain(ahead, held))]
         del ahead
-        yield from self._merged(sizes, order)
+        free = len(runs)
+        while len(runs) > self.fan_in:
+            longer = []
+            for lo in range(0, len(runs), self.fan_in):
+                some = runs[lo:lo + self.fan_in]
+                longer.append((free, self._store(free, self._merged(some, order))) if len(some) > 1 else some[0])
+                free += 1
+            runs = longer
+        yield from self._merged(runs, order)
+
+    def _held(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Frames put together up to the bounds."""
+        ahead = [f for _, f in zip(range(2), frames)]
+        if len(ahead) < 2:
+            yield from ahead
+            return
+        some, n, size = [], 0, 0
+        for f in chain(ahead, frames):
+            more = _size(f)
+            if some and (n + len(f) > self.run_rows or size + more > RUN_BYTES):
+                yield pd.concat(some)
+                some, n, size = [], 0, 0
+            some.append(f)
+            n, size = n + len(f), size + more
+        yield pd.concat(some)
+
+    def _store(self, run: int, frames: Iterator[pd.DataFrame]) -> int:
+        """The number of chunks that the frames of a run were cut into."""
+        k = 0
+        for frame in frames:
+            step = max(1, min(self.chunk, CHUNK_BYTES * len(frame) // max(1, _size(frame))))
+            for lo in range(0, len(frame), step):
+                self.map.updateValue((run, k), (_pack(frame.iloc[lo:lo + step]),))
+                k += 1
+        return k
 
-    def _merged(self, sizes: list[int], order: list[str]) -> Iterator[pd.DataFrame]:
-        taken, heads, keys = [0] * len(sizes), [None] * len(sizes), [[] for _ in sizes]
+    def _merged(self, runs: list[tuple[int, int]], order: list[str]) -> Iterator[pd.DataFrame]:
+        taken, heads, keys = [0] * len(runs), [None] * len(runs), [[] for _ in runs]
         while True:
-            for run, n in enumerate(sizes):
-                if not keys[run] and taken[run] < n:
-                    at = (run, taken[run])
-                    heads[run] = _unpack(self.map.getValue(at)[0])
-                    self.map.removeKey(at)
-                    keys[run] = list(heads[run][order].itertuples(index=False, name=None))
-                    taken[run] += 1
+            for at, (run, n) in enumerate(runs):
+                if not keys[at] and taken[at] < n:
+                    key = (run, taken[at])
+                    heads[at] = _unpack(self.map.getValue(key)[0])
+                    self.map.removeKey(key)
+                    keys[at] = list(heads[at][order].itertuples(index=False, name=None))
+                    taken[at] += 1
             # Rows up to the least last key of the runs that go on are complete.
-            ends = [keys[r][-1] for r, n in enumerate(sizes) if taken[r] < n]
+            ends = [keys[at][-1] for at, (_, n) in enumerate(runs) if taken[at] < n]
+            end = min(ends) if ends else None
             parts = []
-            for run, own in enumerate(keys):
-                cut = bisect_right(own, min(ends)) if ends else len(own)
+            for at, own in enumerate(keys):
+                cut = bisect_right(own, end) if ends else len(own)
                 if cut:
-                    parts.append(heads[run].iloc[:cut])
-                    heads[run], keys[run] = heads[run].iloc[cut:], own[cut:]
+                    parts.append(heads[at].iloc[:cut])
+                    heads[at], keys[at] = heads[at].iloc[cut:], own[cut:]
             if parts:
                 yield pd.concat(parts).sort_values(order, kind="stable")
             if not ends:

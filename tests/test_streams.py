@@ -44,6 +44,37 @@ def test_frames_come_in_order(frames, size, chunk):
     assert not runs.map.held
 
 
+def test_many_frames_are_few_runs_merged_so_many_at_a_time():
+    """A merge that looked at every frame for every chunk took time with the square of the rows."""
+    class Counted(_Map):
+        open = set()
+        most = reads = 0
+
+        def getValue(self, key):
+            Counted.open.add(key[0])
+            Counted.most, Counted.reads = max(Counted.most, len(Counted.open)), Counted.reads + 1
+            return super().getValue(key)
+
+        def removeKey(self, key):
+            super().removeKey(key)
+            if not any(run == key[0] for run, _ in self.held):
+                Counted.open.discard(key[0])
+
+    class Handle:
+        def getMapState(self, *_):
+            return Counted()
+
+    rng = random.Random(5)
+    order = list(range(6000))
+    rng.shuffle(order)
+    parts = [pd.DataFrame({"ts_s": 0, "arrival": order[lo:lo + 10]}) for lo in range(0, 6000, 10)]
+    runs = OR.SortedRuns(Handle(), 25, run_rows=100, fan_in=8)
+    got = [a for f in runs.in_order(iter(parts), ["ts_s", "arrival"]) for a in f["arrival"]]
+    assert got == sorted(order) and not runs.map.held
+    # Sixty runs in two levels: each row is read twice, eight runs at a time.
+    assert Counted.most <= 8 and Counted.reads <= 2 * (6000 // 25 + 60)
+
+
 def source(path):
     return F.struct(*[(F.lit("file") if f.name == "type" else path if f.name == "path" else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.SOURCE.fields])
 
