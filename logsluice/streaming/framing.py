@@ -2,7 +2,8 @@
 
 Text work (repair, stamps, letters, redaction) is the same JVM-side projection as in batch; the
 stateful step only follows letters. A pending event closes at the next header or at the end
-marker of its source, never on a quiet timer.
+marker of its source, never on a quiet timer. Sources are dealt to groups, as calling Python for each of very many short ones
+takes far longer than following their lines.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ _OUT = (
     "line_end bigint, line_count bigint, truncated boolean, sensitive boolean, "
     "parse_uncertain boolean, out_of_order bigint"
 )
+#: Groups that sources are dealt to. Part of a checkpoint: a stream goes on with the number it began with.
+GROUPS = 512
 _FRESH = (False, False, False, False, False, None, None, None, 0, 0, 0, False, False, False, None, 0)
 
 
@@ -60,33 +63,44 @@ def _clip(text: str, limit: int) -> str:
 
 
 class FrameLines(StatefulProcessor):
-    """Follows line letters of one source."""
+    """Follows line letters of the sources of a group, one source after the other."""
 
     def __init__(self, preview: bool):
         self.preview = preview
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("frame", _STATE)
+        self.state = handle.getMapState("frames", "source_id string", _STATE)
         self.runs = SortedRuns(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.exists()
-        st = dict(zip(_NAMES, self.state.get() if known else _FRESH))
-        ended = False
-        for lines in self.runs.in_order(rows, ["line_no"]):
+        names = [c.split()[0] for c in _OUT.split(", ")]
+        any_known = self.state.exists()
+        source, st, known, ended = None, None, False, False
+        for lines in self.runs.in_order(rows, ["source_id", "line_no"]):
             out = []
             for r in lines.itertuples(index=False):
+                if r.source_id != source:
+                    out += self._leave(source, st, known, ended)
+                    source = r.source_id
+                    known = any_known and self.state.containsKey((source,))
+                    st = dict(zip(_NAMES, self.state.getValue((source,)) if known else _FRESH))
                 ended = bool(r.eof)
-                out += self._end(key, st, r) if ended else self._line(key, st, r)
+                out += self._end(source, st, r) if ended else self._line(source, st, r)
             if out:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-        if self.preview and st["has"]:
-            yield pd.DataFrame([self._row(key, "pending", st)], columns=[c.split()[0] for c in _OUT.split(", ")])
-        if ended:  # nothing of a finished source is kept
-            if known:
-                self.state.clear()
-        else:
-            self.state.update(tuple(st[n] for n in _NAMES))
+                yield pd.DataFrame(out, columns=names)
+        out = self._leave(source, st, known, ended)
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    def _leave(self, source, st, known, ended):
+        """Keep the state of a source after its rows of a trigger; its pending event, if that is to be shown."""
+        if source is None:
+            return []
+        if not ended:
+            self.state.updateValue((source,), tuple(st[n] for n in _NAMES))
+        elif known:  # nothing of a finished source is kept
+            self.state.removeKey((source,))
+        return [self._row(source, "pending", st)] if self.preview and st["has"] else []
 
     def _end(self, key, st, r):
         if st["has"] and r.partial:
@@ -137,7 +151,7 @@ class FrameLines(StatefulProcessor):
 
     def _row(self, key, kind, st):
         return (
-            key[0], kind, st["source"], st["ts_raw"], st["text"], st["line_start"], st["line_end"],
+            key, kind, st["source"], st["ts_raw"], st["text"], st["line_start"], st["line_end"],
             st["line_count"], st["truncated"], st["sensitive"], st["uncertain"], st["late"],
         )
 
@@ -170,7 +184,8 @@ def frame_stream(lines: DataFrame, with_json: bool = True, preview: bool = False
         F.coalesce("eof", F.lit(False)).alias("eof"), F.coalesce("partial", F.lit(False)).alias("partial"),
         F.unix_micros(F.try_to_timestamp("ts_raw")).alias("ts_us"),
     )
-    framed = d.groupBy("source_id").transformWithStateInPandas(
+    d = d.withColumn("group", F.pmod(F.xxhash64("source_id"), F.lit(GROUPS)).cast("int"))
+    framed = d.groupBy("group").transformWithStateInPandas(
         statefulProcessor=FrameLines(preview), outputStructType=_OUT, outputMode="Append", timeMode="None",
     )
     framed = framed.withColumn("source", F.from_json("source", S.SOURCE))
