@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from ..operators.scale import BLOCK, LINES_PER_BLOCK, join_keys, running_rank, running_total, with_block
+from ..operators.scale import BLOCK, LINES_PER_BLOCK, join_keys, running_rank, running_total, split_wide, with_block
 from ..session import written
 from . import packed as P
 
@@ -203,11 +203,30 @@ def dedupe_overlapping_fetches(df: DataFrame) -> DataFrame:
     Needs ``fetch, source_id, ts_us, raw, line_no`` [, ``partial``]. A line without a time, or cut short, can't
     be told from a repeat and is always kept; ``unproven_gaps`` reports it. Equal lines at the same instant form a
     multiset: a fetch adds only the occurrences beyond the largest count seen before it. Equal
-    lines inside one fetch are all kept. Groups of copies are counted before any shuffle and
-    ranked block by block, so a huge group of equal lines stays distributed.
+    lines inside one fetch are all kept.
+
+    In the order of fetches a line is new if its place among the equal lines of its fetch lies beyond all places before it; lines
+    move once for that. Groups are first counted by a hash of 64 bits, and those too large for a window are ranked block by
+    block, so a huge group of equal lines stays distributed.
     """
     proven = _proven(df)
-    rows = df.where(proven).withColumn("_digest", F.sha2(F.col("raw").cast("binary"), 256))
+    group = ["source_id", "ts_us", "raw"]
+    small, large = split_wide(df.where(proven).withColumn("_hash", F.xxhash64(*group)), ["_hash"])
+    inside = Window.partitionBy(*group, "fetch").orderBy("line_no")
+    before = Window.partitionBy(*group).orderBy("fetch", "line_no").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = (
+        small.drop("_hash").withColumn("_occ", F.row_number().over(inside))
+        .withColumn("_seen", F.coalesce(F.max("_occ").over(before), F.lit(0)))
+        .where(F.col("_occ") > F.col("_seen")).drop("_occ", "_seen")
+    )
+    if large is not None:
+        fresh = fresh.unionByName(_fresh_by_block(large.drop("_hash")))
+    return fresh.unionByName(df.where(~proven))
+
+
+def _fresh_by_block(lines: DataFrame) -> DataFrame:
+    """The new lines of groups of any size."""
+    rows = lines.withColumn("_digest", F.sha2(F.col("raw").cast("binary"), 256))
     group = ["source_id", "ts_us", "_digest"]
     per_fetch = rows.groupBy(*group, "fetch").agg(F.count(F.lit(1)).alias("_n"))
     earlier = (
@@ -217,11 +236,10 @@ def dedupe_overlapping_fetches(df: DataFrame) -> DataFrame:
     ranked = running_rank(
         with_block(rows, "line_no", LINES_PER_BLOCK), [*group, "fetch"], ["line_no"], "_occ"
     )
-    fresh = (
+    return (
         join_keys(ranked, seen, [*group, "fetch"]).where(F.col("_occ") > F.col("_seen"))
         .drop("_digest", "_occ", "_seen", BLOCK)
     )
-    return fresh.unionByName(df.where(~proven))
 
 
 def _proven(df: DataFrame) -> Column:
