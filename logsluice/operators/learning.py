@@ -45,10 +45,11 @@ def template_evidence(events: DataFrame, key: str = "template_key", order: str =
     """Per family: occurrences, up to eight distinct samples in first-seen order, last verdict."""
     known = M.families(events) if key == "template_key" else events.where(F.col(key).isNotNull())
     d = known.withColumn("_sid", F.xxhash64("text"))
-    per_text = d.groupBy(key, "_sid", "text").agg(
+    # Written, as both results below read it and would each build every template again.
+    per_text = written(d.groupBy(key, "_sid", "text").agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("first"),
         F.max_by("judgment", order).alias("j"), F.max(order).alias("last"),
-    )
+    ).drop("_sid"), "family-texts")
     totals = per_text.groupBy(key).agg(
         F.sum("n").alias("occurrences"), F.max_by("j", "last").alias("current_verdict")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import redact as R, templates as M
 from ..operators import learning as N, rules as TR
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..sources import rulesets as RS
 from . import adapters as A, oracle as O
 from .catalog import query
@@ -138,7 +138,7 @@ def grouping_strategies(spark, sf_dir):
     """Every strategy over structured messages, with reviewed rules taking precedence."""
     ev = documents(spark, sf_dir).withColumn("text", F.col("doc"))
     rules = _template_rules(spark, sf_dir)
-    good = rules.join(RS.template_rule_violations(rules, F.lit(1700000000)).select("id"), "id", "left_anti")
+    good = written(rules.join(RS.template_rule_violations(rules, F.lit(1700000000)).select("id"), "id", "left_anti"), "good-rules")
     out = None
     for strategy in ("off", "exact", "semantic", "drain"):
         some = TR.with_grouping(ev, strategy, rules=None if strategy in ("off", "exact") else good, now=F.lit(1700000000))
@@ -260,8 +260,9 @@ fired AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY template_key
 SELECT template_key, seen, CASE WHEN cur <> 'important' AND n % 2 = 0 THEN 'escalated' ELSE 'reviewed_fields_require_artifact' END AS outcome
 FROM fired JOIN cur USING (template_key) ORDER BY arrival DESC LIMIT 1000"""))
 def learning_decisions(spark, sf_dir):
-    ev = M.families(keyed_events(spark, sf_dir))
-    evidence = N.template_evidence(ev)
+    # Written, as evidence and thresholds read them: masking a message costs far more than reading it.
+    ev = written(M.families(keyed_events(spark, sf_dir)).select("template_key", "version_id", "text", "judgment", "arrival", "ts_s"), "families")
+    evidence = written(N.template_evidence(ev), "evidence")
     review = F.struct(
         F.array().cast("array<string>").alias("free_text_fields"), F.lit("important").alias("importance"),
         F.lit("impact").alias("severity"), F.lit("dependency").alias("category"), F.lit(0.9).alias("confidence"),
