@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from .. import schema as S
 from ..functions import classify as C, redact as R, text as X
 from ..functions.templates import families
+from ..session import written
 from .scale import ROWS_PER_BLOCK, running_rank, with_block
 
 
@@ -33,8 +34,8 @@ def dossiers(events: DataFrame, batch: str = "batch", order: str = "arrival", re
     )
     key = [batch, "ticket"]
     d = d.withColumn("_sid", F.xxhash64("sample"))
-    # First level: one row per distinct sample, combined on the map side.
-    by_sample = d.groupBy(*key, "_sid", "sample").agg(
+    # First level: one row per distinct sample, combined on the map side. It is written, as counts and samples both read it.
+    by_sample = written(d.groupBy(*key, "_sid", "sample").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(order).alias("first"),
         F.max(F.col("baseline.important")).alias("baseline_important"),
@@ -50,7 +51,7 @@ def dossiers(events: DataFrame, batch: str = "batch", order: str = "arrival", re
                 "source",
             ), order,
         ).alias("head"),
-    )
+    ).drop("_sid"), "batch-samples")
     totals = by_sample.groupBy(*key).agg(
         F.sum("n").alias("window_occurrences"),
         F.count(F.lit(1)).alias("_distinct"),
