@@ -22,7 +22,7 @@ def _counted(spark, column):
 
 def test_rows_of_one_file_are_dealt_over_all_cores(spark, tmp_path):
     spark.range(400).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
-    dealt = A.spread(spark.read.parquet(f"{tmp_path}/t.parquet")).where("id >= 0")
+    dealt = A.dealt(spark.read.parquet(f"{tmp_path}/t.parquet")).where("id >= 0")
     parts = dealt.groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) >= spark.sparkContext.defaultParallelism
     assert sum(r["count"] for r in parts) == 400
