@@ -26,7 +26,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import schema as S
 from ..functions import classify as C, patterns as P, redact as R, text as X
 from ..session import written
-from .scale import BLOCK, LINES_PER_BLOCK, composed_before, over_earlier_blocks, with_block
+from .scale import BLOCK, LINES_PER_BLOCK, composed_before, over_earlier_blocks, task_count, with_block
+
+#: What one task sorts of the text: bytes of lines, each with so much for its other columns.
+BYTES_PER_TASK = 128 * 1024 * 1024
+BYTES_BESIDE_LINE = 256
 
 # Runs of continuation letters by entry state; upper case opens stack context.
 _AFTER_STACK = r"[cCsb.]*"
@@ -174,16 +178,19 @@ def _private_flags(entered: Column) -> Column:
 
 
 def letter_rows(stamped: DataFrame) -> DataFrame:
-    """(source_id, block, line_no, letter, mark) of each line."""
+    """(source_id, block, line_no, letter, mark, weight) of each line; the weight is what it takes in a sort of the text."""
     d = line_letters(stamped)
     letter = F.when((F.col("body") == "") & ~F.col("trunc"), ".").when(
         F.col("py"), F.translate("letter", "CcHh", "YYZZ")
     ).when(F.col("alt") != F.col("letter"), F.translate("letter", "hsgb", "ijkl")).otherwise(F.col("letter"))
-    return d.select("source_id", BLOCK, "line_no", letter.alias("letter"), F.substring(key_mark(), 1, 1).alias("mark"))
+    weight = (F.coalesce(F.octet_length("body"), F.lit(0)) + BYTES_BESIDE_LINE).cast("bigint")
+    return d.select(
+        "source_id", BLOCK, "line_no", letter.alias("letter"), F.substring(key_mark(), 1, 1).alias("mark"), weight.alias("weight"),
+    )
 
 
-def block_table(letters: DataFrame) -> DataFrame:
-    """One row per block: where its events start and what it inherits from earlier blocks.
+def block_table(letters: DataFrame) -> tuple[DataFrame, int]:
+    """One row per block: where its events start and what it inherits from earlier blocks; and the tasks to deal the text to.
 
     ``flags`` has '1' where an event starts and ``private`` (NULL in blocks untouched by key
     material) '1' on private lines; both are aligned with the lines of the block.
@@ -192,11 +199,13 @@ def block_table(letters: DataFrame) -> DataFrame:
     d = letters.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct("line_no", "letter", "mark"))).alias("_l"),
         F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("line_no"))).alias("_mark"),
+        F.sum("weight").alias("_weight"),
     )
-    d = written(d.select(*by, "_mark", F.array_join(F.col("_l.letter"), "").alias("_plain"), F.when(
+    d = written(d.select(*by, "_mark", "_weight", F.array_join(F.col("_l.letter"), "").alias("_plain"), F.when(
         F.col("_mark").isNotNull(), F.array_join(F.transform("_l", lambda x: F.coalesce(x["mark"], F.lit("-"))), "")
     ).alias("_marks")), "frame-letters")
-    last_block = d.agg(F.max(BLOCK)).first()[0] or 0
+    last_block, weight = d.agg(F.max(BLOCK), F.sum("_weight")).first()
+    tasks = task_count(d, weight, BYTES_PER_TASK)
     d = d.join(over_earlier_blocks(d, ["source_id"], BLOCK, {"_earlier": ("last", F.col("_mark"))}), by)
     d = d.withColumn("_entered", F.coalesce(F.col("_earlier") == "B", F.lit(False)))
     touched = F.col("_entered") | F.col("_mark").isNotNull()
@@ -216,7 +225,7 @@ def block_table(letters: DataFrame) -> DataFrame:
         F.regexp_replace("_s", r"([YZ]\.*)[ijkl]", "$1c"), "ijklYZ", "hsgbCH").alias("letters"))
     # The state that a source begins in, 4, led through all blocks before.
     entry = F.shiftright("code", 12).bitwiseAND(7).cast("int")
-    d = d.join(composed_before(_exit_code(d), ["source_id"], BLOCK, "code", 5, last_block), by).withColumn("entry", entry).drop("code")
+    d = d.join(composed_before(_exit_code(d), ["source_id"], BLOCK, "code", 5, last_block or 0), by).withColumn("entry", entry).drop("code")
     lead = F.expr("CAST(0 AS INT)")
     for state in range(5):
         lead = F.when(
@@ -247,19 +256,25 @@ def block_table(letters: DataFrame) -> DataFrame:
     return d.select(
         *by, "flags", "private", "seen", F.col("_in.b").alias("in_block"), F.col("_in.i").alias("in_idx"),
         F.col("_in.o").alias("in_ord"), "orphan_at",
-    )
+    ), tasks
+
 
+def mark_events(clean: DataFrame, blocks: DataFrame, tasks: int) -> DataFrame:
+    """Add the event key of every line that stays: block and position of its event's first line.
 
-def mark_events(clean: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Add the event key of every line that stays: block and position of its event's first line."""
+    Both sides are dealt to ``tasks``, so a task sorts no more for a larger input, and the joins that made ``blocks`` stay out of it.
+    """
+    keys = ["source_id", BLOCK]
     by = Window.partitionBy("source_id", BLOCK).orderBy("line_no")
     running = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = (
-        clean.withColumn("_idx", F.row_number().over(by))
-        .join(blocks, ["source_id", BLOCK])
+        clean.withColumn("_filled", F.col("body") != "").drop("body").repartition(tasks, *keys)
+        .withColumn("_idx", F.row_number().over(by))
+        # Looked up by hash, the blocks leave the lines sorted; a task has no more blocks than lines.
+        .join(blocks.repartition(tasks, *keys).hint("shuffle_hash"), keys)
         .withColumn("is_private", F.coalesce(F.expr("substr(private, _idx, 1) = '1'"), F.lit(False)))
         .withColumn("text", F.when(F.col("is_private"), P.KEY_BLOCK_TEXT).otherwise(F.col("safe")))
-        .where((F.col("body") != "") | F.col("is_private") | F.col("trunc"))
+        .where(F.col("_filled") | F.col("is_private") | F.col("trunc"))
         .withColumn("_start", F.expr("substr(flags, _idx, 1) = '1'"))
         .withColumn("size", (F.octet_length("text") + 1).cast("bigint"))
     )
@@ -326,4 +341,4 @@ def frame_events(lines: DataFrame, with_json: bool = True) -> DataFrame:
     """
     stamped = stamp_lines(with_block(identify(lines), "line_no", LINES_PER_BLOCK))
     clean = R.with_redaction(stamped, "body", with_json).drop("raw", "partial")
-    return assemble(mark_events(clean, block_table(letter_rows(stamped))))
+    return assemble(mark_events(clean, *block_table(letter_rows(stamped))))

@@ -82,3 +82,19 @@ def test_short_sources_share_a_group(spark, tmp_path, monkeypatch):
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted(r.source.path for r in got) == sorted(f"p{i}" for i in range(30))
     assert {(r.line_start, r.line_end, r.line_count) for r in got} == {(1, 3, 3)}
+
+
+def test_trace_lines_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """Repeated items are one line, repeated orders are lines of their own, keys may be missing; no task takes all."""
+    orders = [(k, k % 5) for k in range(400)] + [(7, 3), (None, 1)]
+    items = [(k, n) for k in range(410) for n in range(1, 1 + k % 4)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items + items[:200] + [(None, 1), (3, None)], "l_orderkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(A, "ROWS_PER_TASK", 20, raising=False)
+    lines = A.trace_lines(spark, str(tmp_path))
+    got = sorted(lines.select("source.path", F.coalesce("line_no", F.lit(-1))).collect())
+    heads = [(f"orders/{c}", -1 if k is None else k * 8 + 1) for k, c in orders]
+    frames = [(f"orders/{c}", k * 8 + n + 1) for k, c in orders for m, n in items if m == k]
+    assert got == sorted(heads + frames + [("orders/3", -1)])
+    sizes = [r["count"] for r in lines.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 40 and max(sizes) <= 100

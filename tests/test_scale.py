@@ -52,3 +52,27 @@ def test_a_million_lines_without_a_header(spark):
     )
     rows = W.frame_events(lines, with_json=False).select("line_start", "line_end", "line_count", "truncated").collect()
     assert sorted(map(tuple, rows)) == [(1, n - 1, n - 1, True), (n, n, 1, False)]
+
+
+def test_text_is_dealt_by_its_size(spark, monkeypatch):
+    """More lines give more tasks for the sorted text, not larger ones, and the same events."""
+    path = F.when(F.col("id") < 2001, "one").otherwise("two")
+    lines = spark.range(4000).select(
+        F.struct(*[(F.lit("file") if f.name == "type" else path if f.name == "path" else F.lit(None)).cast(f.dataType).alias(f.name)
+                   for f in W.S.SOURCE.fields]).alias("source"),
+        (F.col("id") + 1).alias("line_no"), F.when(F.col("id") % 3 == 0, "ERROR failed").otherwise("    at a.b(C.java:1)").alias("raw"),
+    )
+    monkeypatch.setattr(W, "LINES_PER_BLOCK", 20)
+    monkeypatch.setattr(W, "BYTES_PER_TASK", 20_000, raising=False)
+    marked, assemble = [], W.assemble
+    monkeypatch.setattr(W, "assemble", lambda d: marked.append(d) or assemble(d))
+    rows = W.frame_events(lines, with_json=False).select("line_start", "line_count").collect()
+    assert sorted(map(tuple, rows)) == [(i, min(3, 4001 - i)) for i in range(1, 4001, 3)]
+    sizes = [r["count"] for r in marked[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 30 and max(sizes) <= 400
+
+
+def test_task_count(spark):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(1)
+    assert [scale.task_count(df, n, 10) for n in (None, 0, 1, 10 * cores, 10 * cores + 1, 10_000)] == [cores] * 4 + [cores + 1, 1000]
