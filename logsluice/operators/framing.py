@@ -31,7 +31,10 @@ from .scale import BLOCK, LINES_PER_BLOCK, composed_before, over_earlier_blocks,
 #: What one task sorts of the text: bytes of lines, each with so much for its other columns.
 BYTES_PER_TASK = 128 * 1024 * 1024
 BYTES_BESIDE_LINE = 256
+#: Sources with the fullest blocks, of which so many have a width of blocks of their own; the next one's serves all others.
+OWN_WIDTHS = 4096
 
+_LETTERS = ".hHpPcCgGrRsbYZijkl"
 # Runs of continuation letters by entry state; upper case opens stack context.
 _AFTER_STACK = r"[cCsb.]*"
 _AFTER_GO_STACK = r"[cCgGrRsb.]*"
@@ -189,11 +192,33 @@ def letter_rows(stamped: DataFrame) -> DataFrame:
     )
 
 
-def block_table(letters: DataFrame) -> tuple[DataFrame, int]:
-    """One row per block: where its events start and what it inherits from earlier blocks; and the tasks to deal the text to.
+def widened(d: DataFrame, widths: tuple[DataFrame, int] | None) -> DataFrame:
+    """``d`` with the blocks of ``block_widths``."""
+    if widths is None:
+        return d
+    own, others = widths
+    d = d.join(F.broadcast(own), "source_id", "left")
+    return d.withColumn(BLOCK, F.floor(F.col(BLOCK) / F.coalesce("_width", F.lit(others))).cast("bigint")).drop("_width")
+
+
+def block_widths(fine: DataFrame) -> tuple[DataFrame, int] | None:
+    """How many blocks of a source make one: (source_id, _width) of the fullest, and what serves all others; None where all stay as they are.
+
+    A source whose lines lie far apart would have a row for every few of them. A block still has no more lines than numbers.
+    """
+    most = fine.groupBy("source_id").agg(F.max(F.length("_plain")).alias("_most"))
+    own = written(most.orderBy(F.desc("_most")).limit(OWN_WIDTHS + 1), "frame-widths")
+    width = F.greatest(F.lit(1), F.floor(LINES_PER_BLOCK / F.greatest("_most", F.lit(1)))).cast("bigint")
+    others, = own.agg(F.max(width)).first()
+    return None if others in (None, 1) else (own.select("source_id", width.alias("_width")), others)
+
+
+def block_table(letters: DataFrame) -> tuple[DataFrame, int, tuple[DataFrame, int] | None, bool]:
+    """One row per block: where its events start and what it inherits from earlier blocks; the tasks to deal the text to; ``block_widths``; and
+    whether an event crosses blocks.
 
     ``flags`` has '1' where an event starts and ``private`` (NULL in blocks untouched by key
-    material) '1' on private lines; both are aligned with the lines of the block.
+    material) '1' on private lines; both are aligned with the lines of the block. ``cut`` is the start of an event that later blocks go on with.
     """
     by = ["source_id", BLOCK]
     d = letters.groupBy(*by).agg(
@@ -204,6 +229,15 @@ def block_table(letters: DataFrame) -> tuple[DataFrame, int]:
     d = written(d.select(*by, "_mark", "_weight", F.array_join(F.col("_l.letter"), "").alias("_plain"), F.when(
         F.col("_mark").isNotNull(), F.array_join(F.transform("_l", lambda x: F.coalesce(x["mark"], F.lit("-"))), "")
     ).alias("_marks")), "frame-letters")
+    widths = block_widths(d)
+    if widths is not None:
+        d = widened(d.withColumn("_fine", F.col(BLOCK)), widths).groupBy(*by).agg(
+            F.sort_array(F.collect_list(F.struct("_fine", "_mark", "_plain", "_marks"))).alias("_l"), F.sum("_weight").alias("_weight"))
+        last = F.try_element_at(F.filter("_l._mark", lambda m: m.isNotNull()), F.lit(-1))
+        d = written(d.withColumn("_mark", last).select(*by, "_mark", "_weight", F.array_join("_l._plain", "").alias("_plain"), F.when(
+            F.col("_mark").isNotNull(),
+            F.array_join(F.transform("_l", lambda x: F.coalesce(x["_marks"], F.translate(x["_plain"], _LETTERS, "-" * len(_LETTERS)))), "")
+        ).alias("_marks")), "frame-letters")
     last_block, weight = d.agg(F.max(BLOCK), F.sum("_weight")).first()
     tasks = task_count(d, weight, BYTES_PER_TASK)
     d = d.join(over_earlier_blocks(d, ["source_id"], BLOCK, {"_earlier": ("last", F.col("_mark"))}), by)
@@ -246,8 +280,16 @@ def block_table(letters: DataFrame) -> tuple[DataFrame, int]:
             F.expr("substr(letters, 1, _last)"), F.lit("."), F.lit(""))))
         .withColumn("orphan_at", F.when(
             (F.col("entry") == 4) & F.col("letters").rlike(r"^\.*[cC]"), F.instr("flags", "1")))
+        .withColumn("_joins", F.expr("substr(letters, 1, _lead)").rlike(r"[^.]"))
     )
-    d = written(d.select(*by, "flags", "private", "orphan_at", "_n", "_last", "_before_last"), "frame-blocks")
+    d = written(d.select(*by, "flags", "private", "orphan_at", "_n", "_last", "_before_last", "_joins"), "frame-blocks")
+    cut, crossed = F.lit(None).cast("int"), d.where("_joins").limit(1).count() > 0
+    if crossed:
+        # Looked at from the end, the next block with a line that stays says whether it goes on with an event.
+        back = d.withColumn("_back", -F.col(BLOCK))
+        later = over_earlier_blocks(back, ["source_id"], "_back", {"_open": ("last", F.when(F.col("_n") > 0, F.col("_joins")))})
+        d = d.join(later.select("source_id", (-F.col("_back")).alias(BLOCK), "_open"), by)
+        cut = F.when(F.col("_open"), F.col("_last"))
     d = d.join(over_earlier_blocks(d, ["source_id"], BLOCK, {"seen": ("sum", F.col("_n"))}), by)
     opened = F.when(F.col("_last") > 0, F.struct(
         F.col(BLOCK).alias("b"), F.col("_last").alias("i"), (F.col("seen") + F.col("_before_last")).alias("o"),
@@ -255,12 +297,12 @@ def block_table(letters: DataFrame) -> tuple[DataFrame, int]:
     d = d.join(over_earlier_blocks(d, ["source_id"], BLOCK, {"_in": ("last", opened)}), by)
     return d.select(
         *by, "flags", "private", "seen", F.col("_in.b").alias("in_block"), F.col("_in.i").alias("in_idx"),
-        F.col("_in.o").alias("in_ord"), "orphan_at",
-    ), tasks
+        F.col("_in.o").alias("in_ord"), "orphan_at", cut.alias("cut"),
+    ), tasks, widths, crossed
 
 
-def mark_events(clean: DataFrame, blocks: DataFrame, tasks: int) -> DataFrame:
-    """Add the event key of every line that stays: block and position of its event's first line.
+def mark_events(clean: DataFrame, blocks: DataFrame, tasks: int, crossed: bool) -> DataFrame:
+    """Add the event key of every line that stays: block and position of its event's first line; and whether its block holds the ``whole`` event.
 
     Both sides are dealt to ``tasks``, so a task sorts no more for a larger input, and the joins that made ``blocks`` stay out of it.
     """
@@ -288,8 +330,9 @@ def mark_events(clean: DataFrame, blocks: DataFrame, tasks: int) -> DataFrame:
     d = d.withColumn("_own", F.last(mark, ignorenulls=True).over(running))
     inherited = F.col("_own").isNull()
     return d.select(
-        "source_id", "source", "line_no", "ts_raw", "text", "size", "trunc", "doubt", "changed",
+        "source_id", BLOCK, "source", "line_no", "ts_raw", "text", "size", "trunc", "doubt", "changed",
         "ambiguous", "source_changed", "is_private",
+        ((~inherited & ~F.coalesce(F.col("_own.i") == F.col("cut"), F.lit(False))) if crossed else F.lit(True)).alias("whole"),
         F.when(inherited, F.col("in_block")).otherwise(F.col(BLOCK)).alias("ev_block"),
         F.when(inherited, F.col("in_idx")).otherwise(F.col("_own.i")).alias("ev_idx"),
         (F.col("seen") + F.col("_ord") - F.when(inherited, F.col("in_ord"))
@@ -301,14 +344,22 @@ def mark_events(clean: DataFrame, blocks: DataFrame, tasks: int) -> DataFrame:
 
 
 def assemble(marked: DataFrame) -> DataFrame:
-    """One row per event from lines that know their event."""
+    """One row per event from lines that know their event.
+
+    Nearly all events lie in one block, whose lines are in one task: only lines of the others are shuffled.
+    """
+    inside = _assembled(marked.where("whole"), ["source_id", BLOCK, "ev_idx"])
+    return inside.unionByName(_assembled(marked.where("NOT whole"), ["source_id", "ev_block", "ev_idx"]))
+
+
+def _assembled(marked: DataFrame, by: list[str]) -> DataFrame:
     # Lines that cannot reach the clipped text are counted but not collected: each earlier line
     # takes at least one byte, and the bytes of this block alone are a lower bound.
     needed = (F.col("nth") < S.MAX_EVENT_BYTES) & (F.col("offset") < S.MAX_EVENT_BYTES)
     d = marked.withColumn("_piece", F.when(
         needed, F.struct(F.col("line_no"), X.clip_bytes("text", S.MAX_EVENT_BYTES).alias("text"))
     ))
-    ev = d.groupBy("source_id", "ev_block", "ev_idx").agg(
+    ev = d.groupBy(*by).agg(
         F.min_by(F.struct("source", "ts_raw"), "line_no").alias("_head"),
         F.min("line_no").alias("line_start"),
         F.max("line_no").alias("line_end"),
@@ -327,7 +378,7 @@ def assemble(marked: DataFrame) -> DataFrame:
     )
     return ev.select(
         X.event_id("source", "ts_raw", "line_start", "text").alias("id"),
-        "source", "source_id", "ts_raw", F.try_to_timestamp("ts_raw").alias("ts"), "text",
+        "source", F.lower(F.hex("source_id")).alias("source_id"), "ts_raw", F.try_to_timestamp("ts_raw").alias("ts"), "text",
         "line_start", "line_end", "line_count", "truncated", "sensitive", "parse_uncertain",
         X.group_id("source", "text").alias("group_id"), C.baseline("text").alias("baseline"),
     )
@@ -337,8 +388,10 @@ def frame_events(lines: DataFrame, with_json: bool = True) -> DataFrame:
     """Lines (``source, line_no, raw`` [, ``partial``]) to framed, redacted events.
 
     Two passes over the lines: one letter per line for the block table, and the text itself,
-    which is shuffled by block and then by event.
+    which is shuffled by block. Inside, ids of sources are bytes, as every row that moves has one.
     """
     stamped = stamp_lines(with_block(identify(lines), "line_no", LINES_PER_BLOCK))
+    stamped = stamped.withColumn("source_id", F.coalesce(F.unhex("source_id"), F.lit(b"")))
+    blocks, tasks, widths, crossed = block_table(letter_rows(stamped))
     clean = R.with_redaction(stamped, "body", with_json).drop("raw", "partial")
-    return assemble(mark_events(clean, *block_table(letter_rows(stamped))))
+    return assemble(mark_events(widened(clean, widths), blocks, tasks, crossed))

@@ -72,6 +72,29 @@ def test_text_is_dealt_by_its_size(spark, monkeypatch):
     assert sum(sizes) == 4000 and len(sizes) > 30 and max(sizes) <= 400
 
 
+def test_lines_far_apart_share_blocks(spark, monkeypatch):
+    """Sources that take turns have few blocks, a dense one keeps its own, and only events that cross blocks move twice."""
+    n = F.col("id")
+    path = F.when(n < 4000, F.concat(F.lit("p"), (n % 40).cast("string"))).otherwise("dense")
+    lines = spark.range(5000).select(
+        F.struct(*[(F.lit("file") if f.name == "type" else path if f.name == "path" else F.lit(None)).cast(f.dataType).alias(f.name)
+                   for f in W.S.SOURCE.fields]).alias("source"),
+        (n + 1).alias("line_no"),
+        F.when(F.floor(n / 40) % 7 == 0, "ERROR failed").when(n % 1111 == 5, "-----BEGIN PRIVATE KEY-----").when(n % 1111 == 400, "-----END PRIVATE KEY-----")
+        .when(n % 13 == 0, "").otherwise("    at a.b(C.java:1)").alias("raw"),
+    )
+    pick = ["id", "source_id", "text", "line_start", "line_end", "line_count", "sensitive", "parse_uncertain"]
+    want = sorted(map(tuple, W.frame_events(lines, with_json=False).select(pick).collect()))
+    monkeypatch.setattr(W, "LINES_PER_BLOCK", 50)
+    monkeypatch.setattr(W, "OWN_WIDTHS", 1, raising=False)
+    seen, mark = [], W.mark_events
+    monkeypatch.setattr(W, "mark_events", lambda d, blocks, *more: seen.append(blocks) or seen.append(mark(d, blocks, *more)) or seen[1])
+    assert sorted(map(tuple, W.frame_events(lines, with_json=False).select(pick).collect())) == want and len(want) > 500
+    assert seen[0].count() <= 300
+    whole, lines = seen[1].agg(F.count_if("whole"), F.count(F.lit(1))).first()
+    assert lines / 2 < whole < lines
+
+
 def test_task_count(spark):
     cores = spark.sparkContext.defaultParallelism
     df = spark.range(1)
