@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import incidents as I
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..streaming import delivery as DL, framing as SF, lane as LN, live as L, state as ST
 from . import adapters as A, oracle as O
 from .catalog import ORACLES, query
@@ -97,7 +97,8 @@ def streamed_once_each(spark, sf_dir):
 @query("streamed_traces", ORACLES["framed_traces"])
 def streamed_traces(spark, sf_dir):
     """Stack traces as line streams in three triggers that cut through events; whole events as in batch."""
-    lines = A.trace_lines(spark, sf_dir).withColumn("eof", F.lit(False))
+    # Written once: three triggers and the end marks read them.
+    lines = written(A.trace_lines(spark, sf_dir), "trace-lines").withColumn("eof", F.lit(False))
     ends = lines.groupBy("source").agg((F.max("line_no") + 1).alias("line_no")).select(
         "source", "line_no", F.lit("").alias("raw"), F.lit(True).alias("eof")
     )

@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,55 @@ def test_many_frames_are_few_runs_merged_so_many_at_a_time():
     assert Counted.most <= 8 and Counted.reads <= 2 * (6000 // 25 + 60)
 
 
+class _Kept(_Map):
+    def containsKey(self, key):
+        return key in self.held
+
+    def exists(self):
+        return bool(self.held)
+
+
+def _odd_lines(rng, n, base):
+    """Lines of three sources as the stateful step gets them: out of order, with keys, ends, cut texts and clocks that go back."""
+    rows = []
+    for at in range(base, base + n):
+        s, letter, body = rng.choice(["a", "a", "a", "b", "c"]), rng.choice("hhHpPccccCgGrRsb"), rng.random() < 0.95
+        rows.append({
+            "group": 1, "source_id": s, "source": s.upper(), "line_no": at, "ts_raw": f"t{at}" if rng.random() < 0.5 else None,
+            "safe": rng.choice("éx") * rng.choice([0, 1, 30, 2000, 9000]) if body else "", "has_body": body,
+            "mark": rng.choice(["BEGIN", "END"]) if rng.random() < 0.02 else None, "letter": letter,
+            "alt": "c" if letter in "hsgbr" and rng.random() < 0.3 else letter, "py": rng.random() < 0.2, "trunc": rng.random() < 0.01,
+            "changed": rng.random() < 0.05, "ambiguous": rng.random() < 0.01, "doubt": rng.random() < 0.02, "source_changed": False,
+            "eof": rng.random() < 0.004, "partial": rng.random() < 0.5, "ts_us": rng.randrange(10 ** 15) if rng.random() < 0.6 else None,
+        })
+    rng.shuffle(rows)
+    return pa.Table.from_pandas(pd.DataFrame(rows), preserve_index=False)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_of_lines_as_arrays(seed, monkeypatch):
+    """Many lines are one row before the stateful step, and its arrays give what following line by line gives, over three triggers."""
+    class Handle:
+        def getMapState(self, *_):
+            return _Kept()
+
+    rng = random.Random(seed)
+    triggers = [_odd_lines(rng, 1500, 10_000 * k) for k in range(3)]
+    got = []
+    for many in (1, 10 ** 9):
+        monkeypatch.setattr(SF, "MANY", many)
+        step = SF.FrameLines(preview=seed % 2 == 0)
+        step.init(Handle())
+        out = []
+        for lines in triggers:
+            frames = [b.to_pandas() for b in OR.packed("group")(iter(lines.to_batches(max_chunksize=100)))]
+            assert sum(map(len, frames)) <= 2 + lines.nbytes // OR.PACKED_BYTES
+            done = [f.astype(object).where(f.notna(), None) for f in step.handleInputRows((1,), iter(frames), None)]
+            out.append([r for f in done for r in f.itertuples(index=False, name=None)])
+        got.append((out, step.state.held))
+    assert got[0] == got[1] and len(got[0][0][0]) > 200
+
+
 def source(path):
     return F.struct(*[(F.lit("file") if f.name == "type" else path if f.name == "path" else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.SOURCE.fields])
 
